@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ class Scratch:
     """Tables written below the shared folder.
 
     A written table cuts the lineage and outlives the executors that wrote it. ``close`` deletes the tables
-    of this scratch; tables saved with ``kept`` go when the returned DataFrame does.
+    of this scratch; what ``kept`` saves is a result, which stays in the shared folder for whoever reads it.
     """
 
     def __init__(self, spark: SparkSession):
@@ -46,10 +45,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def kept(self, df: DataFrame) -> DataFrame:
-        own = Scratch(self.spark)
-        out = own.save(df)
-        weakref.finalize(out, lambda spark, path: None, self.spark, own.path)
-        return out
+        return Scratch(self.spark).save(df)
 
     def close(self) -> None:
         _delete(self.spark, self.path)

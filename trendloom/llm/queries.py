@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_counts
+from . import exact_dedup, packing, secrets, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +26,28 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    return url_filter.url_verdicts(pages, url_filter.outcomes_of(pages, labels))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_packing": op2_packing, "op4_token_counts": op4_token_counts}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op2_packing": op2_packing,
+        "op4_token_counts": op4_token_counts,
+        "op6_secret_scans": op6_secret_scans,
+        "op8_url_filters": op8_url_filters,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
@@ -38,4 +58,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = min(doc_id) OVER w AS kept, text_sha256
             FROM h WINDOW w AS (PARTITION BY text_sha256)""",
+        "op6_secret_scans": secrets.ORACLE_SQL,
+        "op8_url_filters": url_filter.ORACLE_SQL,
     }
