@@ -38,10 +38,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/trendloom-{uuid.uuid4().hex}", 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def kept(self, df: DataFrame) -> DataFrame:

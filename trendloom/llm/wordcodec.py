@@ -117,14 +117,6 @@ def byte_level_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return start
 
 
-def marked_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Where marked words start: at a mark U+2581 that follows another sign, and at the start of each text."""
-    start = first.copy()
-    mark = points == 0x2581
-    start[1:] |= mark[1:] & ~mark[:-1]
-    return start
-
-
 _cut = re.compile("(?<=[A-Za-z]) ")
 _mark_cut = re.compile("(?<=[A-Za-z])▁")
 
