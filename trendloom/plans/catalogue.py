@@ -1,11 +1,355 @@
-"""All queries of the library with their SQL."""
+"""All queries of the library by name, each over whole tables, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..functions import text
+from ..operators import entity, evaluation, forecast, labels, matching, papers, tools
+from ..sources import adapters as a
+from .oracle import EARLY, RECENT, SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+CATEGORIES = ["BUILDING", "HOUSEHOLD"]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def paper_growth(spark, d):
+    out = papers.growth(a.publications(spark, d), ["source", "query"], EARLY, RECENT, scale=2)
+    return out.withColumns({"ratio_usable": papers.ratio_usable(F.col("avg_early")), "context_filtered": papers.context_filtered(F.col("query"))}).orderBy("source", F.desc_nulls_last("avg_recent"), "query")
+
+
+@query
+def paper_growth_unrounded(spark, d):
+    return papers.growth(a.publications(spark, d), ["source", "query"], EARLY, RECENT).select("source", "query", "avg_early", "avg_recent", "growth")
+
+
+@query
+def paper_growth_tool(spark, d):
+    return tools.paper_growth(a.publications(spark, d), "O", EARLY, RECENT).df
+
+
+@query
+def paper_status(spark, d):
+    return papers.coverage(a.publications(spark, d))
+
+
+@query
+def paper_trend_latest(spark, d):
+    return tools.paper_trend(a.publications(spark, d), "1-URGENT", "O").df
+
+
+@query
+def paper_upsert(spark, d):
+    counts = a.publications(spark, d)
+    newer = counts.where("period >= '2000-01-01'").withColumn("count", (F.col("count") + 1).cast("int"))
+    return papers.upsert(counts, newer, schemas.KEYS["publications"], F.lit("2001-03-15").cast("date"))
+
+
+@query
+def papers_yoy(spark, d):
+    return labels.papers_yoy(_papers(spark, d))
+
+
+def _papers(spark, d):
+    return a.publications(spark, d).where("source = 'O'").groupBy(F.col("period").alias("month")).agg(F.sum("count").alias("count"))
+
+
+@query
+def category_unpivot(spark, d):
+    return labels.unpivoted({s: a.category_sheet(spark, d, s) for s in ("O", "F")})
+
+
+@query
+def monthly_category_sales(spark, d):
+    return labels.monthly_sales(a.category_sales(spark, d), CATEGORIES)
+
+
+@query
+def segment_totals(spark, d):
+    return a.category_sales(spark, d).groupBy("segment").agg(F.round(F.sum("value"), 2).alias("value"))
+
+
+@query
+def demand_labels(spark, d):
+    return labels.demand_labels(a.category_sales(spark, d), a.visitors(spark, d), CATEGORIES)
+
+
+@query
+def design_matrix(spark, d):
+    return labels.design_matrix(demand_labels(spark, d))
+
+
+@query
+def purged_split(spark, d):
+    return labels.purged_split(design_matrix(spark, d), 3, 12).select("month", "part")
+
+
+@query
+def train_scaling(spark, d):
+    return forecast.scaling(labels.purged_split(design_matrix(spark, d), 3, 12), labels.FEATURES)
+
+
+@query
+def baseline_metrics(spark, d):
+    return forecast.scores(labels.purged_split(design_matrix(spark, d), 3, 12).where("part = 'test'"), forecast.baselines())
+
+
+@query
+def ridge_coefficients(spark, d):
+    model = forecast.fit(labels.purged_split(design_matrix(spark, d), 3, 12), labels.FEATURES)
+    return spark.createDataFrame(list(zip(["intercept", *model.features], model.weights, strict=True)), "feature string, weight double")
+
+
+@query
+def ridge_evaluation(spark, d):
+    return forecast.evaluate(design_matrix(spark, d), 3, 12)
+
+
+@query
+def window_grid(spark, d):
+    return forecast.window_grid(a.category_sales(spark, d), a.visitors(spark, d), CATEGORIES)
+
+
+@query
+def axis_ablation(spark, d):
+    return forecast.ablation(demand_labels(spark, d), labels.papers_yoy(_papers(spark, d)))
+
+
+@query
+def normalise_names(spark, d):
+    return a.products(spark, d).select("product_key", text.normalised_name(F.col("name")).alias("norm"), text.normalised_brand(F.col("brand")).alias("brand_norm"))
+
+
+@query
+def parse_volume(spark, d):
+    return a.products(spark, d).select("product_key", text.volume(F.col("name")).alias("v")).select("product_key", F.col("v.amount").alias("amount"), F.col("v.unit").alias("unit"))
+
+
+@query
+def product_form(spark, d):
+    k = F.col("product_key").cast("long") % 3
+    label = F.concat("name", F.when(k == 0, " Su n 50").when(k == 1, " EDT").otherwise(""))
+    return a.products(spark, d).select("product_key", text.product_form(label).alias("form"))
+
+
+@query
+def strip_brand_prefix(spark, d):
+    norm = text.normalised_name(F.col("name"))
+    return a.products(spark, d).select("product_key", norm.alias("norm_in"), text.without_brand(norm, F.substring_index(norm, " ", 1)).alias("stripped"))
+
+
+@query
+def row_kind(spark, d):
+    return a.products(spark, d).select("source", "product_key", text.row_kind(F.col("name")).alias("kind"))
+
+
+@query
+def listing_variants(spark, d):
+    return entity.listing_variants(a.products(spark, d))
+
+
+@query
+def listing_share(spark, d):
+    return entity.kind_shares(a.products(spark, d))
+
+
+@query
+def split_invariants(spark, d):
+    return entity.split_invariants(a.products(spark, d))
+
+
+def _features(spark, d):
+    return matching.features(a.products(spark, d))
+
+
+def _answered(spark, d):
+    return match_candidates(spark, d).withColumn("is_same_product", F.when(F.col("score") >= 1.0, "y").otherwise("n"))
+
+
+@query
+def listing_contains(spark, d):
+    return entity.containment(_answered(spark, d))
+
+
+@query
+def gram_idf(spark, d):
+    return matching.gram_idf(_features(spark, d))
+
+
+@query
+def gram_weights(spark, d):
+    return matching.gram_weights(_features(spark, d))
+
+
+@query
+def brand_block_pairs(spark, d):
+    return matching.block_pairs(_features(spark, d))
+
+
+@query
+def match_candidates(spark, d):
+    return matching.candidates(_features(spark, d))
+
+
+@query
+def source_pair_counts(spark, d):
+    return matching.source_pairs(match_candidates(spark, d))
+
+
+@query
+def match_conflicts(spark, d):
+    return matching.conflicts(match_candidates(spark, d))
+
+
+@query
+def score_histogram(spark, d):
+    return matching.score_histogram(match_candidates(spark, d))
+
+
+@query
+def match_diagnostics(spark, d):
+    return matching.diagnostics(_features(spark, d))
+
+
+@query
+def label_sample(spark, d):
+    return matching.label_sample(match_candidates(spark, d))
+
+
+@query
+def silver_positives(spark, d):
+    return matching.silver_positives(_features(spark, d))
+
+
+@query
+def budget_overlap(spark, d):
+    return matching.budget_overlap(match_candidates(spark, d), "score", "name_score")
+
+
+@query
+def hub_edges(spark, d):
+    return matching.hubs(_answered(spark, d).where("is_same_product = 'y'"))
+
+
+@query
+def pair_type_precision(spark, d):
+    pairs = evaluation.labelled(_answered(spark, d)).withColumn("pair_type", matching.pair_type(F.col("name_a"), F.col("name_b")))
+    return evaluation.cumulative(pairs, ["pair_type"])
+
+
+@query
+def embedding_cosine(spark, d):
+    vectors = a.table(spark, d, "embeddings")
+    left = vectors.select(F.col("vec_id").alias("vec_a"), F.col("embedding").alias("x"))
+    right = vectors.select(F.col("vec_id").alias("vec_b"), (F.col("vec_id") - 1).alias("vec_a"), F.col("embedding").alias("y"))
+    return left.join(right, "vec_a").select("vec_a", "vec_b", matching.cosine(F.col("x"), F.col("y")).alias("cosine"))
+
+
+@query
+def answer_counts(spark, d):
+    return evaluation.answer_counts(a.labelled_pairs(spark, d))
+
+
+@query
+def band_precision(spark, d):
+    return evaluation.by_band(evaluation.labelled(a.labelled_pairs(spark, d)))
+
+
+@query
+def cumulative_precision(spark, d):
+    return evaluation.cumulative(evaluation.labelled(a.labelled_pairs(spark, d)))
+
+
+@query
+def wilson_interval(spark, d):
+    return cumulative_precision(spark, d).select("threshold", "n", "n_correct", *evaluation.wilson(F.col("n_correct"), F.col("n")))
+
+
+@query
+def suggest_threshold(spark, d):
+    return evaluation.suggested_threshold(cumulative_precision(spark, d), 0.85)
+
+
+@query
+def board_list(spark, d):
+    return tools.top_products(a.rank_snapshots(spark, d), "O", "?").df
+
+
+@query
+def snapshot_depth(spark, d):
+    return tools.snapshot_depth(a.rank_snapshots(spark, d), "O")
+
+
+@query
+def top_products(spark, d):
+    return tools.top_products(a.rank_snapshots(spark, d), "O").df.select("source", "board", "captured_at", "product_key", "rank", "price", "discount_rate")
+
+
+@query
+def price_history(spark, d):
+    return tools.price_history(a.price_points(spark, d), a.products(spark, d), "widget", "2001-10-01").df
+
+
+@query
+def new_products(spark, d):
+    return tools.new_products(a.new_products(spark, d), "1995-04-01", days=90).df
+
+
+@query
+def review_topics(spark, d):
+    return tools.review_topics(a.review_topics(spark, d), a.products(spark, d), "red").df
+
+
+@query
+def search_reviews(spark, d):
+    return tools.search_reviews(a.reviews(spark, d), a.products(spark, d), "license").df
+
+
+@query
+def data_status(spark, d):
+    products = a.products(spark, d)
+    tables = {
+        "product": (products, None, None),
+        "rank_snapshot": (a.rank_snapshots(spark, d), "captured_at", "captured_at"),
+        "price_point": (a.price_points(spark, d), "captured_at", "captured_at"),
+        "review": (a.reviews(spark, d), "written_at", "written_at"),
+        "new_product": (a.new_products(spark, d), "captured_at", "captured_at"),
+        "publications": (a.publications(spark, d), "period", "period"),
+        "sku": (entity.skus(products), None, None),
+        "listing": (entity.listings(products), None, None),
+    }
+    return tools.data_status(tables).df
+
+
+@query
+def rank_momentum_calendar(spark, d):
+    return tools.rank_momentum(a.rank_snapshots(spark, d))
+
+
+@query
+def discount_transitions(spark, d):
+    return tools.discount_transitions(a.price_points(spark, d))
+
+
+@query
+def repeated_keys(spark, d):
+    return schemas.repeated_keys(a.price_points(spark, d), ["source", "product_key", "captured_at"])
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
