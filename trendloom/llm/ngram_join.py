@@ -34,19 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, hot_join
-from .components import components
+from .components import components, one_round
+from .wordcodec import BLOCK, word_hashes
 
 #: Points of a tile, of a leaf and children of a node.
 TILE, LEAF, FANOUT = 2048, 32, 16
 MEMO = 1 << 20
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
+LONG = (1 << 63) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,17 +49,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, n: int, memo: dict) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles of a text."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(w))
-    x = _mix(w[: len(w) - size + 1] + np.uint64(size))
-    for k in range(1, size):
-        x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - size + 1 + k])
-    return np.unique(x)
+def _word_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after another, and where each text's words end."""
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le"), "<u4")
+    points = np.where((points >= 65) & (points <= 90), points + 32, points)
+    space = (points == 32) | ((points >= 9) & (points <= 13))
+    edge = np.diff(space, prepend=True, append=True)
+    edges = np.flatnonzero(edge)
+    starts, ends = edges[::2], edges[1::2]
+    limits = np.cumsum([len(t) + 1 for t in texts])
+    return word_hashes(points, starts, ends), np.searchsorted(starts, limits)
+
+
+def shingles(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-word shingles."""
+    at = 0
+    while at < len(texts):
+        part, size = [], 0
+        while at < len(texts) and (not part or size < BLOCK):
+            part.append(texts[at] or "")
+            size += len(part[-1])
+            at += 1
+        words, ends = _word_arrays(part)
+        words = _mix(words)
+        whole = words[: max(0, len(words) - n + 1)]
+        for k in range(1, n):
+            whole = _mix(whole * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - n + 1 + k])
+        begin = 0
+        for end in ends.tolist():
+            if end - begin >= n:
+                yield np.unique(whole[begin : end - n + 1])
+            elif end > begin:
+                x = words[begin : begin + 1] + np.uint64(end - begin)
+                for k in range(begin + 1, end):
+                    x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + words[k : k + 1])
+                yield x
+            else:
+                yield np.zeros(0, np.uint64)
+            begin = end
 
 
 def ranges(p: int, most: int) -> list[int]:
@@ -81,26 +102,31 @@ class Grouping:
     def __init__(self, p: int):
         self.p, self.ends = p, np.asarray(ranges(p, 1 << 31))
 
-    def differences(self, j: int) -> int:
+    def differences(self, j):
         """Shingles that only one of two linked sets may have, the smaller set being of range j or below."""
-        end = int(self.ends[j])
+        end = self.ends[j]
         return (end + 100 * end // self.p) * (100 - self.p) // (100 + self.p)
 
-    def keys(self, found: np.ndarray) -> np.ndarray:
-        """Digests of the groups' contents for the ranges that a set takes part in; none if only equal sets link."""
-        j = int(np.searchsorted(self.ends, len(found)))
+    def keys(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        """For each set the digests of its groups' contents in the ranges that it takes part in; none if only equal sets link."""
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        mixed, owner = _mix(flat + np.uint64(0x5851F42D4C957F2D)), np.repeat(np.arange(len(sets)), sizes)
+        own = np.searchsorted(self.ends, sizes)
         out = []
-        mixed = _mix(found + np.uint64(0x5851F42D4C957F2D))
-        for k in (j - 1, j):
-            if k < 0 or not self.differences(k):
-                continue
-            groups = self.differences(k) + 1
-            salt = _mix(np.asarray([k + 1], np.uint64))[0]
-            group = _mix(found ^ salt) % np.uint64(groups)
-            sums = np.zeros(groups, np.uint64)
-            np.add.at(sums, group.astype(np.int64), mixed)
-            out.append(_mix(_mix(sums + np.arange(groups, dtype=np.uint64)) ^ salt))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        for k in (own - 1, own):
+            groups = np.where((k >= 0) & (sizes > 0), self.differences(np.maximum(k, 0)) + 1, 0)
+            groups[groups == 1] = 0
+            salt = _mix((np.maximum(k, 0) + 1).astype(np.uint64))
+            offsets = np.cumsum(groups) - groups
+            used = groups[owner] > 0
+            who = owner[used]
+            group = _mix(flat[used] ^ salt[who]) % groups[who].astype(np.uint64)
+            sums = np.zeros(int(groups.sum()), np.uint64)
+            np.add.at(sums, offsets[who] + group.astype(np.int64), mixed[used])
+            place = np.arange(len(sums)) - np.repeat(offsets, groups)
+            out.append(np.split(_mix(_mix(sums + place.astype(np.uint64)) ^ np.repeat(salt, groups)), np.cumsum(groups)[:-1]))
+        return [np.concatenate(x) for x in zip(*out, strict=True)] if len(sets) else []
 
 
 def point(found: np.ndarray) -> np.ndarray:
@@ -162,27 +188,25 @@ def _sets(docs: DataFrame, n: int, p: int) -> DataFrame:
     """row, doc_id, text_hash, n, s1, s2, point, keys for each row; a task lists the keys of a repeated set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, grouping, seen = _WordHashes(), Grouping(p), set()
+        grouping, seen = Grouping(p), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                sizes, s1, s2, points, keys = [], [], [], [], []
-                for text in part.column(3).to_pylist():
-                    found = shingles(text, n, memo)
-                    digest = xxhash.xxh3_128_digest(found.tobytes())
-                    new = len(found) > 0 and digest not in seen
-                    if new:
-                        if len(seen) >= MEMO:
-                            seen.clear()
-                        seen.add(digest)
-                    sizes.append(len(found))
-                    s1.append(int.from_bytes(digest[:8], "big", signed=True))
-                    s2.append(int.from_bytes(digest[8:], "big", signed=True))
-                    points.append(point(found).astype("<u4").tobytes() if new else None)
-                    keys.append(grouping.keys(found).view(np.int64) if new else np.zeros(0, np.int64))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = list(shingles(part.column(3).to_pylist(), n))
+                digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                new = []
+                for x, digest in zip(sets, digests, strict=True):
+                    new.append(len(x) > 0 and digest not in seen)
+                    if len(seen) >= MEMO:
+                        seen.clear()
+                    seen.add(digest)
+                none = np.zeros(0, np.uint64)
+                keys = grouping.keys([x if k else none for x, k in zip(sets, new, strict=True)])
+                points = [point(x).astype("<u4").tobytes() if k else None for x, k in zip(sets, new, strict=True)]
+                halves = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(points, pa.binary()), flat], ["row", "doc_id", "text_hash", "n", "s1", "s2", "point", "keys"])
+                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(points, pa.binary()), flat], ["row", "doc_id", "text_hash", "n", "s1", "s2", "point", "keys"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
     return rows.mapInArrow(run, "row long, doc_id long, text_hash long, n long, s1 long, s2 long, point binary, keys array<long>")
@@ -221,9 +245,10 @@ def _needed_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int,
     joined = texts.join(needed, F.col("_doc").eqNullSafe(F.col("_rep")) & (F.col("_hash") == F.col("_rep_text"))).select("cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WordHashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, n, memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["cls", "found"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingles(part.column(1).to_pylist(), n)], pa.binary())], ["cls", "found"])
 
     found = joined.mapInArrow(run, "cls long, found binary")
     return scratch.save(found.groupBy("cls").agg(F.first("found").alias("found")))
@@ -271,8 +296,9 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch) -> tuple[DataFrame,
 
     # blocks of at least two, those with the same members once; two pivots of each
     one, two = F.xxhash64("row", F.lit(1)), F.xxhash64("row", F.lit(2))
-    blocks = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("low"), F.max("row").alias("high"), F.bit_xor(one).alias("x1"), F.bit_xor(two).alias("x2"), F.min(F.struct(F.xxhash64("row", "key").alias("h"), "row")).alias("any")).where("low < high")
-    blocks = scratch.save(blocks.groupBy("size", "low", "high", "x1", "x2").agg(F.min(F.struct("key", "any")).alias("k")).select(F.col("k.key").alias("key"), "size", "low", F.col("k.any.row").alias("any")))
+    veil = F.xxhash64("key").bitwiseAND(F.lit(LONG))  # orders the members of each block in its own way
+    blocks = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("low"), F.max("row").alias("high"), F.bit_xor(one).alias("x1"), F.bit_xor(two).alias("x2"), F.min(F.col("row").bitwiseXOR(veil)).alias("any")).where("low < high")
+    blocks = scratch.save(blocks.groupBy("size", "low", "high", "x1", "x2").agg(F.min(F.struct("key", "any")).alias("k")).select(F.col("k.key").alias("key"), "size", "low", F.col("k.any").bitwiseXOR(F.xxhash64("k.key").bitwiseAND(F.lit(LONG))).alias("any")))
     total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     members = scratch.save(hot_join(keys, blocks, "key", "size", total))
 
@@ -284,7 +310,9 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch) -> tuple[DataFrame,
     pairs = scratch.save(as_class(as_class(star, "a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     sets = _needed_sets(docs, classes, pairs, n, scratch)
     linked = _verified(pairs, sets, p, scratch)
-    joined = components(linked, scratch)
+    # what this round brings together is of one component; the rest of the closing is left to the end
+    linked = one_round(linked, scratch)
+    joined = linked.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
     # what is left: blocks whose members are in several components
     in_class = as_class(members.select("row", "key", "low"), "row").withColumnRenamed("row", "cls").distinct()
@@ -312,7 +340,7 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch) -> tuple[DataFrame,
         more = scratch.save(more.distinct().join(pairs, ["a", "b"], "left_anti"))
         sets = _needed_sets(docs, classes, more, n, scratch)
         linked = linked.unionByName(_verified(more, sets, p, scratch))
-        joined = components(linked, scratch)
+    joined = components(linked, scratch)
     return table.select("row", "doc_id", "n", "sig"), classes, joined
 
 
