@@ -48,7 +48,8 @@ def wilson(right: Column, n: Column, z: float = 1.96) -> list[Column]:
     size = 1 + F.lit(z * z) / total
     centre = (p + F.lit(z * z) / (2 * total)) / size
     spread = F.lit(z) * F.sqrt(p * (1 - p) / total + F.lit(z * z) / (4 * total * total)) / size
-    return [F.greatest(F.lit(0.0), centre - spread).alias("low"), F.least(F.lit(1.0), centre + spread).alias("high")]
+    some = total.isNotNull()
+    return [F.when(some, F.greatest(F.lit(0.0), centre - spread)).alias("low"), F.when(some, F.least(F.lit(1.0), centre + spread)).alias("high")]
 
 
 def suggested_threshold(table: DataFrame, target: float) -> DataFrame:
