@@ -130,8 +130,8 @@ class Grouping:
 
 
 def point(found: np.ndarray) -> np.ndarray:
-    """Counts of shingles by the low bits of their hashes, in a power of two of groups, about 8 to a group."""
-    groups = 1 << max(3, (len(found) // 8).bit_length())
+    """Counts of shingles by the low bits of their hashes, in a power of two of groups, two to four in a group."""
+    groups = 1 << max(3, (len(found) // 4).bit_length())
     return np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16 if len(found) < 1 << 16 else np.uint32)
 
 
@@ -255,12 +255,15 @@ def _needed_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int,
 
 
 def _search_tiles(p: int):
-    """Searches of all tiles of a bucket: rows bucket, key, tile, asks, cls, n, component, point."""
+    """Searches of all tiles of a bucket: rows bucket, key, tile, asks, cls, n, component, point, keys.
+
+    keys are all mixed blocks of a class. A pair is given in the least block that both are in, and there only.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         key, tile, asks, cls, n, component = (table[c].to_numpy() for c in ("key", "tile", "asks", "cls", "n", "component"))
-        raw = table["point"].to_pylist()
+        raw, blocks = table["point"].to_pylist(), [frozenset(x) for x in table["keys"].to_pylist()]
         order = np.lexsort((asks, tile, key))
         a_out: list[np.ndarray] = []
         b_out: list[np.ndarray] = []
@@ -275,6 +278,7 @@ def _search_tiles(p: int):
             tree = CountTree(np.stack([points[k] for k in held.tolist()]), n[held], component[held])
             for q in asking.tolist():
                 hits = held[tree.search(points[q], int(n[q]), int(component[q]), p)]
+                hits = hits[[min(blocks[q] & blocks[h]) == key[q] for h in hits.tolist()]] if len(hits) else hits
                 a_out.append(np.full(len(hits), cls[q]))
                 b_out.append(cls[hits])
         none = np.zeros(0, np.int64)
@@ -323,17 +327,19 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch) -> tuple[DataFrame,
     mixed = scratch.save(mixed)
     total = mixed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     if total:
-        rest = scratch.save(hot_join(placed.select("key", "cls", "component"), mixed, "key", "size", total).join(classes.select("cls", "n", "point"), "cls"))
+        rest = scratch.save(hot_join(placed.select("key", "cls", "component"), mixed, "key", "size", total))
+        of_class = rest.groupBy("cls").agg(F.collect_list("key").alias("keys")).join(classes.select("cls", "n", "point"), "cls")
+        rest = scratch.save(rest.join(of_class, "cls"))
         asking = rest.where(F.col("component") != F.col("main"))
         askers = asking.groupBy("key").agg(F.count("*").alias("askers"))
         chunks = mixed.join(askers, "key").select("key", "size", F.ceil(F.col("size") / TILE).cast("int").alias("held_chunks"), F.ceil(F.col("askers") / TILE).cast("int").alias("ask_chunks"))
         chunks = scratch.save(chunks)
-        held = hot_join(rest.select("key", "cls", "component", "n", "point"), chunks, "key", "size", total)
+        held = hot_join(rest.select("key", "cls", "component", "n", "point", "keys"), chunks, "key", "size", total)
         held = held.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("held_chunks")).cast("int"))
-        held = held.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("ask_chunks") - 1), lambda k: F.col("own") + F.col("held_chunks") * k)).alias("tile"), F.lit(False).alias("asks"), "cls", "n", "component", "point")
-        ask = hot_join(asking.select("key", "cls", "component", "n", "point"), chunks, "key", "size", total)
+        held = held.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("ask_chunks") - 1), lambda k: F.col("own") + F.col("held_chunks") * k)).alias("tile"), F.lit(False).alias("asks"), "cls", "n", "component", "point", "keys")
+        ask = hot_join(asking.select("key", "cls", "component", "n", "point", "keys"), chunks, "key", "size", total)
         ask = ask.withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("ask_chunks")).cast("int"))
-        ask = ask.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("held_chunks") - 1), lambda k: F.col("own") * F.col("held_chunks") + k)).alias("tile"), F.lit(True).alias("asks"), "cls", "n", "component", "point")
+        ask = ask.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("held_chunks") - 1), lambda k: F.col("own") * F.col("held_chunks") + k)).alias("tile"), F.lit(True).alias("asks"), "cls", "n", "component", "point", "keys")
         tiles = scratch.save(held.unionByName(ask))
         buckets = max(1, -(-tiles.count() // (4 * TILE)))
         more = tiles.withColumn("bucket", F.pmod(F.xxhash64("key", "tile"), F.lit(buckets))).groupBy("bucket").applyInArrow(_search_tiles(p), "a long, b long")

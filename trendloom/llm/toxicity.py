@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not len(sample):  # nothing to learn from: the fixed lexicon alone
         x = np.zeros((2, VOTERS + 5))
         x[1] = model.features(" ".join(LEXICON), {})
-        sample_x, share = x, 0.5
+        sample_x, share = np.repeat(x, 100, axis=0), 0.5
     else:
         sample_x, share = np.array(sample["x"].tolist()), float(np.clip(sample["toxic"].mean(), 0.01, 0.5))
     post, _, _ = label_model(votes_of(sample_x), share)
