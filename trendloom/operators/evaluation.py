@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +33,15 @@ def _precision() -> list[Column]:
 def by_band(answered: DataFrame) -> DataFrame:
     """low, high, n, n_correct, precision (null for an empty band)."""
     bands = answered.sparkSession.createDataFrame(list(zip(EDGES, EDGES[1:], strict=False)), "low double, high double")
-    in_band = F.broadcast(bands).join(answered, (F.col("score") >= F.col("low")) & (F.col("score") < F.col("high"))).groupBy("low", "high").agg(*_precision())
-    return bands.join(in_band, ["low", "high"], "left").select("low", "high", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_correct", F.lit(0)).alias("n_correct"), "precision")
+    low = reduce(lambda chain, e: chain.when(F.col("score") >= e, e), reversed(EDGES[:-1]), F.when(F.col("score") >= EDGES[-1], None))
+    in_band = answered.withColumn("low", low).where("low is not null").groupBy("low").agg(*_precision())
+    return bands.join(in_band, "low", "left").select("low", "high", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_correct", F.lit(0)).alias("n_correct"), "precision")
 
 
 def cumulative(answered: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """threshold, n, n_correct, precision of all pairs at or above each edge but the last; empty ones are left out."""
-    floors = answered.sparkSession.createDataFrame([(e,) for e in EDGES[:-1]], "threshold double")
-    return answered.join(F.broadcast(floors), F.col("score") >= F.col("threshold")).groupBy(*(extra or []), "threshold").agg(*_precision())
+    reached = F.filter(F.array(*map(F.lit, EDGES[:-1])), lambda e: F.col("score") >= e)
+    return answered.withColumn("threshold", F.explode(reached)).groupBy(*(extra or []), "threshold").agg(*_precision())
 
 
 def wilson(right: Column, n: Column, z: float = 1.96) -> list[Column]:

@@ -33,8 +33,7 @@ def gram_idf(rows: DataFrame) -> DataFrame:
     """gram, df, idf over all rows: a norm that several rows have counts as often."""
     names = rows.groupBy("norm").agg(F.count("*").alias("rows"))
     counted = grams(names).join(names, "norm").groupBy("gram").agg(F.sum("rows").alias("df"))
-    total = names.agg(F.sum("rows").alias("n_rows"))
-    return counted.join(F.broadcast(total), F.lit(True)).select("gram", "df", (F.log((1 + F.col("n_rows")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return counted.select("gram", "df", (F.log((1 + F.lit(rows.count())) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def gram_weights(rows: DataFrame) -> DataFrame:
