@@ -54,8 +54,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch = Scratch(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
+        scratch = Scratch(spark)
         docs = scratch.save(stage(spark, docs, sf_dir))
+        if before:
+            before.close()
+        before = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
