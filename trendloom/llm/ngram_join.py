@@ -3,9 +3,9 @@
 A document is the set of its distinct word shingles, as 64-bit hashes. Equal sets are one class. A link of
 similarity p % between sets of a and b shingles leaves at most T = (a + b)(100 - p) / (100 + p) shingles that only one has.
 
-- Tokens are hashed into T + 1 groups. A link leaves at least one group with equal content, so that documents
-  that share the digest of a group, and the size range it belongs to, form blocks, which miss no link. Blocks
-  with the same members are one.
+- Tokens are hashed into somewhat more than T groups. A link leaves at least one group with equal content, so that
+  documents that share the digest of a group, and the size range it belongs to, form blocks, which miss no link.
+  Blocks with the same members are one.
 - The numbers of shingles in each group are the document's point. The sum of the smaller coordinates of two
   points bounds the overlap of their sets from above.
 - First every member of a block is held against two pivots of the block, in which near copies of one
@@ -99,33 +99,48 @@ def ranges(p: int, most: int) -> list[int]:
 
 
 class Grouping:
+    """Hash groups for each size range. A range's sets are also grouped with the next larger range.
+
+    If more groups of a set are filled than shingles may differ, a set linked with it shares a filled group. There are
+    enough groups that this holds for nearly all sets; the few others also list their empty groups. If neither of two
+    linked sets fills enough groups, both list the empty ones, and one group in all, filled or empty, is equal.
+    """
+
     def __init__(self, p: int):
         self.p, self.ends = p, np.asarray(ranges(p, 1 << 31))
-
-    def differences(self, j):
-        """Shingles that only one of two linked sets may have, the smaller set being of range j or below."""
-        end = self.ends[j]
-        return (end + 100 * end // self.p) * (100 - self.p) // (100 + self.p)
+        self.most = (self.ends + 100 * self.ends // p) * (100 - p) // (100 + p)
+        least = np.concatenate([[1], self.ends[:-1] + 1])
+        groups = self.most + 1.0
+        for _ in range(20):  # enough for most + 1 filled ones, and some to spare, in the smallest sets of the range
+            filled = -np.expm1(-least / groups)
+            wanted = (self.most + 1 + 3 * np.sqrt(groups * (1 - filled))) / filled
+            groups = np.clip(wanted, groups, 2 * (self.most + 1))
+        self.groups = np.where(self.most > 0, np.ceil(groups), 0).astype(np.int64)
 
     def keys(self, sets: list[np.ndarray]) -> list[np.ndarray]:
-        """For each set the digests of its groups' contents in the ranges that it takes part in; none if only equal sets link."""
+        """For each set the digests of its groups' contents; none in a range where only equal sets link."""
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         flat = np.concatenate([np.zeros(0, np.uint64), *sets])
         mixed, owner = _mix(flat + np.uint64(0x5851F42D4C957F2D)), np.repeat(np.arange(len(sets)), sizes)
         own = np.searchsorted(self.ends, sizes)
         out = []
         for k in (own - 1, own):
-            groups = np.where((k >= 0) & (sizes > 0), self.differences(np.maximum(k, 0)) + 1, 0)
-            groups[groups == 1] = 0
-            salt = _mix((np.maximum(k, 0) + 1).astype(np.uint64))
+            ranged = np.maximum(k, 0)
+            groups = np.where((k >= 0) & (sizes > 0), self.groups[ranged], 0)
+            salt = _mix((ranged + 1).astype(np.uint64))
             offsets = np.cumsum(groups) - groups
             used = groups[owner] > 0
             who = owner[used]
-            group = _mix(flat[used] ^ salt[who]) % groups[who].astype(np.uint64)
-            sums = np.zeros(int(groups.sum()), np.uint64)
-            np.add.at(sums, offsets[who] + group.astype(np.int64), mixed[used])
-            place = np.arange(len(sums)) - np.repeat(offsets, groups)
-            out.append(np.split(_mix(_mix(sums + place.astype(np.uint64)) ^ np.repeat(salt, groups)), np.cumsum(groups)[:-1]))
+            slot = offsets[who] + (_mix(flat[used] ^ salt[who]) % groups[who].astype(np.uint64)).astype(np.int64)
+            total = int(groups.sum())
+            sums = np.zeros(total, np.uint64)
+            np.add.at(sums, slot, mixed[used])
+            filled, of = np.bincount(slot, minlength=total) > 0, np.repeat(np.arange(len(sets)), groups)
+            too_few = np.bincount(of[filled], minlength=len(sets)) <= self.most[ranged]
+            listed = np.flatnonzero(filled | too_few[of])
+            place = listed - offsets[of[listed]]
+            digests = _mix(_mix(sums[listed] + place.astype(np.uint64)) ^ salt[of[listed]])
+            out.append(np.split(digests, np.cumsum(np.bincount(of[listed], minlength=len(sets)))[:-1]))
         return [np.concatenate(x) for x in zip(*out, strict=True)] if len(sets) else []
 
 
