@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,33 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of the id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+#: Bits of a map of hashes: 2 MB, whatever the number of hashes.
+MAP_BITS, MAP_BLOCK = 1 << 24, 1 << 15
+
+
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """A map, as packed bits, that has a bit set for each value of the one column (long) of hashes.
+
+    Values whose bit is not set are surely not in the column, so that the map can thin out what is shuffled for an exact join.
+    The more values, the less it thins out; its size stays.
+    """
+    (column,) = hashes.columns
+    bit = F.pmod(F.col(column), F.lit(MAP_BITS))
+    bits = hashes.select(bit.alias("bit")).distinct().withColumn("block", F.floor(F.col("bit") / MAP_BLOCK).cast("long"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        held = np.zeros(MAP_BLOCK, np.uint8)
+        held[table["bit"].to_numpy() % MAP_BLOCK] = 1
+        return pa.table({"block": table["block"].slice(0, 1), "bits": [np.packbits(held).tobytes()]})
+
+    out = np.zeros((MAP_BITS // MAP_BLOCK, MAP_BLOCK // 8), np.uint8)
+    for row in bits.groupBy("block").applyInArrow(pack, "block long, bits binary").collect():
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def in_map(held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    bit = np.mod(values, MAP_BITS)
+    return held[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1 == 1

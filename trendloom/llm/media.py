@@ -95,6 +95,13 @@ def features(samples: np.ndarray) -> str:
     return f"mean={mean:.3f};std={std:.3f};crossings={crossings:.4f};entropy={-float((share * np.log2(share)).sum()):.4f}"
 
 
+def _slices(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most n rows, so that copies of the payloads of a few rows only are held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
@@ -135,7 +142,7 @@ def store(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         return chunks, digests, [k for k, b in enumerate(number) if held[b >> 3] >> (7 - (b & 7)) & 1]
 
     def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows: dict[str, list] = {"n_bytes": [], "samples": [], "digests": [], "shared": [], "own": []}
             for text in batch.column(2).to_pylist():
                 chunks, digests, shared = split(text, bits.value)
@@ -148,7 +155,7 @@ def store(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows["n_bytes"], pa.int64()), pa.array(rows["samples"], pa.int64()), pa.array(rows["digests"], pa.list_(pa.binary())), pa.array(rows["shared"], pa.list_(pa.int32())), pa.array(rows["own"], pa.list_(pa.binary()))], ["row", "doc_id", "n_bytes", "samples", "digests", "shared", "own"])
 
     def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             seen: dict[bytes, list] = {}
             for text in batch.column(1).to_pylist():
                 chunks, digests, shared = split(text, bits.value)
@@ -168,7 +175,7 @@ RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_bytes, samples, digests, shared, own, fetched (position, chunk) to RESULT."""
     names = [c.split()[0] for c in RESULT.split(", ")]
-    for batch in batches:
+    for batch in _slices(batches):
         out: dict[str, list] = {c: [] for c in names}
         for r in batch.to_pylist():
             fetched = {x["position"]: x["chunk"] for x in r["fetched"] or []}

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_join
+from .common import Scratch, bit_map, hot_join, in_map
 from .components import components, one_round
 from .wordcodec import BLOCK, word_hashes
 
@@ -147,12 +147,12 @@ class Grouping:
 def point(found: np.ndarray) -> np.ndarray:
     """Counts of shingles by the low bits of their hashes, in a power of two of groups, two to four in a group."""
     groups = 1 << max(3, (len(found) // 4).bit_length())
-    return np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16 if len(found) < 1 << 16 else np.uint32)
+    return np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     """A point in fewer groups."""
-    return counts.reshape(-1, groups).sum(axis=0) if len(counts) != groups else counts
+    return counts.astype(np.uint32).reshape(-1, groups).sum(axis=0, dtype=np.uint32)
 
 
 def may_link(shared: np.ndarray | int, sizes: np.ndarray | int, p: int):
@@ -217,7 +217,7 @@ def _sets(docs: DataFrame, n: int, p: int) -> DataFrame:
                     seen.add(digest)
                 none = np.zeros(0, np.uint64)
                 keys = grouping.keys([x if k else none for x, k in zip(sets, new, strict=True)])
-                points = [point(x).astype("<u4").tobytes() if k else None for x, k in zip(sets, new, strict=True)]
+                points = [point(x).astype("<u2" if len(x) < 1 << 16 else "<u4").tobytes() if k else None for x, k in zip(sets, new, strict=True)]
                 halves = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))
@@ -256,17 +256,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -> Da
 def _needed_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """cls, found (the whole set, 8 bytes a shingle) of every class in pairs, from the text of one of its documents."""
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", F.col("rep_id").alias("_rep"), F.col("rep_text").alias("_rep_text")), "cls")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
-    joined = texts.join(needed, F.col("_doc").eqNullSafe(F.col("_rep")) & (F.col("_hash") == F.col("_rep_text"))).select("cls", "text")
+    needed = scratch.save(needed)
+    held = docs.sparkSession.sparkContext.broadcast(bit_map(needed.select("_rep_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingles(part.column(1).to_pylist(), n)], pa.binary())], ["cls", "found"])
+            wanted = batch.filter(pa.array(in_map(held.value, batch.column(1).to_numpy(zero_copy_only=False))))
+            for at in range(0, wanted.num_rows, 512):
+                part = wanted.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in shingles(part.column(2).to_pylist(), n)], pa.binary())], ["_doc", "_hash", "found"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), F.col("text"))
+    sets = texts.mapInArrow(run, "_doc long, _hash long, found binary")
+    joined = sets.join(needed, F.col("_doc").eqNullSafe(F.col("_rep")) & (F.col("_hash") == F.col("_rep_text"))).select("cls", "found")
+    return scratch.save(joined.dropDuplicates(["cls"]))
+
+
+def _listed(table: DataFrame, blocks: DataFrame) -> DataFrame:
+    """row, key of the rows' keys that are in blocks, and of few others."""
+    held = table.sparkSession.sparkContext.broadcast(bit_map(blocks.select("key")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            keys = lists.flatten().to_numpy(zero_copy_only=False)
+            rows = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            kept = in_map(held.value, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[kept]), pa.array(keys[kept])], ["row", "key"])
 
-    found = joined.mapInArrow(run, "cls long, found binary")
-    return scratch.save(found.groupBy("cls").agg(F.first("found").alias("found")))
+    return table.select("row", "keys").mapInArrow(run, "row long, key long")
 
 
 def _search_tiles(p: int):
@@ -287,7 +305,7 @@ def _search_tiles(p: int):
             held, asking = part[~asks[part]], part[asks[part]]
             if not len(held) or not len(asking):
                 continue
-            points = [np.frombuffer(raw[k], "<u4") for k in part.tolist()]
+            points = [np.frombuffer(raw[k], "<u2" if n[k] < 1 << 16 else "<u4") for k in part.tolist()]
             groups = min(map(len, points))
             points = dict(zip(part.tolist(), (folded(x, groups) for x in points), strict=True))
             tree = CountTree(np.stack([points[k] for k in held.tolist()]), n[held], component[held])
@@ -314,12 +332,11 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch) -> tuple[DataFrame,
     keys = keyed.select("row", F.explode("keys").alias("key"))
 
     # blocks of at least two, those with the same members once; two pivots of each
-    one, two = F.xxhash64("row", F.lit(1)), F.xxhash64("row", F.lit(2))
     veil = F.xxhash64("key").bitwiseAND(F.lit(LONG))  # orders the members of each block in its own way
-    blocks = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("low"), F.max("row").alias("high"), F.bit_xor(one).alias("x1"), F.bit_xor(two).alias("x2"), F.min(F.col("row").bitwiseXOR(veil)).alias("any")).where("low < high")
-    blocks = scratch.save(blocks.groupBy("size", "low", "high", "x1", "x2").agg(F.min(F.struct("key", "any")).alias("k")).select(F.col("k.key").alias("key"), "size", "low", F.col("k.any").bitwiseXOR(F.xxhash64("k.key").bitwiseAND(F.lit(LONG))).alias("any")))
+    blocks = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("low"), F.bit_xor(F.xxhash64("row")).alias("all"), F.min(F.col("row").bitwiseXOR(veil)).alias("any")).where("size > 1")
+    blocks = scratch.save(blocks.groupBy("size", "low", "all").agg(F.min(F.struct("key", "any")).alias("k")).select(F.col("k.key").alias("key"), "size", "low", F.col("k.any").bitwiseXOR(F.xxhash64("k.key").bitwiseAND(F.lit(LONG))).alias("any")))
     total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    members = scratch.save(hot_join(keys, blocks, "key", "size", total))
+    members = scratch.save(hot_join(scratch.save(_listed(keyed, blocks)), blocks.select("key", "size", "low", "any"), "key", "size", total))
 
     # rows of tasks that met the same set are one class
     own = keyed.select("row", "sig").join(classes.select("sig", "cls"), "sig").where("row <> cls").select("row", "cls")
@@ -343,21 +360,20 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch) -> tuple[DataFrame,
     total = mixed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     if total:
         rest = scratch.save(hot_join(placed.select("key", "cls", "component"), mixed, "key", "size", total))
-        of_class = rest.groupBy("cls").agg(F.collect_list("key").alias("keys")).join(classes.select("cls", "n", "point"), "cls")
-        rest = scratch.save(rest.join(of_class, "cls"))
+        of_class = scratch.save(rest.groupBy("cls").agg(F.collect_list("key").alias("keys")).join(classes.select("cls", "n", "point"), "cls"))
         asking = rest.where(F.col("component") != F.col("main"))
         askers = asking.groupBy("key").agg(F.count("*").alias("askers"))
-        chunks = mixed.join(askers, "key").select("key", "size", F.ceil(F.col("size") / TILE).cast("int").alias("held_chunks"), F.ceil(F.col("askers") / TILE).cast("int").alias("ask_chunks"))
+        chunks = mixed.join(askers, "key").select("key", "size", "askers", F.ceil(F.col("size") / TILE).cast("int").alias("held_chunks"), F.ceil(F.col("askers") / TILE).cast("int").alias("ask_chunks"))
         chunks = scratch.save(chunks)
-        held = hot_join(rest.select("key", "cls", "component", "n", "point", "keys"), chunks, "key", "size", total)
-        held = held.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("held_chunks")).cast("int"))
-        held = held.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("ask_chunks") - 1), lambda k: F.col("own") + F.col("held_chunks") * k)).alias("tile"), F.lit(False).alias("asks"), "cls", "n", "component", "point", "keys")
-        ask = hot_join(asking.select("key", "cls", "component", "n", "point", "keys"), chunks, "key", "size", total)
-        ask = ask.withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("ask_chunks")).cast("int"))
-        ask = ask.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("held_chunks") - 1), lambda k: F.col("own") * F.col("held_chunks") + k)).alias("tile"), F.lit(True).alias("asks"), "cls", "n", "component", "point", "keys")
-        tiles = scratch.save(held.unionByName(ask))
-        buckets = max(1, -(-tiles.count() // (4 * TILE)))
-        more = tiles.withColumn("bucket", F.pmod(F.xxhash64("key", "tile"), F.lit(buckets))).groupBy("bucket").applyInArrow(_search_tiles(p), "a long, b long")
+        n_rows = chunks.agg(F.coalesce(F.sum(F.col("size") * F.col("ask_chunks") + F.col("askers") * F.col("held_chunks")), F.lit(0))).first()[0]
+        of_key = chunks.drop("askers")
+        held = hot_join(rest.select("key", "cls", "component"), of_key, "key", "size", total).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("held_chunks")).cast("int"))
+        held = held.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("ask_chunks") - 1), lambda k: F.col("own") + F.col("held_chunks") * k)).alias("tile"), F.lit(False).alias("asks"), "cls", "component")
+        ask = hot_join(asking.select("key", "cls", "component"), of_key, "key", "size", total).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("ask_chunks")).cast("int"))
+        ask = ask.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("held_chunks") - 1), lambda k: F.col("own") * F.col("held_chunks") + k)).alias("tile"), F.lit(True).alias("asks"), "cls", "component")
+        buckets = max(1, -(-n_rows // (4 * TILE)))
+        tiles = held.unionByName(ask).withColumn("bucket", F.pmod(F.xxhash64("key", "tile"), F.lit(buckets))).join(of_class, "cls")
+        more = tiles.select("bucket", "key", "tile", "asks", "cls", "n", "component", "point", "keys").groupBy("bucket").applyInArrow(_search_tiles(p), "a long, b long")
         more = scratch.save(more.distinct().join(pairs, ["a", "b"], "left_anti"))
         sets = _needed_sets(docs, classes, more, n, scratch)
         linked = linked.unionByName(_verified(more, sets, p, scratch))
