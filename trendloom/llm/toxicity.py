@@ -177,14 +177,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([model.features(t, memo).tolist() for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
     sample = rows.mapInArrow(vote, "x array<double>, toxic int").toPandas()
-    if not len(sample):  # nothing to learn from: the fixed lexicon alone
-        x = np.zeros((2, VOTERS + 5))
-        x[1] = model.features(" ".join(LEXICON), {})
-        sample_x, share = np.repeat(x, 100, axis=0), 0.5
-    else:
-        sample_x, share = np.array(sample["x"].tolist()), float(np.clip(sample["toxic"].mean(), 0.01, 0.5))
-    post, _, _ = label_model(votes_of(sample_x), share)
-    model.mean, model.weights = logistic(sample_x, post)
+    if len(sample):
+        x = np.array(sample["x"].tolist())
+        post, _, _ = label_model(votes_of(x), float(np.clip(sample["toxic"].mean(), 0.01, 0.5)))
+    else:  # nothing to learn from: a text of the fixed lexicon against one without marks
+        x = np.repeat([np.zeros(VOTERS + 5), model.features(" ".join(LEXICON), {})], 100, axis=0)
+        post = np.repeat([0.0, 1.0], 100)
+    model.mean, model.weights = logistic(x, post)
     return model
 
 
