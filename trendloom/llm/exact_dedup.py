@@ -170,7 +170,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
         rows = scratch.save(docs.select(F.col("doc_id").cast("long"), digest_of().alias("digest"), F.monotonically_increasing_id().alias("row")))
         total, cut = midpoint(rows)
         winners = groups_of_copies(rows, scratch, total, cut).select(F.coalesce("keep_id", F.lit(-1)).alias("_keep"), F.col("keep_id").isNull().alias("_none"), F.col("digest").alias("_digest"))
-        winners = scratch.save(winners)
+        winners = scratch.kept(winners)
         keyed = docs.withColumns({"_keep": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_none": F.col("doc_id").isNull(), "_digest": digest_of()})
         kept = keyed.join(winners, ["_keep", "_none", "_digest"], "left_semi").dropDuplicates(["_keep", "_none", "_digest"])
-        return scratch.kept(kept.select(*docs.columns))
+        return kept.select(*docs.columns)

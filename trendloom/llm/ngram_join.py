@@ -406,5 +406,5 @@ def without_near_copies(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
 
     Rows that share a doc_id stay together if one of them does."""
     with Scratch(docs.sparkSession) as scratch:
-        kept = scratch.save(ngram_components(docs, n, p, scratch).where("row = keep_row").select("doc_id").distinct()).withColumnRenamed("doc_id", "_keep")
-        return scratch.kept(docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").select(*docs.columns))
+        kept = scratch.kept(ngram_components(docs, n, p, scratch).where("row = keep_row").select("doc_id").distinct()).withColumnRenamed("doc_id", "_keep")
+        return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").select(*docs.columns)

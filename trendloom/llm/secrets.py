@@ -201,7 +201,7 @@ def secret_spans(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 def redacted(docs: DataFrame, rules: list[Rule] = RULES, mark: str = "[secret]") -> DataFrame:
     """docs with every span of a secret replaced by a mark; all rows stay, and n_chars follows the text if there is one."""
     with Scratch(docs.sparkSession) as scratch:
-        found = scratch.save(found_spans(docs, scratch, rules)).withColumnsRenamed({"_id": "_fid", "_text": "_ftext", "spans": "_spans"})
+        found = scratch.kept(found_spans(docs, scratch, rules)).withColumnsRenamed({"_id": "_fid", "_text": "_ftext", "spans": "_spans"})
         named = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
         joined = named.join(found, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_text") == F.col("_ftext")), "left")
 
@@ -213,7 +213,7 @@ def redacted(docs: DataFrame, rules: list[Rule] = RULES, mark: str = "[secret]")
         clean = F.aggregate(F.col("_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
         text = F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text"))
         columns = [text.alias("text") if c == "text" else F.when(F.col("_spans").isNotNull(), F.char_length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-        return scratch.kept(joined.select(*columns))
+        return joined.select(*columns)
 
 
 def _oracle_kind(number: int, rule: Rule) -> str:

@@ -180,9 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if len(sample):
         x = np.array(sample["x"].tolist())
         post, _, _ = label_model(votes_of(x), float(np.clip(sample["toxic"].mean(), 0.01, 0.5)))
-    else:  # nothing to learn from: a text of the fixed lexicon against one without marks
-        x = np.repeat([np.zeros(VOTERS + 5), model.features(" ".join(LEXICON), {})], 100, axis=0)
-        post = np.repeat([0.0, 1.0], 100)
+    else:  # nothing to learn from: the words of the fixed lexicon against texts without marks
+        x = np.repeat([*[np.zeros(VOTERS + 5)] * len(LEXICON), *[model.features(w, {}) for w in LEXICON]], 20, axis=0)
+        post = np.repeat([0.0, 1.0], len(x) // 2)
     model.mean, model.weights = logistic(x, post)
     return model
 
