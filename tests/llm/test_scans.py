@@ -85,3 +85,15 @@ def test_edited_template_and_repeats(spark):
     got = licenses.license_matches(documents(spark, [(1, text, "en", "s", 1)])).where("license = 'apache-2.0-header'").orderBy("start").collect()
     assert len(got) == 2 and 0.8 <= got[0]["coverage"] < 1 and got[1]["coverage"] == 1
     assert licenses.license_matches(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("between", ["", " and"])
+def test_adjacent_copies_are_rows_each(spark, between):
+    times = {name: 40 if name == "all-rights-reserved" else 5 for name in licenses.TEMPLATES}
+    docs = [(k, " ".join([text + between] * times[name]), "en", "s", 1) for k, (name, text) in enumerate(licenses.TEMPLATES.items())]
+    got = licenses.license_matches(documents(spark, docs)).collect()
+    for k, (name, text) in enumerate(licenses.TEMPLATES.items()):
+        spots = sorted((r["start"], r["end"], r["coverage"]) for r in got if r["doc_id"] == k and r["license"] == name)
+        words = list(licenses._word.finditer(text))
+        step = len(text + between) + 1
+        assert spots == [(n * step + words[0].start(), n * step + words[-1].end(), 1.0) for n in range(times[name])]

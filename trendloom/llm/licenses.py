@@ -2,16 +2,18 @@
 
 Templates are cut into words and their K-word shingles are winnowed: of each WINDOW consecutive hashes the least
 is kept. The inverted index maps a hash to its places in the templates; it is small and fixed and goes to
-all workers. All shingles of a document are looked up, so that no kept fingerprint can be missed. Hits of a template on
-diagonals no more than BAND apart are one candidate; the words around it are aligned with the template inside
-a band, and the alignment with the most matched words gives coverage and span. Documents are independent; nothing is shuffled.
+all workers. All shingles of a document are looked up, so that no kept fingerprint can be missed. The words of a template around
+a hit are aligned with it inside a band, and as many disjoint alignments as there are give coverage and span
+each. Documents are independent; nothing is shuffled.
 
-Defined results: a null or empty text has no match; a template that occurs several times is reported each time;
+Defined results: a null or empty text has no match; a template that occurs several times is reported each time, also
+where one copy follows the other; rows of one template do not overlap;
 repeated rows are scanned each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -77,9 +79,10 @@ def winnowed(grams: np.ndarray, window: int = WINDOW) -> list[int]:
 
 
 class Index:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], coverage: float):
         memo = _Hashes()
         self.words = {name: np.fromiter((memo[w] for w in _word.findall(text)), np.uint64) for name, text in templates.items()}
+        self.need = {name: max(1, math.ceil(coverage * len(words) - 1e-9)) for name, words in self.words.items()}
         self.places: dict[int, list[tuple[str, int]]] = defaultdict(list)
         for name, words in self.words.items():
             grams = _grams(words)
@@ -87,47 +90,72 @@ class Index:
                 self.places[int(grams[at])].append((name, at))
         self.hashes = np.sort(np.fromiter(self.places, np.uint64, len(self.places)))
 
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[str, int, int]]:
-        """Template, first and last diagonal (place in the document less place in the template)."""
+    def candidates(self, words: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+        """Template, and places of its words in the document that one or more alignments may use: a run with a fingerprint in it."""
         grams = _grams(words)
         if not len(grams) or not len(self.hashes):
             return
         near = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
-        diagonals: dict[str, list[int]] = defaultdict(list)
+        found: dict[str, list[int]] = defaultdict(list)
         for at in np.flatnonzero(self.hashes[near] == grams).tolist():
-            for name, place in self.places[int(grams[at])]:
-                diagonals[name].append(at - place)
-        for name, found in diagonals.items():
-            found.sort()
-            first = last = found[0]
-            for d in found[1:]:
-                if d - last > BAND:
-                    yield name, first, last
-                    first = d
-                last = d
-            yield name, first, last
-
-
-def aligned(template: np.ndarray, words: np.ndarray, first: int, last: int) -> tuple[int, int, int] | None:
-    """Matched words, first and last matched place of the alignment with the most matches, and of those the shortest,
-    among diagonals first - BAND to last + BAND."""
-    low, width = first - BAND, last - first + 2 * BAND + 1
-    # best[d] = (matches, -span begin) of an alignment that has used template words so far and is on diagonal low + d
-    best: list[tuple[int, int, int]] = [(0, -1, -1)] * width
-    for i, w in enumerate(template):
-        new = list(best)
-        for d in range(width):
-            j = i + low + d
-            if 0 <= j < len(words) and words[j] == w:
-                # matched words so far lie before place j: on any diagonal whose last match is earlier
-                options = [x for x in best[: d + 1] + best[d + 1 :] if x[2] < j]
-                m, begin, _ = max(options, key=lambda x: (x[0], x[1]), default=(0, -1, -1))
-                got = (m + 1, begin if m else j, j)
-                if (got[0], got[1]) > (new[d][0], new[d][1]):
-                    new[d] = got
-        best = new
-    m, begin, end = max(best, key=lambda x: (x[0], x[1] - x[2]))
-    return (m, begin, end) if m else None
+            for name in {name for name, _ in self.places[int(grams[at])]}:
+                found[name].append(at)
+        for name, hits in found.items():
+            n, need = len(self.words[name]), self.need[name]
+            places = np.flatnonzero(np.isin(words, self.words[name]))
+            # two matched words in a row are at most so far apart
+            for run in np.split(places, np.flatnonzero(np.diff(places) > n - need + 1 + BAND) + 1):
+                if len(run) >= need and np.searchsorted(hits, run[0]) < np.searchsorted(hits, run[-1], "right"):
+                    yield name, run
+
+
+def _ended(t: np.ndarray, j: np.ndarray, n: int, need: int) -> np.ndarray:
+    """t, j: template and document places of pairs of equal words, in the order of j. For each pair, up to the first
+    with ``need`` matches: matches of the longest alignment that ends there << 32 | the latest place where such a one begins."""
+    key, d = np.zeros(len(j), np.int64), j - t
+    low, high = np.searchsorted(j, j - (n - 1 + BAND)), np.searchsorted(j, j)
+    for k, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        before = key[a:b][(t[a:b] < t[k]) & (d[a:b] >= d[k] - BAND)]
+        key[k] = (before.max() if len(before) else int(j[k])) + (1 << 32)
+        if key[k] >> 32 >= need:
+            return key[: k + 1]
+    return key
+
+
+def occurrences(template: np.ndarray, words: np.ndarray, places: np.ndarray, need: int) -> list[tuple[int, int, int]]:
+    """Matched words, first and last matched place of as many disjoint alignments with ``need`` matches as there are.
+
+    An alignment matches words in the order of both sides; from one match to the next it skips any words of the
+    template, and at most BAND words more of the document. Always the one that ends first, and of those the
+    one that begins last, is a core; each core then gives way to the alignment with the most matches, of those the shortest
+    and of those the first, between the alignment before it and the core after it.
+    """
+    n = len(template)
+    at: dict[int, list[int]] = defaultdict(list)
+    for i, w in enumerate(template.tolist()):
+        at[w].append(i)
+    pairs = np.array([(i, j) for j in places.tolist() for i in at[int(words[j])]], np.int64).reshape(-1, 2)
+    t, j = pairs[:, 0], pairs[:, 1]
+    cores, begin = [], 0
+    while begin < len(j):
+        key = _ended(t[begin:], j[begin:], n, need)
+        if key[-1] >> 32 < need:
+            break
+        last = j[begin + len(key) - 1]
+        stop = int(np.searchsorted(j, last, "right"))
+        back = _ended(n - 1 - t[begin:stop][::-1], last - j[begin:stop][::-1], n, need)
+        cores.append(int(j[stop - len(back)]))
+        begin = stop
+    out: list[tuple[int, int, int]] = []
+    for k in range(len(cores)):
+        a = np.searchsorted(j, out[-1][2], "right") if out else 0
+        b = np.searchsorted(j, cores[k + 1]) if k + 1 < len(cores) else len(j)
+        key = _ended(t[a:b], j[a:b], n, n + 1)
+        most = np.flatnonzero(key >> 32 == (key >> 32).max())
+        first = key[most] & 0xFFFFFFFF
+        best = int(np.argmin(j[a:b][most] - first))
+        out.append((int(key[most[best]] >> 32), int(first[best]), int(j[a:b][most[best]])))
+    return out
 
 
 RESULT = "doc_id long, license string, coverage double, start long, end long, matched long"
@@ -138,7 +166,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
     shared = docs.sparkSession.sparkContext.broadcast(templates or TEMPLATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, memo = Index(shared.value), _Hashes()
+        index, memo = Index(shared.value, coverage), _Hashes()
         names = [c.split()[0] for c in RESULT.split(", ")]
         for batch in batches:
             out: dict[str, list] = {c: [] for c in names}
@@ -146,10 +174,9 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
                 found = _word.findall(text or "")
                 words = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
                 spots: list[re.Match] = []
-                for name, first, last in index.candidates(words):
+                for name, run in index.candidates(words):
                     template = index.words[name]
-                    hit = aligned(template, words, first, last)
-                    if hit and hit[0] >= coverage * len(template):
+                    for hit in occurrences(template, words, run, index.need[name]):
                         spots = spots or list(_word.finditer(text))
                         row = (doc, name, round(hit[0] / len(template), 6), spots[hit[1]].start(), spots[hit[2]].end(), hit[0])
                         for c, v in zip(names, row, strict=True):
