@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -97,3 +98,71 @@ def test_adjacent_copies_are_rows_each(spark, between):
         words = list(licenses._word.finditer(text))
         step = len(text + between) + 1
         assert spots == [(n * step + words[0].start(), n * step + words[-1].end(), 1.0) for n in range(times[name])]
+
+
+def longest(template, words, j, i, cache):
+    """Matches of the longest alignment that begins with this pair and ends before len(words), by trying all; for each end."""
+    if (i, j) not in cache:
+        ends = {j: 1}
+        for y in range(j + 1, min(len(words), j + len(template) + licenses.BAND)):
+            for x in range(i + 1, len(template)):
+                if template[x] == words[y] and (y - j) - (x - i) <= licenses.BAND:
+                    for end, m in longest(template, words, y, x, cache).items():
+                        ends[end] = max(ends.get(end, 0), m + 1)
+        cache[i, j] = ends
+    return cache[i, j]
+
+
+def plain_places(template, words, need):
+    """The cores from left to right, each then replaced by the best alignment around it."""
+    cache, best = {}, {}
+    for j in range(len(words)):
+        for i in (i for i, w in enumerate(template) if w == words[j]):
+            for end, m in longest(template, words, j, i, cache).items():
+                best[j, end] = max(best.get((j, end), 0), m)
+    cores, after = [], 0
+    for end in range(len(words)):
+        begins = [a for (a, e), m in best.items() if e == end and a >= after and m >= need]
+        if begins:
+            cores.append(max(begins))
+            after = end + 1
+    out, after = [], 0
+    for k in range(len(cores)):
+        before = cores[k + 1] if k + 1 < len(cores) else len(words)
+        m, _, e, a = min((-m, e - a, e, a) for (a, e), m in best.items() if a >= after and e < before)
+        out.append((-m, a, e))
+        after = e + 1
+    return out
+
+
+def check_against_plain(spark, texts):
+    got = {}
+    for r in licenses.license_matches(documents(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)])).collect():
+        got.setdefault((r["doc_id"], r["license"]), []).append((r["matched"], r["start"], r["end"]))
+    for k, text in enumerate(texts):
+        spots = list(licenses._word.finditer(text))
+        words = [m.group().lower() for m in spots]
+        for name, template in licenses.TEMPLATES.items():
+            parts = [w.lower() for w in licenses._word.findall(template)]
+            want = [(m, spots[a].start(), spots[e].end()) for m, a, e in plain_places(parts, words, -(-8 * len(parts) // 10))]
+            assert sorted(got.get((k, name), [])) == sorted(want), (text, name)
+
+
+def test_one_word_edits_against_plain_version(spark):
+    texts = ["Released under an MIT License"]
+    for template in licenses.TEMPLATES.values():
+        words = template.split()
+        for k in range(len(words)):
+            texts += [" ".join(words[:k] + edit + words[k + 1 :]) for edit in ([], ["other"], ["put", "in", words[k]])]
+    check_against_plain(spark, texts)
+
+
+def test_many_edits_against_plain_version(spark):
+    rng, texts = random.Random(5), []
+    for template in licenses.TEMPLATES.values():
+        for _ in range(8):
+            words = []
+            for w in licenses._word.findall(template) * rng.randint(1, 3):
+                words += [[w], [w], [w], [w], [w], [w], [w, "x"], [], ["y"], [w] + ["z"] * rng.randint(5, 7)][rng.randrange(10)]
+            texts.append(" ".join(words))
+    check_against_plain(spark, texts)

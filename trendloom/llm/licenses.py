@@ -1,8 +1,10 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment measures them.
 
-Templates are cut into words and their K-word shingles are winnowed: of each WINDOW consecutive hashes the least
-is kept. The inverted index maps a hash to its places in the templates; it is small and fixed and goes to
-all workers. All shingles of a document are looked up, so that no kept fingerprint can be missed. The words of a template around
+The fingerprints of a template are its words, winnowed: of each window of consecutive ones the rarest in the
+templates is kept, the least hash among equals. An alignment that reaches the coverage misses m words at most, and so matches
+a run of at least need / (m + 1) words of the template, whatever stands between them in the document; windows are
+that long, so that such an alignment always has a kept fingerprint. All words of a document are looked up, and
+runs that have too few of a template's words for its coverage are left out. The words of a template around
 a hit are aligned with it inside a band, and as many disjoint alignments as there are give coverage and span
 each. Documents are independent; nothing is shuffled.
 
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-K, WINDOW, BAND, COVERAGE = 3, 4, 6, 0.8
+BAND, COVERAGE = 6, 0.8
 #: Short notices and headers of common licenses (fixed texts).
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
@@ -44,11 +46,6 @@ _word = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 MEMO = 1 << 20
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-    return x ^ (x >> np.uint64(28))
-
-
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
@@ -57,22 +54,13 @@ class _Hashes(dict):
         return out
 
 
-def _grams(words: np.ndarray) -> np.ndarray:
-    if len(words) < K:
-        return np.zeros(0, np.uint64)
-    x = words[: len(words) - K + 1]
-    for k in range(1, K):
-        x = _mix(x * np.uint64(0x100000001B3) + words[k : len(words) - K + 1 + k])
-    return x
-
-
-def winnowed(grams: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Places of the kept fingerprints: the rightmost least hash of every window; all windows of a short text count as one."""
+def winnowed(ranks: list, window: int) -> list[int]:
+    """Places of the kept fingerprints: the rightmost least rank of every window; all windows of a short text count as one."""
     kept: list[int] = []
-    for begin in range(max(1, len(grams) - window + 1)):
-        part = grams[begin : begin + window]
-        if len(part):
-            at = begin + len(part) - 1 - int(np.argmin(part[::-1]))
+    for begin in range(max(1, len(ranks) - window + 1)):
+        part = ranks[begin : begin + window]
+        if part:
+            at = begin + max(k for k, r in enumerate(part) if r == min(part))
             if not kept or kept[-1] != at:
                 kept.append(at)
     return kept
@@ -81,32 +69,40 @@ def winnowed(grams: np.ndarray, window: int = WINDOW) -> list[int]:
 class Index:
     def __init__(self, templates: dict[str, str], coverage: float):
         memo = _Hashes()
-        self.words = {name: np.fromiter((memo[w] for w in _word.findall(text)), np.uint64) for name, text in templates.items()}
-        self.need = {name: max(1, math.ceil(coverage * len(words) - 1e-9)) for name, words in self.words.items()}
-        self.places: dict[int, list[tuple[str, int]]] = defaultdict(list)
-        for name, words in self.words.items():
-            grams = _grams(words)
-            for at in winnowed(grams):
-                self.places[int(grams[at])].append((name, at))
-        self.hashes = np.sort(np.fromiter(self.places, np.uint64, len(self.places)))
+        words = {name: np.fromiter((memo[w] for w in _word.findall(text)), np.uint64) for name, text in templates.items()}
+        need = {name: max(1, math.ceil(coverage * len(w) - 1e-9)) for name, w in words.items()}
+        self.words = {name: w for name, w in words.items() if need[name] <= len(w)}
+        self.names, self.need = list(self.words), need
+        self.hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words.values()]))
+        #: how often each template has each word, and which words are its kept fingerprints
+        self.counts = np.array([np.bincount(np.searchsorted(self.hashes, w), minlength=len(self.hashes)) for w in self.words.values()]).reshape(len(self.names), len(self.hashes))
+        self.kept = np.zeros(self.counts.shape, bool)
+        self.least = np.array([need[name] for name in self.names])
+        common = dict(zip(self.hashes.tolist(), self.counts.sum(axis=0).tolist(), strict=True))
+        for k, (name, w) in enumerate(self.words.items()):
+            # len - need words may be missing, so that some run of matched words is as long as this
+            window = -(-need[name] // (len(w) - need[name] + 1))
+            ranks = [(common[h], h) for h in w.tolist()]
+            self.kept[k, np.searchsorted(self.hashes, w[winnowed(ranks, window)])] = True
 
     def candidates(self, words: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
         """Template, and places of its words in the document that one or more alignments may use: a run with a fingerprint in it."""
-        grams = _grams(words)
-        if not len(grams) or not len(self.hashes):
+        if not len(words) or not len(self.hashes):
             return
-        near = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
-        found: dict[str, list[int]] = defaultdict(list)
-        for at in np.flatnonzero(self.hashes[near] == grams).tolist():
-            for name in {name for name, _ in self.places[int(grams[at])]}:
-                found[name].append(at)
-        for name, hits in found.items():
-            n, need = len(self.words[name]), self.need[name]
-            places = np.flatnonzero(np.isin(words, self.words[name]))
+        near = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        places = np.flatnonzero(self.hashes[near] == words)
+        ids = near[places]
+        held = np.bincount(ids, minlength=len(self.hashes))
+        enough = np.minimum(self.counts, held).sum(axis=1) >= self.least
+        for k in np.flatnonzero(enough & (self.kept & (held > 0)).any(axis=1)).tolist():
+            n, need = len(self.words[self.names[k]]), int(self.least[k])
+            own = self.counts[k][ids] > 0
+            at, word = places[own], ids[own]
             # two matched words in a row are at most so far apart
-            for run in np.split(places, np.flatnonzero(np.diff(places) > n - need + 1 + BAND) + 1):
-                if len(run) >= need and np.searchsorted(hits, run[0]) < np.searchsorted(hits, run[-1], "right"):
-                    yield name, run
+            cuts = np.flatnonzero(np.diff(at) > n - need + 1 + BAND) + 1
+            for run, of in zip(np.split(at, cuts), np.split(word, cuts), strict=True):
+                if len(run) >= need and self.kept[k][of].any() and np.minimum(self.counts[k], np.bincount(of, minlength=len(self.hashes))).sum() >= need:
+                    yield self.names[k], run
 
 
 def _ended(t: np.ndarray, j: np.ndarray, n: int, need: int) -> np.ndarray:
