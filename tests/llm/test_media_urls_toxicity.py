@@ -131,6 +131,22 @@ def test_toxicity_without_labels_and_rows(spark):
     assert toxicity.toxicity_scores(spark.createDataFrame([], SCHEMA), none).count() == 0
 
 
+def test_texts_that_share_a_word_count_each(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(7)) for _ in range(400)]
+    least = min(words, key=lambda w: toxicity.xxhash.xxh3_64_intdigest(w))
+    assert toxicity.xxhash.xxh3_64_intdigest(least) < min(map(toxicity.xxhash.xxh3_64_intdigest, ("kvempt", "bzwolk")))
+    rows, labels = [], []
+    for k in range(200):
+        toxic = k % 10 == 0
+        # kvempt marks toxic texts only; bzwolk is in as many clean ones
+        text = [least, *rng.sample(words, 12), *["kvempt"] * toxic, *["bzwolk"] * (toxic or k % 10 == 1)]
+        rows += [(k, " ".join(text), "en", "s", 1), (1000 + k, " ".join(reversed(text)), "en", "s", 1)]
+        labels += [(k, 1, int(toxic)), (1000 + k, 1, int(toxic))]
+    stems = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).stems
+    assert any("kvempt$".startswith(s) for s in stems) and not any("bzwolk$".startswith(s) for s in stems)
+
+
 def test_label_model_knows_good_voters():
     rng = np.random.default_rng(4)
     truth = rng.random(3000) < 0.2

@@ -1,7 +1,7 @@
 """Toxicity scores by weak supervision.
 
 1. A bounded sample of labelled training rows (SAMPLE; rows with crc32(doc_id) mod 4 = 2 are never in it)
-   teaches which word stems mark toxic texts. Samples that repeat each other count once.
+   teaches which word stems mark toxic texts. Samples of the same words and label count once.
 2. The stems found are dealt to many lexicon voters; pattern voters look at how dense and how varied the
    marks are and at stems seen in capitals. Every voter votes toxic (1) or clean (-1) or abstains (0).
 3. A generative label model fits, by expectation maximisation, each voter's rates of voting under either
@@ -128,7 +128,8 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 3
 
 
 def _signature(words: set[str]) -> int:
-    return min((xxhash.xxh3_64_intdigest(w) for w in words), default=0)
+    """A hash of the whole set of words: texts of different words differ in it."""
+    return xxhash.xxh3_64_intdigest("\n".join(sorted(words)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -142,7 +143,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Dat
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each task: stem, signature of the text, toxic or not; stems of clean texts only as counts."""
+    """Stem, toxic or not, and signature of the text, for each stem of each text."""
     for batch in batches:
         out: dict[str, list] = {"stem": [], "toxic": [], "signature": []}
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -158,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = training_rows(docs, labels)
     counted = (
         rows.mapInArrow(_stem_counts, "stem string, toxic int, signature long")
-        .groupBy("stem", "signature").agg(F.max("toxic").alias("toxic"))
+        .distinct()  # the same words count once for each label
         .groupBy("stem").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     )
     good = counted.where((F.col("bad") >= LEAST) & (F.col("bad") >= 0.95 * F.col("n"))).orderBy(F.desc("bad"), F.length("stem"), "stem").limit(STEMS)
