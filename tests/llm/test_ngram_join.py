@@ -76,6 +76,14 @@ def test_empty_tables_and_clashing_columns(spark):
     assert {r["doc_id"] for r in kept.select("doc_id").distinct().collect()} == {x[1] if isinstance(x, tuple) else x for x in least}
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = [" ".join([*words[:k], "edit", *words[k + 1 :]]) for k in (3, 96)]
+    texts = [(None, " ".join(words)), (None, near[0]), (None, near[1]), (None, None), (None, ""), (5, "some other words that stand alone here"), (5, near[0]), (5, "some other words that stand alone here"), (6, ""), (6, "")]
+    got = ngram_join.without_near_copies(documents(spark, [(i, t, "en", "s", 1) for i, t in texts])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(None, None), (None, ""), (5, "some other words that stand alone here"), (5, near[0]), (6, ""), (6, "")], key=str)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(0, 10**6), st.integers(5, 300))
 def test_linked_sets_share_a_group(seed, size):

@@ -378,11 +378,11 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch) -> tuple[DataFrame,
         sets = _needed_sets(docs, classes, more, n, scratch)
         linked = linked.unionByName(_verified(more, sets, p, scratch))
     joined = components(linked, scratch)
-    return table.select("row", "doc_id", "n", "sig"), classes, joined
+    return table.select("row", "doc_id", "text_hash", "n", "sig"), classes, joined
 
 
 def ngram_components(docs: DataFrame, n: int, p: int, scratch: Scratch) -> DataFrame:
-    """row, doc_id, n_shingles, component_id (doc_id), keep_row for each row of docs."""
+    """row, doc_id, text_hash, n_shingles, component_id (doc_id), keep_row for each row of docs."""
     rows, classes, joined = links(docs, n, p, scratch)
     placed = classes.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     best = F.min(F.struct(F.col("rep_id").isNull().alias("last"), F.col("rep_id"), F.col("cls"))).alias("best")
@@ -391,7 +391,7 @@ def ngram_components(docs: DataFrame, n: int, p: int, scratch: Scratch) -> DataF
     named = scratch.save(named.select("sig", "members", F.col("best.rep_id").alias("component_id"), F.col("best.cls").alias("keep_row")))
     some = hot_join(rows.where("n > 0"), named, "sig", "members", rows.count())
     none = rows.where("n = 0").withColumns({"component_id": F.col("doc_id"), "keep_row": F.col("row")})
-    columns = ["row", "doc_id", F.col("n").alias("n_shingles"), "component_id", "keep_row"]
+    columns = ["row", "doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "keep_row"]
     return some.select(*columns).unionByName(none.select(*columns))
 
 
@@ -404,7 +404,12 @@ def similar_documents(docs: DataFrame, n: int = 3, p: int = 90) -> DataFrame:
 def without_near_copies(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     """One row of each component of docs, the one with the smallest doc_id, and all rows without words; the columns of docs.
 
-    Rows that share a doc_id stay together if one of them does."""
+    A row is known by its doc_id (null counts as one id) and a hash of its text; of repeated rows with words one stays."""
     with Scratch(docs.sparkSession) as scratch:
-        kept = scratch.kept(ngram_components(docs, n, p, scratch).where("row = keep_row").select("doc_id").distinct()).withColumnRenamed("doc_id", "_keep")
-        return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").select(*docs.columns)
+        key = ["_keep", "_none", "_text"]
+        rows = ngram_components(docs, n, p, scratch).where("row = keep_row")
+        kept = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("_keep"), F.col("doc_id").isNull().alias("_none"), F.col("text_hash").alias("_text"), (F.col("n_shingles") > 0).alias("_some"))
+        kept = scratch.kept(kept.distinct())
+        own = F.when(F.col("_some"), F.lit(-1)).otherwise(F.col("_row"))
+        keyed = docs.withColumns({"_keep": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_none": F.col("doc_id").isNull(), "_text": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+        return keyed.join(kept, key).withColumn("_own", own).dropDuplicates([*key, "_own"]).select(*docs.columns)
