@@ -147,6 +147,14 @@ def test_texts_that_share_a_word_count_each(spark):
     assert any("kvempt$".startswith(s) for s in stems) and not any("bzwolk$".startswith(s) for s in stems)
 
 
+def test_capitals_and_patterns_without_stems_vote():
+    model = toxicity.Model({"idiot$": 3})
+    votes = lambda text: toxicity.votes_of(model.features(text, {})[None])[0].tolist()
+    assert len(votes("")) == toxicity.VOTERS + toxicity.PATTERNS and 1 not in votes("good day") + votes("")
+    assert votes("an idiot")[-4:] == [0, 0, 0, 0] and votes("an IDIOT")[-4:] == [1, 0, 0, 0]
+    assert votes("WHAT WAS THAT")[-4:] == [0, 1, 0, 0] and votes("what??")[-4:] == [0, 0, 1, 0] and votes("You are such fun")[-4:] == [0, 0, 0, 1]
+
+
 def test_label_model_knows_good_voters():
     rng = np.random.default_rng(4)
     truth = rng.random(3000) < 0.2

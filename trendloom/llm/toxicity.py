@@ -3,7 +3,8 @@
 1. A bounded sample of labelled training rows (SAMPLE; rows with crc32(doc_id) mod 4 = 2 are never in it)
    teaches which word stems mark toxic texts. Samples of the same words and label count once.
 2. The stems found are dealt to many lexicon voters; pattern voters look at how dense and how varied the
-   marks are and at stems seen in capitals. Every voter votes toxic (1) or clean (-1) or abstains (0).
+   marks are and at stems seen in capitals, others without any stem at shouting, repeated marks and address
+   forms. Every voter votes toxic (1) or clean (-1) or abstains (0).
 3. A generative label model fits, by expectation maximisation, each voter's rates of voting under either
    class. Correlations that remain within a class are estimated too, and a voter's weight is divided by
    how many voters it effectively repeats.
@@ -32,6 +33,8 @@ from .common import crc32_of_id
 
 #: Labelled rows that the model is fitted on at most, stems kept at most, and lexicon voters.
 SAMPLE, STEMS, VOTERS = 20_000, 4096, 12
+#: Features besides those of the lexicon voters.
+PATTERNS = 8
 THRESHOLD = 0.3
 #: Common insults (fixed values).
 LEXICON = ["clown", "disgusting", "dumb", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "worthless"]
@@ -40,6 +43,8 @@ LEAST = 5
 #: Lengths of the stems; 0 is the whole word.
 LENGTHS = (4, 5, 6, 0)
 _word = re.compile(r"[^\W\d_]+")
+_repeated = re.compile(r"[!?]{2}|\*{3}")
+_address = re.compile(r"\b(?:you|u)(?: are|'re| r) (?:an?|so|such|the)\b|\b(?:shut up|get lost)\b", re.IGNORECASE)
 
 
 def stems_of(word: str) -> set[str]:
@@ -53,10 +58,12 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def features(self, text: str, memo: dict[str, int]) -> np.ndarray:
-        """For each lexicon voter whether it fires; then how many voters do, marks, kinds, share and capitals."""
-        fired, marks, kinds, capitals, n = np.zeros(VOTERS), 0, set(), 0, 0
+        """For each lexicon voter whether it fires; then how many voters do, marks, kinds, share and capitals; then,
+        whatever the stems, shouting, repeated marks and address forms."""
+        fired, marks, kinds, capitals, n, loud = np.zeros(VOTERS), 0, set(), 0, 0, 0
         for word in text.split():
             n += 1
+            loud += len(word) > 2 and word.isupper()
             hit = memo.get(word, -2)
             if hit == -2:
                 hit = -1
@@ -71,7 +78,7 @@ class Model:
                 marks += 1
                 kinds.add(word.lower())
                 capitals += word.isupper()
-        return np.concatenate([fired, [min(fired.sum(), 3), math.log1p(marks), math.log1p(len(kinds)), min(1.0, 20 * marks / max(n, 1)), min(capitals, 1)]])
+        return np.concatenate([fired, [min(fired.sum(), 3), math.log1p(marks), math.log1p(len(kinds)), min(1.0, 20 * marks / max(n, 1)), min(capitals, 1), loud > 2 and 3 * loud > n, bool(_repeated.search(text)), bool(_address.search(text))]])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip((x - self.mean) @ self.weights[1:] + self.weights[0], -30, 30)))
@@ -82,7 +89,8 @@ def votes_of(x: np.ndarray) -> np.ndarray:
     lexicon = x[:, :VOTERS].astype(np.int8)
     some, marks, kinds, share = (x[:, VOTERS + k] for k in range(4))
     patterns = [np.where(marks > 0, 1, -1), np.where(kinds > 1, 1, np.where(marks == 0, -1, 0)), np.where(share > 0.2, 1, np.where(share == 0, -1, 0)), np.where(some > 1, 1, np.where(some == 0, -1, 0))]
-    return np.column_stack([lexicon, *[p.astype(np.int8) for p in patterns]])
+    # capitals, and what does not depend on the stems, accuse or abstain
+    return np.column_stack([lexicon, *[p.astype(np.int8) for p in patterns], x[:, VOTERS + 4 :].astype(np.int8)])
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         x = np.array(sample["x"].tolist())
         post, _, _ = label_model(votes_of(x), float(np.clip(sample["toxic"].mean(), 0.01, 0.5)))
     else:  # nothing to learn from: the words of the fixed lexicon against texts without marks
-        x = np.repeat([*[np.zeros(VOTERS + 5)] * len(LEXICON), *[model.features(w, {}) for w in LEXICON]], 20, axis=0)
+        x = np.repeat([*[np.zeros(VOTERS + PATTERNS)] * len(LEXICON), *[model.features(w, {}) for w in LEXICON]], 20, axis=0)
         post = np.repeat([0.0, 1.0], len(x) // 2)
     model.mean, model.weights = logistic(x, post)
     return model
