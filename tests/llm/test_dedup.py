@@ -47,8 +47,9 @@ def test_members_and_nonmembers_across_the_history(spark):
 def test_empty_table_and_clashing_columns(spark):
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     odd = documents(spark).withColumns({"digest": F.lit(1), "row": F.lit("r"), "keep_id": F.lit(None).cast("string"), "size": F.lit(2)})
+    odd = odd.withColumns({"_keep": F.col("doc_id"), "_digest": F.lit("own"), "id": F.lit(5), "content": F.lit(6)})
     out = exact_dedup.without_copies(odd)
-    assert out.columns == odd.columns
+    assert out.columns == odd.columns and out.where("_digest = 'own' and id = 5 and content = 6 and _keep <=> doc_id").count() == out.count()
     assert out.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in hard_rows()})
     assert exact_dedup.without_copies(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -59,3 +60,9 @@ def test_hot_join_is_a_join(spark):
     with Scratch(spark) as scratch:
         got = hot_join(scratch.save(left), scratch.save(right), "k", "n", 5000)
         assert got.count() == 5000 and got.where("k = 0 and n = 4000").count() == 4000
+
+
+def test_of_rows_equal_in_id_and_text_the_same_one_stays(spark):
+    rows = [(7, "same", "en", f"s{k}", k) for k in range(40)] + [(None, "none", "en", f"s{k}", k) for k in range(40)] + [(7, "same", "en", "s3", 3)] * 5
+    out = [sorted(map(tuple, exact_dedup.without_copies(documents(spark, r).repartition(n)).collect()), key=str) for r, n in ((rows, 3), (rows[::-1], 7))]
+    assert out[0] == out[1] and len(out[0]) == 2

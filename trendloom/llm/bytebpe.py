@@ -37,13 +37,18 @@ class ByteBpe:
             raise ValueError(f"{path} is no plain byte-level BPE with merges in the order of ids")
         #: One word from each run between NULs.
         self.core = tiktoken.Encoding("words", pat_str=r"\x00|[^\x00]+", mergeable_ranks=vocab, special_tokens={})
+        self.vocab, self.whole = vocab, None
         self.nul = vocab[b"\0"]
         self.cache = WordCache(self.encode_words)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words end to end, and how many each has."""
         if any("\0" in w for w in words):
-            each = [self.core._core_bpe.encode_single_piece(w.encode()) for w in words]
+            if self.whole is None:
+                import tiktoken
+
+                self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=self.vocab, special_tokens={})
+            each = [self.whole.encode_ordinary(w) if "\0" in w else self.core.encode_ordinary(w) for w in words]
             return np.asarray([i for x in each for i in x], np.int32), np.fromiter(map(len, each), np.int32, len(each))
         ids = np.asarray(self.core.encode_ordinary("\0".join(words)), np.int32)
         cuts = np.flatnonzero(ids == self.nul)

@@ -4,11 +4,11 @@ The distinct digests of the historical documents are dealt to shards by their ow
 minimal perfect hash: keys fall into small buckets, and every bucket, the fullest first, takes the first
 seed that puts its keys on free slots. A slot holds the whole digest and the locator of the document that
 stays. A lookup compares all 32 bytes, so that a digest outside the index never passes for a member.
-Members take the locator from the slot; nonmembers group among themselves.
+Members take the locator from the slot and are counted there; nonmembers group among themselves.
 
-Defined results: a null text counts as empty; of rows with equal text the smallest doc_id stays, null ids
-counting as larger than any; of rows that repeat doc_id and text exactly one stays; an empty table gives
-an empty table. Other columns are not looked at and may have any names but those of the result.
+Defined results: a null text counts as empty, a text of any length is compared whole; of rows with equal text the smallest
+doc_id stays, null ids counting as larger than any; of rows that repeat doc_id and text exactly one stays, the one whose
+columns together have the smallest hash; an empty table gives an empty table. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_join
+from .common import Scratch, content_hash, hot_join, whole_row
 
 #: Digests of a shard, on average.
 SHARD = 4096
@@ -94,30 +94,31 @@ def build_index(groups: DataFrame, shards: int) -> DataFrame:
 
 
 def _lookup(index: pa.Table, probes: pa.Table) -> pa.Table:
-    out = {c: probes[c] for c in ("digest", "winner", "row", "size")}
     n = len(probes)
-    member, winners, rows, sizes = np.zeros(n, bool), [None] * n, [None] * n, [0] * n
-    if len(index) and n:
-        words, size = _words(probes["digest"]), index["n"][0].as_py()
-        seeds = np.frombuffer(index["seeds"][0].as_py(), np.uint32)
+    member = np.zeros(n, bool)
+    out = probes.select(GROUP.names).cast(GROUP)
+    if len(index):
         held = np.frombuffer(index["digests"][0].as_py(), np.uint64).reshape(-1, 4)
-        slot = _slots(words[:, 1], seeds[(words[:, 0] % np.uint64(len(seeds))).astype(np.int64)], size).astype(np.int64)
-        member = (held[slot] == words).all(axis=1)
-        at = pa.array(slot)
-        pick = lambda c: index[c].combine_chunks().flatten().take(at)
-        winners, rows, sizes = pick("winners"), pick("rows"), pick("sizes")
-    empty = lambda x: x if isinstance(x, pa.Array) else pa.array(x, pa.int64())
-    return pa.table(out | {"member": pa.array(member, pa.bool_()), "old_winner": empty(winners), "old_row": empty(rows), "old_size": empty(sizes)})
+        sizes = index["sizes"].combine_chunks().flatten().to_numpy().copy()
+        if n:
+            words, size = _words(probes["digest"]), index["n"][0].as_py()
+            seeds = np.frombuffer(index["seeds"][0].as_py(), np.uint32)
+            slot = _slots(words[:, 1], seeds[(words[:, 0] % np.uint64(len(seeds))).astype(np.int64)], size).astype(np.int64)
+            member = (held[slot] == words).all(axis=1)
+            np.add.at(sizes, slot[member], probes["size"].to_numpy()[member])
+        raw = held.astype(">u8").tobytes()
+        old = pa.table([pa.array([raw[k : k + 32] for k in range(0, len(raw), 32)], pa.binary()), *(index[c].combine_chunks().flatten() for c in ("winners", "rows")), pa.array(sizes)], schema=GROUP)
+        out = pa.concat_tables([old, out.filter(pa.array(~member))])
+    return out
+
+
+GROUP = pa.schema([("digest", pa.binary()), ("winner", pa.int64()), ("row", pa.int64()), ("size", pa.int64())])
 
 
 def lookup(index: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
-    """groups with member (bool), and old_winner, old_row, old_size of the slot where member is true."""
+    """digest, winner, row, size: those of the index, members of it in groups counted there, and the nonmembers in groups."""
     dealt = groups.select(F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard"), "digest", "winner", "row", "size")
-    return (
-        index.groupBy("shard")
-        .cogroup(dealt.groupBy("shard"))
-        .applyInArrow(_lookup, "digest binary, winner long, row long, size long, member boolean, old_winner long, old_row long, old_size long")
-    )
+    return index.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(_lookup, "digest binary, winner long, row long, size long")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -135,17 +136,12 @@ def groups_of_copies(rows: DataFrame, scratch: Scratch, total: int, cut: int | N
     new = scratch.save(_grouped(rows.where(~F.coalesce(past, F.lit(False)))))
     shards = max(1, -(-max(old.count(), new.count()) // SHARD))
     index = scratch.save(build_index(old, shards))
-    looked = lookup(index, new, shards)
-    repeats = looked.where("member").select("digest", F.col("old_winner").alias("winner"), F.col("old_row").alias("row"), "size", F.lit(False).alias("own"))
-    fresh = looked.where("not member").select("digest", "winner", "row", "size", F.lit(True).alias("own"))
-    both = old.withColumn("own", F.lit(True)).unionByName(repeats).unionByName(fresh)
-    return both.groupBy("digest").agg(F.first("winner").alias("keep_id"), F.first("row").alias("keep_row"), F.sum("size").alias("group_size"))
+    return lookup(index, new, shards).select("digest", F.col("winner").alias("keep_id"), F.col("row").alias("keep_row"), F.col("size").alias("group_size"))
 
 
 def midpoint(rows: DataFrame) -> tuple[int, int | None]:
-    """Number of rows, and the middle of the range of ids: the older half is history."""
-    n, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    return n, None if low is None else (low + high) // 2
+    """Number of rows, and about the median of the ids: the older half of the rows is history."""
+    return tuple(rows.agg(F.count("*"), F.percentile_approx("doc_id", 0.5, 1000)).first())
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -162,15 +158,14 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with the columns of docs.
 
-    The texts move once, to where their group's winner is, and only after the losers are known; copies of
-    a hot text are dealt out by doc_id, not by text. Rows with a null doc_id count as one id.
+    Rows are known by id, digest and a hash of all their columns. Rows that agree in all three are joined into one within
+    each task, so that a row repeated without end is moved once from each, and the survivors meet the winners where they are.
     """
-    spark = docs.sparkSession
-    with Scratch(spark) as scratch:
-        rows = scratch.save(docs.select(F.col("doc_id").cast("long"), digest_of().alias("digest"), F.monotonically_increasing_id().alias("row")))
+    with Scratch(docs.sparkSession) as scratch:
+        key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none"), digest_of().alias("digest"), content_hash(docs).alias("content")]
+        rows = scratch.save(docs.select(F.col("doc_id").cast("long"), digest_of().alias("digest"), content_hash(docs).alias("row")))
         total, cut = midpoint(rows)
-        winners = groups_of_copies(rows, scratch, total, cut).select(F.coalesce("keep_id", F.lit(-1)).alias("_keep"), F.col("keep_id").isNull().alias("_none"), F.col("digest").alias("_digest"))
-        winners = scratch.kept(winners)
-        keyed = docs.withColumns({"_keep": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_none": F.col("doc_id").isNull(), "_digest": digest_of()})
-        kept = keyed.join(winners, ["_keep", "_none", "_digest"], "left_semi").dropDuplicates(["_keep", "_none", "_digest"])
-        return kept.select(*docs.columns)
+        groups = groups_of_copies(rows, scratch, total, cut)
+        winners = scratch.kept(groups.select(F.coalesce("keep_id", F.lit(-1)).alias("id"), F.col("keep_id").isNull().alias("none"), "digest", F.col("keep_row").alias("content")))
+        names = ["id", "none", "digest", "content"]
+        return docs.select(*key, whole_row(docs)).dropDuplicates(names).join(winners, names, "left_semi").select("row.*")

@@ -4,17 +4,17 @@ A payload is a text's UTF-8 bytes, padded by spaces to a positive multiple of AL
 sample. The media are a header (magic, unpadded length, number of samples) and the samples. A gear hash rolls over
 the payload, and a chunk ends where its high bits are clear, so that equal passages are cut alike wherever they stand.
 
-- The digests of all chunks, without their bytes, are counted by Spark. Those that occur more than once set a bit in a map of
-  fixed size, MAP_BITS, which is broadcast.
+- The digests of all chunks, without their bytes, are counted by Spark. Those that occur more than once set a bit in a map
+  whose size follows their number (common.bit_map, 16 MB at most), which is broadcast.
 - Chunks whose bit is not set are unique and are stored in place with their payload. All others are deduplicated by
-  digest into a store of shared chunks. (A unique chunk that meets a set bit is stored there too; with a full
-  map all chunks are.)
+  digest into a store of shared chunks. (A unique chunk that meets a set bit, about one in sixteen, is stored there too.)
 - Reading joins the ordered digest list of each payload with the shared chunks, puts the payload together,
   verifies every chunk against its digest, and computes the features from what was read.
 
-Defined results: a null text counts as empty and becomes ALIGN spaces; rows that repeat each have a list of
-chunks, the chunks are stored once; equal texts have equal values. An empty table gives an empty table. A
-chunk that does not match its digest raises an error.
+Defined results: a null text counts as empty and becomes ALIGN spaces; a text of any length is stored whole; rows that repeat
+each have a list of chunks, the chunks are stored once; equal texts have equal values, and a null id stays null. An empty
+table gives an empty table. Columns besides doc_id and text are not read and may have any names. A chunk that does not match
+its digest raises an error.
 """
 
 from __future__ import annotations
@@ -26,18 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_join
+from .common import Scratch, bit_map, hot_join, in_map
+from .wordcodec import mixed
 
 ALIGN, MAGIC = 192, b"MC01"
 #: Least and most bytes of a chunk; after the least, a cut comes within 2**BITS bytes on average.
 LEAST, MOST, BITS = 256, 8192, 10
-MAP_BITS, BLOCK_BITS = 1 << 22, 1 << 13
-#: The gear: a random number for each byte. Bytes more than 32 back have left the hash.
-GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
+#: The gear: a number for each byte, mixed from it. Bytes more than 32 back have left the hash.
+GEAR = (mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
 def padded(text: str | None) -> bytes:
@@ -76,8 +75,9 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.sha256(chunk).digest()
 
 
-def bit_of(digest_: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(digest_) % MAP_BITS
+def number_of(digest_: bytes) -> int:
+    """The first eight bytes of a digest, as the map of repeated ones knows it."""
+    return int.from_bytes(digest_[:8], "big", signed=True)
 
 
 def header(n_bytes: int, samples: int) -> bytes:
@@ -106,40 +106,27 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
 
-def repeated_bits(docs: DataFrame) -> np.ndarray:
-    """The bit map of digests that occur more than once, as bytes."""
+def repeated_map(docs: DataFrame) -> np.ndarray:
+    """The bit map of digests that occur more than once."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([digest(c) for t in batch.column(1).to_pylist() for c in chunks_of(padded(t))], pa.binary())], ["digest"])
 
-    def block(table: pa.Table) -> pa.Table:
-        bits = np.zeros(BLOCK_BITS, np.uint8)
-        bits[table["bit"].to_numpy() % BLOCK_BITS] = 1
-        return pa.table({"block": table["block"].slice(0, 1), "bits": [np.packbits(bits).tobytes()]})
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = np.fromiter(map(bit_of, batch.column(0).to_pylist()), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(bits // BLOCK_BITS), pa.array(bits)], ["block", "bit"])
-
     counted = _texts(docs).mapInArrow(digests, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    set_bits = counted.select("digest").mapInArrow(numbered, "block long, bit long").distinct()
-    out = np.zeros((MAP_BITS // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
-    for row in set_bits.groupBy("block").applyInArrow(block, "block long, bits binary").collect():
-        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    return np.unpackbits(out.ravel())
+    with Scratch(docs.sparkSession) as scratch:
+        return bit_map(scratch.save(counted.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("number"))))
 
 
 def store(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Payloads (row, doc_id, n_bytes, samples, digests, shared: positions, own: bytes) and shared chunks (digest, chunk, uses)."""
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(repeated_bits(docs)))
+    bits = docs.sparkSession.sparkContext.broadcast(repeated_map(docs))
 
     def split(text: str | None, held: np.ndarray):
         chunks = chunks_of(padded(text))
         digests = [digest(c) for c in chunks]
-        number = [bit_of(d) for d in digests]
-        return chunks, digests, [k for k, b in enumerate(number) if held[b >> 3] >> (7 - (b & 7)) & 1]
+        numbers = np.fromiter(map(number_of, digests), np.int64, len(digests))
+        return chunks, digests, np.flatnonzero(in_map(held, numbers)).tolist()
 
     def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):

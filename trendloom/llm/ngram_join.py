@@ -1,26 +1,30 @@
 """Jaccard join of word n-gram sets over count vectors in R-trees.
 
-A document is the set of its distinct word shingles, as 64-bit hashes. Equal sets are one class. A link of
-similarity p % between sets of a and b shingles leaves at most T = (a + b)(100 - p) / (100 + p) shingles that only one has.
-
-- Tokens are hashed into somewhat more than T groups. A link leaves at least one group with equal content, so that
-  documents that share the digest of a group, and the size range it belongs to, form blocks, which miss no link.
-  Blocks with the same members are one.
-- The numbers of shingles in each group are the document's point. The sum of the smaller coordinates of two
-  points bounds the overlap of their sets from above.
-- First every member of a block is held against two pivots of the block, in which near copies of one
-  text already come together. Only blocks with several components go on: in those, points are
-  packed into R-trees (tiles of at most TILE points) and every document outside the pivot's component searches
-  the tree. Subtrees whose largest coordinates bound the overlap below the threshold, or that hold
-  its own component only, are skipped.
-- Pairs that survive are verified on the whole sets. Links are closed to components by large and small stars.
+A document is the set of its distinct word shingles, as 64-bit hashes. Equal sets are one class, and from here on
+a class stands for its documents.
+
+- Two sets of similarity p % share one of the first a - ceil(p a / 100) + 1 shingles of each, in any order that is the same for all
+  sets. The order here puts shingles last that are common in a sample of documents (SAMPLE). Classes that
+  share such a shingle form a block, and blocks with the same members are one: pairs meet nowhere else, and
+  no link is missed, whatever the sample holds.
+- The tokens (shingles) of a set are hashed into groups, about eight in each. The numbers of tokens in each group are its
+  point, and the sum of the smaller coordinates of two points bounds the overlap of their sets from above.
+- The points of every block are packed into an R-tree (tiles of about TILE points where a block is larger), and each
+  point searches it. Subtrees whose largest coordinates bound the overlap below the threshold are skipped. Of the
+  pairs that survive, each point gives the one with the highest bound among the points before it, so that a group of
+  copies gives as many pairs as it has members.
+- Pairs are verified on the whole sets; links are closed to components by large and small stars.
+- Blocks in which a tree held back pairs, and whose members are in several components, are searched again: now
+  points outside the block's main component ask for points of other components, whose subtrees are skipped if they
+  hold the asker's own component only. First the FEW highest bounds for each other component are verified, at last all.
 
 Hot blocks are dealt in tiles and hot keys in joins by hot_join; pairs within a class or a component are not made.
 
 Defined results: a null or empty text, or one of white space, has an empty set, no links and its own id as
-component; with fewer words than n the sequence of all words is the one shingle; rows that repeat are members
-of one class; a null doc_id is larger than any other; an empty table gives an empty table. Two different
-shingles share a hash with odds of 2**-64; sets count as equal if 128 bits of them are.
+component; with fewer words than n the sequence of all words is the one shingle; texts of any length are taken whole; rows that
+repeat are members of one class; a null doc_id is larger than any other; an empty table gives an empty table; columns besides
+doc_id and text may have any names. Two different shingles share a hash by chance only, 2**-64 a pair; sets
+count as equal if 128 bits of them are.
 """
 
 from __future__ import annotations
@@ -33,20 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bit_map, hot_join, in_map
-from .components import components, one_round
-from .wordcodec import BLOCK, word_hashes
+from .common import Scratch, bit_map, content_hash, hot_join, in_map, maybe_broadcast, whole_row
+from .components import components
+from .wordcodec import BLOCK, mixed, word_hashes
 
-#: Points of a tile, of a leaf and children of a node.
-TILE, LEAF, FANOUT = 2048, 32, 16
-MEMO = 1 << 20
-LONG = (1 << 63) - 1
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+#: Points of a tile, of a leaf and children of a node; pivots of a block of several tiles; pairs for a component in the second search.
+TILE, LEAF, FANOUT, PIVOTS, FEW = 2048, 32, 16, 16, 4
+#: Documents of the sample: one in SAMPLE[0], SAMPLE[1] at least and SAMPLE[2] at most; how many of them have a shingle that
+#: counts as common, and how many of those are known at most.
+SAMPLE, COMMON, MOST_COMMON = (16, 1 << 12, 1 << 17), 6, 1 << 18
+#: Sets that a task remembers so as not to list the shingles of copies again.
+MEMO = 1 << 17
 
 
 def _word_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +59,7 @@ def _word_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(edge)
     starts, ends = edges[::2], edges[1::2]
     limits = np.cumsum([len(t) + 1 for t in texts])
-    return word_hashes(points, starts, ends), np.searchsorted(starts, limits)
+    return word_hashes(points, starts, ends)[0], np.searchsorted(starts, limits)
 
 
 def shingles(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -71,10 +72,10 @@ def shingles(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
             size += len(part[-1])
             at += 1
         words, ends = _word_arrays(part)
-        words = _mix(words)
+        words = mixed(words)
         whole = words[: max(0, len(words) - n + 1)]
         for k in range(1, n):
-            whole = _mix(whole * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - n + 1 + k])
+            whole = mixed(whole * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - n + 1 + k])
         begin = 0
         for end in ends.tolist():
             if end - begin >= n:
@@ -82,77 +83,61 @@ def shingles(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
             elif end > begin:
                 x = words[begin : begin + 1] + np.uint64(end - begin)
                 for k in range(begin + 1, end):
-                    x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + words[k : k + 1])
+                    x = mixed(x * np.uint64(0x9E3779B97F4A7C15) + words[k : k + 1])
                 yield x
             else:
                 yield np.zeros(0, np.uint64)
             begin = end
 
 
-def ranges(p: int, most: int) -> list[int]:
-    """Upper ends of size ranges: a set links only with sets of its own range and the two beside it."""
-    ends, low = [], 1
-    while low <= most:
-        ends.append(100 * low // p)
-        low = ends[-1] + 1
-    return ends
+def prefix_length(n: int, p: int) -> int:
+    """How many shingles of a set of n, from the first on, hold one of any set linked with it; 0 if only equal sets link."""
+    need = -(-p * n // 100)
+    return 0 if need == n and 100 * n // p == n else n - need + 1
 
 
-class Grouping:
-    """Hash groups for each size range. A range's sets are also grouped with the next larger range.
+class Order:
+    """The order of shingles: rare ones by a mix of their hash, then the common ones."""
+
+    def __init__(self, common: np.ndarray):
+        self.common = np.sort(common)
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.common & np.uint64(len(self.maybe) - 1)).astype(np.int64)] = True
+
+    def prefix(self, found: np.ndarray, length: int) -> np.ndarray:
+        """The first ``length`` of a set's shingles, mixed."""
+        if not length:
+            return found[:0]
+        late = self.maybe[(found & np.uint64(len(self.maybe) - 1)).astype(np.int64)]
+        at = np.flatnonzero(late)
+        if len(at):
+            near = np.minimum(np.searchsorted(self.common, found[at]), len(self.common) - 1)
+            late[at] = self.common[near] == found[at]
+        early = np.sort(mixed(found[~late]))[:length]
+        return early if len(early) == length else np.concatenate([early, np.sort(mixed(found[late]))[: length - len(early)]])
 
-    If more groups of a set are filled than shingles may differ, a set linked with it shares a filled group. There are
-    enough groups that this holds for nearly all sets; the few others also list their empty groups. If neither of two
-    linked sets fills enough groups, both list the empty ones, and one group in all, filled or empty, is equal.
-    """
 
-    def __init__(self, p: int):
-        self.p, self.ends = p, np.asarray(ranges(p, 1 << 31))
-        self.most = (self.ends + 100 * self.ends // p) * (100 - p) // (100 + p)
-        least = np.concatenate([[1], self.ends[:-1] + 1])
-        groups = self.most + 1.0
-        for _ in range(20):  # enough for most + 1 filled ones, and some to spare, in the smallest sets of the range
-            filled = -np.expm1(-least / groups)
-            wanted = (self.most + 1 + 3 * np.sqrt(groups * (1 - filled))) / filled
-            groups = np.clip(wanted, groups, 2 * (self.most + 1))
-        self.groups = np.where(self.most > 0, np.ceil(groups), 0).astype(np.int64)
-
-    def keys(self, sets: list[np.ndarray]) -> list[np.ndarray]:
-        """For each set the digests of its groups' contents; none in a range where only equal sets link."""
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
-        mixed, owner = _mix(flat + np.uint64(0x5851F42D4C957F2D)), np.repeat(np.arange(len(sets)), sizes)
-        own = np.searchsorted(self.ends, sizes)
-        out = []
-        for k in (own - 1, own):
-            ranged = np.maximum(k, 0)
-            groups = np.where((k >= 0) & (sizes > 0), self.groups[ranged], 0)
-            salt = _mix((ranged + 1).astype(np.uint64))
-            offsets = np.cumsum(groups) - groups
-            used = groups[owner] > 0
-            who = owner[used]
-            slot = offsets[who] + (_mix(flat[used] ^ salt[who]) % groups[who].astype(np.uint64)).astype(np.int64)
-            total = int(groups.sum())
-            sums = np.zeros(total, np.uint64)
-            np.add.at(sums, slot, mixed[used])
-            filled, of = np.bincount(slot, minlength=total) > 0, np.repeat(np.arange(len(sets)), groups)
-            too_few = np.bincount(of[filled], minlength=len(sets)) <= self.most[ranged]
-            listed = np.flatnonzero(filled | too_few[of])
-            place = listed - offsets[of[listed]]
-            digests = _mix(_mix(sums[listed] + place.astype(np.uint64)) ^ salt[of[listed]])
-            out.append(np.split(digests, np.cumsum(np.bincount(of[listed], minlength=len(sets)))[:-1]))
-        return [np.concatenate(x) for x in zip(*out, strict=True)] if len(sets) else []
+def groups_of(n: int) -> int:
+    return 1 << max(5, (n // 8).bit_length())
 
 
 def point(found: np.ndarray) -> np.ndarray:
-    """Counts of shingles by the low bits of their hashes, in a power of two of groups, two to four in a group."""
-    groups = 1 << max(3, (len(found) // 4).bit_length())
-    return np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    """Numbers of shingles by the low bits of their hashes, in as few bytes as they fit."""
+    groups = groups_of(len(found))
+    counts = np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype(np.min_scalar_type(counts.max(initial=0)))
 
 
-def folded(counts: np.ndarray, groups: int) -> np.ndarray:
-    """A point in fewer groups."""
-    return counts.astype(np.uint32).reshape(-1, groups).sum(axis=0, dtype=np.uint32)
+def unpacked(points: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Points as the rows of a matrix, folded to the fewest groups that one of them has."""
+    groups = min(map(groups_of, sizes.tolist()))
+    out = np.empty((len(points), groups), np.uint32)
+    shapes = np.array([len(x) * (1 << 24) + groups_of(n) for x, n in zip(points, sizes.tolist(), strict=True)])
+    for shape in np.unique(shapes):
+        at, own = np.flatnonzero(shapes == shape), int(shape) % (1 << 24)
+        flat = np.frombuffer(b"".join([points[k] for k in at.tolist()]), f"<u{int(shape) // (1 << 24) // own}")
+        out[at] = flat.reshape(len(at), own // groups, groups).sum(axis=1, dtype=np.uint32)
+    return out
 
 
 def may_link(shared: np.ndarray | int, sizes: np.ndarray | int, p: int):
@@ -163,11 +148,14 @@ def may_link(shared: np.ndarray | int, sizes: np.ndarray | int, p: int):
 class CountTree:
     """R-tree over points, packed by sorting: leaves of LEAF points, nodes of FANOUT children.
 
-    Every node keeps the largest coordinates, the range of set sizes and the one component below it, if there is one only.
+    Points are sorted by component, size and the side of the median on which their first coordinates lie, so that copies
+    come together. Every node keeps the largest coordinates, the range of set sizes and the one component below it, if there is one only.
     """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray):
-        order = np.lexsort((points[:, 0], points[:, 1 % points.shape[1]] // 2, sizes // np.maximum(1, sizes.max() // 16), component))
+        some = points[:, :16]
+        sides = (some > np.median(some, axis=0)) @ (1 << np.arange(some.shape[1]))
+        order = np.lexsort((sides, sizes // np.maximum(1, sizes.max() // 16), component))
         self.order, self.points, self.sizes, self.component = order, points[order], sizes[order], component[order]
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         tops, low, high, own, step = self.points, self.sizes, self.sizes, self.component, LEAF
@@ -180,12 +168,14 @@ class CountTree:
                 break
             step = FANOUT
 
-    def search(self, q: np.ndarray, size: int, component: int, p: int) -> np.ndarray:
-        """Numbers of the points of other components whose overlap bound allows a link with q."""
+    def search(self, q: np.ndarray, size: int, component: int, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the points of other components whose overlap bound allows a link with q, and that bound as a share of both sizes.
+
+        A component of -1 is none of theirs."""
         going = np.zeros(1, np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             tops, low, high, own = (x[going] for x in self.levels[level])
-            fits = (own != component) & (100 * high >= p * size) & (p * low <= 100 * size)
+            fits = ((own != component) | (component < 0)) & (100 * high >= p * size) & (p * low <= 100 * size)
             going, tops, low = going[fits], tops[fits], low[fits]
             bound = np.minimum(tops, q).sum(axis=1, dtype=np.int64)
             going = going[may_link(bound, size + np.maximum(low, -(-p * size // 100)), p)]
@@ -193,57 +183,76 @@ class CountTree:
             going = (going[:, None] * fan + np.arange(fan)).ravel()
             going = going[going < limit]
             if not len(going):
-                return going
-        going = going[self.component[going] != component]
-        bound = np.minimum(self.points[going], q).sum(axis=1, dtype=np.int64)
-        return self.order[going[may_link(bound, size + self.sizes[going], p)]]
+                return going, np.zeros(0)
+        going = going[(self.component[going] != component) | (component < 0)]
+        bound, both = np.minimum(self.points[going], q).sum(axis=1, dtype=np.int64), size + self.sizes[going]
+        good = may_link(bound, both, p)
+        return self.order[going[good]], bound[good] / both[good]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), content_hash(docs).alias("content"), F.col("text"))
+
+
+def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Shingles of COMMON documents or more of a sample, MOST_COMMON of them at most; they decide about speed only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.concatenate([np.zeros(0, np.uint64), *shingles(batch.column(0).to_pylist(), n)])
+            keys, counts = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int32))], ["shingle", "n"])
+
+    total = docs.count()
+    one_in = max(1, total // min(max(total // SAMPLE[0], SAMPLE[1]), SAMPLE[2]))
+    sample = docs.select("text", F.monotonically_increasing_id().alias("row")).where(F.pmod(F.xxhash64("row"), F.lit(one_in)) == 0).select("text")
+    counted = sample.mapInArrow(run, "shingle long, n int").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    return counted.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64)
 
 
 def _sets(docs: DataFrame, n: int, p: int) -> DataFrame:
-    """row, doc_id, text_hash, n, s1, s2, point, keys for each row; a task lists the keys of a repeated set once."""
+    """row, doc_id, text_hash, content, n, s1, s2, point, keys for each row; a task lists the point and keys of a repeated set once."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n))
+    names = ["row", "doc_id", "text_hash", "content", "n", "s1", "s2", "point", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grouping, seen = Grouping(p), set()
+        order, seen = Order(common.value), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = list(shingles(part.column(3).to_pylist(), n))
-                digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-                new = []
-                for x, digest in zip(sets, digests, strict=True):
-                    new.append(len(x) > 0 and digest not in seen)
+                sizes, digests, points, keys = [], [], [], []
+                for found in shingles(part.column(4).to_pylist(), n):
+                    digest = xxhash.xxh3_128_digest(found.tobytes())
+                    length = 0 if digest in seen else prefix_length(len(found), p)
                     if len(seen) >= MEMO:
                         seen.clear()
                     seen.add(digest)
-                none = np.zeros(0, np.uint64)
-                keys = grouping.keys([x if k else none for x, k in zip(sets, new, strict=True)])
-                points = [point(x).astype("<u2" if len(x) < 1 << 16 else "<u4").tobytes() if k else None for x, k in zip(sets, new, strict=True)]
+                    sizes.append(len(found))
+                    digests.append(digest)
+                    keys.append(order.prefix(found, length))
+                    points.append(point(found).tobytes() if length else None)
                 halves = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(points, pa.binary()), flat], ["row", "doc_id", "text_hash", "n", "s1", "s2", "point", "keys"])
+                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(points, pa.binary()), flat], names)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, text_hash long, n long, s1 long, s2 long, point binary, keys array<long>")
+    rows = _texts(docs).select(F.monotonically_increasing_id().alias("row"), "*")
+    return rows.mapInArrow(run, "row long, doc_id long, text_hash long, content long, n long, s1 long, s2 long, point binary, keys array<long>")
 
 
 def _verify(p: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [[np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(c)] for c in (2, 3)]
-            good = []
-            for a, b in zip(*sets, strict=True):
-                x, y = point(a), point(b)
-                groups = min(len(x), len(y))
-                bound = int(np.minimum(folded(x, groups), folded(y, groups)).sum())
-                good.append(may_link(bound, len(a) + len(b), p) and may_link(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b), p))
+            good = [may_link(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b), p) for a, b in zip(*sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, p: int, scratch: Scratch) -> DataFrame:
     """Those of pairs (a, b) whose sets reach p %. A document with many partners in b is copied to every thousand of them."""
+    sets = _needed_sets(docs, classes, pairs, n, scratch)
     total = pairs.count()
     parts = scratch.save(pairs.groupBy("b").agg(F.count("*").alias("partners")).withColumn("parts", F.ceil(F.col("partners") / 1000).cast("int")))
     dealt = hot_join(pairs, parts, "b", "partners", total).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
@@ -255,9 +264,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -> Da
 
 def _needed_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """cls, found (the whole set, 8 bytes a shingle) of every class in pairs, from the text of one of its documents."""
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", F.col("rep_id").alias("_rep"), F.col("rep_text").alias("_rep_text")), "cls")
+    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "rep.doc_id", "rep.text_hash"), "cls")
     needed = scratch.save(needed)
-    held = docs.sparkSession.sparkContext.broadcast(bit_map(needed.select("_rep_text")))
+    held = docs.sparkSession.sparkContext.broadcast(bit_map(needed.select("text_hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,14 +275,13 @@ def _needed_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int,
                 part = wanted.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in shingles(part.column(2).to_pylist(), n)], pa.binary())], ["_doc", "_hash", "found"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), F.col("text"))
-    sets = texts.mapInArrow(run, "_doc long, _hash long, found binary")
-    joined = sets.join(needed, F.col("_doc").eqNullSafe(F.col("_rep")) & (F.col("_hash") == F.col("_rep_text"))).select("cls", "found")
+    sets = _texts(docs).select("doc_id", "text_hash", "text").mapInArrow(run, "_doc long, _hash long, found binary")
+    joined = sets.join(maybe_broadcast(needed), F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).select("cls", "found")
     return scratch.save(joined.dropDuplicates(["cls"]))
 
 
 def _listed(table: DataFrame, blocks: DataFrame) -> DataFrame:
-    """row, key of the rows' keys that are in blocks, and of few others."""
+    """cls, key of the classes' keys that are in blocks, and of few others."""
     held = table.sparkSession.sparkContext.broadcast(bit_map(blocks.select("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,37 +290,91 @@ def _listed(table: DataFrame, blocks: DataFrame) -> DataFrame:
             keys = lists.flatten().to_numpy(zero_copy_only=False)
             rows = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
             kept = in_map(held.value, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[kept]), pa.array(keys[kept])], ["row", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[kept]), pa.array(keys[kept])], ["cls", "key"])
 
-    return table.select("row", "keys").mapInArrow(run, "row long, key long")
+    return table.select("cls", "keys").mapInArrow(run, "cls long, key long")
 
 
-def _search_tiles(p: int):
-    """Searches of all tiles of a bucket: rows bucket, key, tile, asks, cls, n, component, point, keys.
+def _tiles(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Key and row numbers of each tile of a bucket, in the order of classes."""
+    key, tile, cls = (table[c].to_numpy() for c in ("key", "tile", "cls"))
+    order = np.lexsort((cls, tile, key))
+    cuts = np.flatnonzero((key[order][1:] != key[order][:-1]) | (tile[order][1:] != tile[order][:-1])) + 1
+    for part in np.split(order, cuts):
+        yield int(key[part[0]]), part
 
-    keys are all mixed blocks of a class. A pair is given in the least block that both are in, and there only.
-    """
+
+def _first_search(p: int):
+    """Searches of all tiles of a bucket: rows bucket, key, tile, cls, n, point. Gives pairs (a, b), and in ``open`` the keys of
+    blocks where pairs were held back."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        key, tile, asks, cls, n, component = (table[c].to_numpy() for c in ("key", "tile", "asks", "cls", "n", "component"))
-        raw, blocks = table["point"].to_pylist(), [frozenset(x) for x in table["keys"].to_pylist()]
-        order = np.lexsort((asks, tile, key))
-        a_out: list[np.ndarray] = []
-        b_out: list[np.ndarray] = []
-        cuts = np.flatnonzero((key[order][1:] != key[order][:-1]) | (tile[order][1:] != tile[order][:-1])) + 1
-        for part in np.split(order, cuts):
-            held, asking = part[~asks[part]], part[asks[part]]
-            if not len(held) or not len(asking):
+        cls, n, raw = table["cls"].to_numpy(), table["n"].to_numpy(), table["point"].to_pylist()
+        a_out, b_out, open_ = [], [], set()
+        for key, part in _tiles(table):
+            if len(part) < 2:
                 continue
-            points = [np.frombuffer(raw[k], "<u2" if n[k] < 1 << 16 else "<u4") for k in part.tolist()]
-            groups = min(map(len, points))
-            points = dict(zip(part.tolist(), (folded(x, groups) for x in points), strict=True))
-            tree = CountTree(np.stack([points[k] for k in held.tolist()]), n[held], component[held])
+            points, sizes = unpacked([raw[k] for k in part.tolist()], n[part]), n[part]
+            n_hits = given = 0
+            if len(part) <= LEAF:  # one leaf
+                bound = np.minimum(points[:, None], points[None]).sum(axis=2, dtype=np.int64)
+                both = sizes[:, None] + sizes[None]
+                good = np.tril(may_link(bound, both, p), -1)
+                n_hits = int(good.sum())
+                if n_hits:
+                    share = np.where(good, bound / both, -1)
+                    later = np.flatnonzero(good.any(axis=1))
+                    a_out.append(cls[part[later]])
+                    b_out.append(cls[part[share[later].argmax(axis=1)]])
+                    given = len(later)
+            else:
+                tree = CountTree(points, sizes, np.zeros(len(part), np.int64))
+                for q in range(1, len(part)):
+                    hits, share = tree.search(points[q], int(sizes[q]), -1, p)
+                    before = hits < q
+                    if before.any():
+                        hits, share = hits[before], share[before]
+                        n_hits += len(hits)
+                        given += 1
+                        a_out.append(cls[part[[q]]])
+                        b_out.append(cls[part[hits[[share.argmax()]]]])
+            if n_hits > given:
+                open_.add(key)
+        none = np.zeros(0, np.int64)
+        a, b = np.concatenate([none, *a_out]), np.concatenate([none, *b_out])
+        both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        nulls = lambda k: pa.nulls(k, pa.int64())
+        columns = [[pa.array(x), y] for x, y in ((both[0], nulls(len(open_))), (both[1], nulls(len(open_))))] + [[nulls(both.shape[1]), pa.array(sorted(open_), pa.int64())]]
+        return pa.table([pa.chunked_array(x) for x in columns], ["a", "b", "open"])
+
+    return run
+
+
+def _next_search(p: int, most: int | None):
+    """Searches of all tiles of a bucket: rows bucket, key, tile, asks, cls, n, component, point. Gives, for each asking point and
+    component other than its own, the ``most`` pairs of the highest bound, or all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        asks, cls, n, component, raw = (table[c].to_numpy(zero_copy_only=False) for c in ("asks", "cls", "n", "component", "point"))
+        a_out, b_out = [], []
+        for _, part in _tiles(table):
+            own = asks[part].astype(bool)
+            if own.all() or not own.any():
+                continue
+            points = unpacked([raw[k] for k in part.tolist()], n[part])
+            held, asking = np.flatnonzero(~own), np.flatnonzero(own)
+            tree = CountTree(points[held], n[part[held]], component[part[held]])
             for q in asking.tolist():
-                hits = held[tree.search(points[q], int(n[q]), int(component[q]), p)]
-                hits = hits[[min(blocks[q] & blocks[h]) == key[q] for h in hits.tolist()]] if len(hits) else hits
-                a_out.append(np.full(len(hits), cls[q]))
+                hits, share = tree.search(points[q], int(n[part[q]]), int(component[part[q]]), p)
+                hits = part[held[hits]]
+                if most and len(hits):
+                    order = np.lexsort((-share, component[hits]))
+                    of = component[hits[order]]
+                    rank = np.arange(len(of)) - np.searchsorted(of, of)
+                    hits = hits[order[rank < most]]
+                a_out.append(np.full(len(hits), cls[part[q]]))
                 b_out.append(cls[hits])
         none = np.zeros(0, np.int64)
         a, b = np.concatenate([none, *a_out]), np.concatenate([none, *b_out])
@@ -322,94 +384,96 @@ def _search_tiles(p: int):
     return run
 
 
-def links(docs: DataFrame, n: int, p: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (row, doc_id, n, sig), classes (sig, cls, rep_id, members) and the components of linked classes (node, component)."""
+def _bucketed(tiles: DataFrame, points: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """tiles with n and point of each class, grouped by buckets of some tiles."""
+    buckets = max(1, -(-rows // (4 * TILE)))
+    return tiles.join(points, "cls").select(F.pmod(F.xxhash64("key", "tile"), F.lit(buckets)).alias("bucket"), "key", "tile", *columns, "cls", "n", "point").groupBy("bucket")
+
+
+def links(docs: DataFrame, n: int, p: int, scratch: Scratch, tile: int = TILE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (row, doc_id, text_hash, content, n, sig), classes (sig, cls, rep, members) and the components of linked classes (node, component)."""
     table = scratch.save(_sets(docs, n, p)).withColumn("sig", F.struct("s1", "s2"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "text_hash"))
-    classes = table.where("n > 0").groupBy("sig").agg(first.alias("f"), F.count("*").alias("members"), F.max("point").alias("point"), F.first("n").alias("n"))
-    classes = scratch.save(classes.select("sig", F.col("f.row").alias("cls"), F.col("f.doc_id").alias("rep_id"), F.col("f.text_hash").alias("rep_text"), "members", "point", "n"))
-    keyed = table.where(F.size("keys") > 0)
-    keys = keyed.select("row", F.explode("keys").alias("key"))
-
-    # blocks of at least two, those with the same members once; two pivots of each
-    veil = F.xxhash64("key").bitwiseAND(F.lit(LONG))  # orders the members of each block in its own way
-    blocks = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("low"), F.bit_xor(F.xxhash64("row")).alias("all"), F.min(F.col("row").bitwiseXOR(veil)).alias("any")).where("size > 1")
-    blocks = scratch.save(blocks.groupBy("size", "low", "all").agg(F.min(F.struct("key", "any")).alias("k")).select(F.col("k.key").alias("key"), "size", "low", F.col("k.any").bitwiseXOR(F.xxhash64("k.key").bitwiseAND(F.lit(LONG))).alias("any")))
+    listed = F.col("point").isNotNull()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content", "text_hash")).alias("rep")
+    # cls is a row that lists the set's keys, if only equal sets link it is any row
+    of_sig = table.where("n > 0").groupBy("sig").agg(first, F.count("*").alias("members"), F.coalesce(F.min(F.when(listed, F.col("row"))), F.min("row")).alias("cls"), F.count(F.when(listed, 1)).alias("lists"))
+    classes = scratch.save(of_sig)
+    again = table.where(listed).join(classes.where("lists > 1").select("sig", "cls"), "sig").where("row <> cls").select("row")
+    keyed = table.where(listed).select("row", "n", "point", "keys").join(maybe_broadcast(scratch.save(again)), "row", "left_anti").withColumnRenamed("row", "cls")
+
+    # blocks of at least two, those with the same members once
+    keys = keyed.select("cls", F.explode("keys").alias("key"))
+    blocks = keys.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("all")).where("size > 1")
+    blocks = scratch.save(blocks.groupBy("size", "all").agg(F.min("key").alias("key")).select("key", "size"))
     total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    members = scratch.save(hot_join(scratch.save(_listed(keyed, blocks)), blocks.select("key", "size", "low", "any"), "key", "size", total))
-
-    # rows of tasks that met the same set are one class
-    own = keyed.select("row", "sig").join(classes.select("sig", "cls"), "sig").where("row <> cls").select("row", "cls")
-    own = scratch.save(own)
-    as_class = lambda df, c: df.join(own.select(F.col("row").alias(c), F.col("cls").alias(f"{c}_cls")), c, "left").withColumn(c, F.coalesce(f"{c}_cls", c)).drop(f"{c}_cls")
-    star = members.select(F.col("row").alias("a"), F.explode(F.array("low", "any")).alias("b")).where("a <> b").distinct()
-    pairs = scratch.save(as_class(as_class(star, "a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sets = _needed_sets(docs, classes, pairs, n, scratch)
-    linked = _verified(pairs, sets, p, scratch)
-    # what this round brings together is of one component; the rest of the closing is left to the end
-    linked = one_round(linked, scratch)
-    joined = linked.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-
-    # what is left: blocks whose members are in several components
-    in_class = as_class(members.select("row", "key", "low"), "row").withColumnRenamed("row", "cls").distinct()
-    placed = in_class.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    placed = scratch.save(placed)
-    main = F.min(F.struct(F.col("cls") != F.col("low"), "component")).alias("main")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size"), main).where("c0 < c1").select("key", "size", F.col("main.component").alias("main"))
-    mixed = scratch.save(mixed)
-    total = mixed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    if total:
-        rest = scratch.save(hot_join(placed.select("key", "cls", "component"), mixed, "key", "size", total))
-        of_class = scratch.save(rest.groupBy("cls").agg(F.collect_list("key").alias("keys")).join(classes.select("cls", "n", "point"), "cls"))
-        asking = rest.where(F.col("component") != F.col("main"))
-        askers = asking.groupBy("key").agg(F.count("*").alias("askers"))
-        chunks = mixed.join(askers, "key").select("key", "size", "askers", F.ceil(F.col("size") / TILE).cast("int").alias("held_chunks"), F.ceil(F.col("askers") / TILE).cast("int").alias("ask_chunks"))
-        chunks = scratch.save(chunks)
-        n_rows = chunks.agg(F.coalesce(F.sum(F.col("size") * F.col("ask_chunks") + F.col("askers") * F.col("held_chunks")), F.lit(0))).first()[0]
-        of_key = chunks.drop("askers")
-        held = hot_join(rest.select("key", "cls", "component"), of_key, "key", "size", total).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("held_chunks")).cast("int"))
-        held = held.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("ask_chunks") - 1), lambda k: F.col("own") + F.col("held_chunks") * k)).alias("tile"), F.lit(False).alias("asks"), "cls", "component")
-        ask = hot_join(asking.select("key", "cls", "component"), of_key, "key", "size", total).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("ask_chunks")).cast("int"))
-        ask = ask.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("held_chunks") - 1), lambda k: F.col("own") * F.col("held_chunks") + k)).alias("tile"), F.lit(True).alias("asks"), "cls", "component")
-        buckets = max(1, -(-n_rows // (4 * TILE)))
-        tiles = held.unionByName(ask).withColumn("bucket", F.pmod(F.xxhash64("key", "tile"), F.lit(buckets))).join(of_class, "cls")
-        more = tiles.select("bucket", "key", "tile", "asks", "cls", "n", "component", "point", "keys").groupBy("bucket").applyInArrow(_search_tiles(p), "a long, b long")
-        more = scratch.save(more.distinct().join(pairs, ["a", "b"], "left_anti"))
-        sets = _needed_sets(docs, classes, more, n, scratch)
-        linked = linked.unionByName(_verified(more, sets, p, scratch))
+    members = scratch.save(hot_join(_listed(keyed, blocks), blocks, "key", "size", total))
+    points = keyed.select("cls", "n", "point")
+
+    # every point searches the tree of its tile; in blocks of several tiles some pivots are in all of them
+    chunks = F.ceil(F.col("size") / tile).cast("int")
+    own = F.array(F.pmod(F.xxhash64("cls"), chunks).cast("int"))
+    pivot = (F.col("size") > tile) & (F.pmod(F.xxhash64("cls", F.lit(5)), F.col("size")) < PIVOTS)
+    tiles = members.select("key", "cls", F.explode(F.when(pivot, F.sequence(F.lit(0), chunks - 1)).otherwise(own)).alias("tile"))
+    found = scratch.save(_bucketed(tiles, points, total).applyInArrow(_first_search(p), "a long, b long, open long"))
+    pairs = scratch.save(found.where("a is not null").select("a", "b").distinct())
+    linked = _verified(pairs, docs, classes, n, p, scratch)
     joined = components(linked, scratch)
-    return table.select("row", "doc_id", "text_hash", "n", "sig"), classes, joined
-
 
-def ngram_components(docs: DataFrame, n: int, p: int, scratch: Scratch) -> DataFrame:
-    """row, doc_id, text_hash, n_shingles, component_id (doc_id), keep_row for each row of docs."""
-    rows, classes, joined = links(docs, n, p, scratch)
-    placed = classes.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    best = F.min(F.struct(F.col("rep_id").isNull().alias("last"), F.col("rep_id"), F.col("cls"))).alias("best")
-    heads = placed.groupBy("component").agg(best, F.count("*").alias("classes"))
-    named = hot_join(placed.select("sig", "members", "component"), scratch.save(heads), "component", "classes", classes.count())
-    named = scratch.save(named.select("sig", "members", F.col("best.rep_id").alias("component_id"), F.col("best.cls").alias("keep_row")))
-    some = hot_join(rows.where("n > 0"), named, "sig", "members", rows.count())
-    none = rows.where("n = 0").withColumns({"component_id": F.col("doc_id"), "keep_row": F.col("row")})
-    columns = ["row", "doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "keep_row"]
-    return some.select(*columns).unionByName(none.select(*columns))
+    held_back = found.where("open is not null").select(F.col("open").alias("key")).union(blocks.where(F.col("size") > tile).select("key")).distinct()
+    rest = scratch.save(members.join(maybe_broadcast(scratch.save(held_back)), "key", "left_semi").select("key", "cls"))
+    for most in (FEW, None):
+        placed = rest.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        placed = scratch.save(placed)
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("own"))
+        mixed_ = parts.groupBy("key").agg(F.max(F.struct("own", "component")).alias("top"), F.count("*").alias("parts"), F.sum("own").alias("size")).where("parts > 1")
+        mixed_ = scratch.save(mixed_.select("key", "size", F.col("top.component").alias("main"), (F.col("size") - F.col("top.own")).alias("askers"), F.ceil(F.col("size") / tile).cast("int").alias("held_chunks"), F.ceil((F.col("size") - F.col("top.own")) / tile).cast("int").alias("ask_chunks")))
+        total = mixed_.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        if not total:
+            break
+        rest = scratch.save(hot_join(placed, mixed_, "key", "size", total))
+        n_rows = mixed_.agg(F.sum(F.col("size") * F.col("ask_chunks") + F.col("askers") * F.col("held_chunks"))).first()[0]
+        chunk = lambda salt, of: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(of)).cast("int")  # noqa: E731, B023
+        held = rest.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("ask_chunks") - 1), lambda k: chunk(2, "held_chunks") + F.col("held_chunks") * k)).alias("tile"), F.lit(False).alias("asks"), "cls", "component")
+        ask = rest.where(F.col("component") != F.col("main")).select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("held_chunks") - 1), lambda k: chunk(3, "ask_chunks") * F.col("held_chunks") + k)).alias("tile"), F.lit(True).alias("asks"), "cls", "component")
+        more = _bucketed(held.unionByName(ask), points, n_rows, "asks", "component").applyInArrow(_next_search(p, most), "a long, b long")
+        more = scratch.save(more.distinct().join(pairs, ["a", "b"], "left_anti"))
+        rest = rest.select("key", "cls")
+        if more.isEmpty():
+            continue
+        pairs = scratch.save(pairs.unionByName(more))
+        linked = scratch.save(linked.unionByName(_verified(more, docs, classes, n, p, scratch)))
+        joined = components(linked, scratch)
+    return table.select("row", "doc_id", "text_hash", "content", "n", "sig"), classes, joined
+
+
+def _heads(classes: DataFrame, joined: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """sig, members, component of each class, and component, head (doc_id, content and text_hash of its first row), classes."""
+    placed = classes.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").select("sig", "members", F.coalesce("component", "cls").alias("component"), "rep")
+    placed = scratch.save(placed)
+    return placed.drop("rep"), scratch.save(placed.groupBy("component").agg(F.min("rep").alias("head"), F.count("*").alias("classes")))
 
 
-def similar_documents(docs: DataFrame, n: int = 3, p: int = 90) -> DataFrame:
+def similar_documents(docs: DataFrame, n: int = 3, p: int = 90, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     with Scratch(docs.sparkSession) as scratch:
-        return scratch.kept(ngram_components(docs, n, p, scratch).select("doc_id", "n_shingles", "component_id"))
+        rows, classes, joined = links(docs.select("doc_id", "text"), n, p, scratch, tile)
+        placed, heads = _heads(classes, joined, scratch)
+        named = hot_join(placed, heads.select("component", "classes", F.col("head.doc_id").alias("component_id")), "component", "classes", classes.count())
+        some = hot_join(rows.where("n > 0"), scratch.save(named.select("sig", "members", "component_id")), "sig", "members", rows.count())
+        columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+        return scratch.kept(some.select(*columns).unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")).select(*columns)))
 
 
 def without_near_copies(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     """One row of each component of docs, the one with the smallest doc_id, and all rows without words; the columns of docs.
 
-    A row is known by its doc_id (null counts as one id) and a hash of its text; of repeated rows with words one stays."""
+    A row is known by its doc_id, a hash of its text and one of all its columns; of rows with words that agree in all three one stays."""
     with Scratch(docs.sparkSession) as scratch:
-        key = ["_keep", "_none", "_text"]
-        rows = ngram_components(docs, n, p, scratch).where("row = keep_row")
-        kept = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("_keep"), F.col("doc_id").isNull().alias("_none"), F.col("text_hash").alias("_text"), (F.col("n_shingles") > 0).alias("_some"))
-        kept = scratch.kept(kept.distinct())
-        own = F.when(F.col("_some"), F.lit(-1)).otherwise(F.col("_row"))
-        keyed = docs.withColumns({"_keep": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_none": F.col("doc_id").isNull(), "_text": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
-        return keyed.join(kept, key).withColumn("_own", own).dropDuplicates([*key, "_own"]).select(*docs.columns)
+        rows, classes, joined = links(docs, n, p, scratch)
+        heads = _heads(classes, joined, scratch)[1]
+        id_, none = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none")
+        kept = scratch.kept(heads.select("head.*").select(id_, none, "text_hash", "content"))
+        names = ["id", "none", "text_hash", "content"]
+        words = F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+        keyed = docs.where(words).select(id_, none, F.xxhash64("text").alias("text_hash"), content_hash(docs).alias("content"), whole_row(docs))
+        return keyed.dropDuplicates(names).join(kept, names, "left_semi").select("row.*").unionByName(docs.where(~words))

@@ -1,14 +1,20 @@
 """Packing of documents into windows by the sum-of-squares rule.
 
-Documents come one at a time. The level array counts the partially filled windows of each fill. A document
-goes where it makes the sum of the squared counts smallest: into a window of some level, or into a new one.
-Documents of a window or more are first cut into full windows, and only their rest is placed. When a task
-has no documents left, the windows still open are filled up from each other by cuts, so that one of them
-at most is left unfilled in each task. Tasks pack their own partition as it was read; nothing is shuffled, and a
-task holds the pieces of its open windows only, less than two for each level in practice.
-
-Defined results: a null text counts as empty and is the end id alone; repeated rows and ids are packed
-again each time; an empty table gives an empty table.
+Documents come one at a time. The level array counts the partially filled windows of each fill, in levels of GRAIN
+tokens. A document goes where it makes the sum of the squared counts smallest: into a window of some level, or into a new
+one. A window is full when less than GRAIN tokens are left of it. Documents of a window or more are first cut into full
+windows, and only their rest is placed. Once OPEN windows are open, a document for which the rule would open another is cut
+instead: its first part fills a window of the level that has most, which lowers the sum of squares most, and its rest is
+placed again. When a task has no documents left, the few windows still open are filled up
+from each other by cuts, so that one of them at most is left unfilled in each task.
+
+The rule wants many windows for each level, so that partitions with little text are put together (without a shuffle)
+until each task has TASK_CHARS of it. Nothing is shuffled, and a task holds the ids of its open windows only, about OPEN,
+whatever the length of a text or the number of documents.
+
+Defined results: a null text counts as empty and is the end id alone; a long text has pieces in as many windows as it
+needs; repeated rows and ids are packed again each time, and a null id stays null; an empty table gives an
+empty table; columns besides doc_id and text are not read and may have any names.
 """
 
 from __future__ import annotations
@@ -19,21 +25,27 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .bytebpe import loaded
 
 WINDOW, END = 2048, 1
+#: Tokens of a level, characters of text for each task at least, and ids in memory before rows are handed on.
+GRAIN, OPEN, TASK_CHARS, FLUSH = 16, 128, 8_000_000, 1 << 19
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Packer:
     """emit(sequence, doc, start, ids, doc_tokens, offset) is called for each piece of a window that is full or closed."""
 
-    def __init__(self, window: int, emit: Callable[..., None], sequences: Iterator[int]):
-        self.window, self.emit, self.sequences = window, emit, sequences
-        self.levels = np.zeros(window + 1, np.int64)
-        self.open: list[list[list]] = [[] for _ in range(window + 1)]
+    def __init__(self, window: int, emit: Callable[..., None], sequences: Iterator[int], grain: int = GRAIN):
+        self.window, self.grain, self.emit, self.sequences = window, min(grain, window), emit, sequences
+        self.top = window // self.grain
+        self.levels = np.zeros(self.top + 1, np.int64)
+        self.open: list[list[list]] = [[] for _ in range(self.top + 1)]
+        #: Tokens of windows that the rule filled, and of those that close() did.
+        self.by_rule = self.by_cuts = 0
 
     def _write(self, pieces: list) -> None:
         sequence, offset = next(self.sequences), 0
@@ -42,38 +54,51 @@ class Packer:
             offset += len(ids)
 
     def choose(self, size: int) -> int:
-        """The fill, 0 for a new window, whose choice makes the sum of squares smallest; of equal ones the fullest."""
-        counts, window = self.levels, self.window
+        """The level, 0 for a new window, whose choice makes the sum of squares smallest; of equal ones the fullest. size: in levels."""
+        counts, top = self.levels, self.top
         # half the change of the sum, less a constant: one window leaves level h, one comes to h + size
-        change = 2 * (counts[size:window] - counts[: window - size]) + 2
-        change[0] = 2 * counts[size] + 1
-        change[1:][counts[1 : window - size] == 0] = np.iinfo(np.int64).max
-        at = len(change) - 1 - int(np.argmin(change[::-1]))
-        if counts[window - size] and 1 - 2 * counts[window - size] <= change[at]:
-            return window - size
-        return at
+        change = 2 * (counts[size:top] - counts[: top - size]) + 2
+        if size < top:
+            change[0] = 2 * counts[size] + 1
+            change[1:][counts[1 : top - size] == 0] = np.iinfo(np.int64).max
+            at = len(change) - 1 - int(np.argmin(change[::-1]))
+            full = counts[top - size] and 1 - 2 * counts[top - size] <= change[at]
+            return top - size if full else at
+        return 0
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
         total, at = len(ids), 0
         while total - at >= self.window:
             self._write([(doc, at, ids[at : at + self.window], total)])
+            self.by_rule += self.window
             at += self.window
-        size = total - at
-        if not size:
-            return
-        fill = self.choose(size)
-        pieces = self.open[fill].pop() if fill else []
-        self.levels[fill] -= fill > 0
-        pieces.append((doc, at, ids[at:], total))
-        if fill + size == self.window:
-            self._write(pieces)
-        else:
-            self.open[fill + size].append(pieces)
-            self.levels[fill + size] += 1
+        while at < total:
+            level = self.choose(-(-(total - at) // self.grain))
+            if not level and self.levels.sum() >= OPEN and (fuller := self._to_cut_for(total - at)):
+                level = fuller
+            fill, pieces = self.open[level].pop() if level else (0, [])
+            self.levels[level] -= level > 0
+            part = ids[at : at + self.window - fill]
+            pieces.append((doc, at, part.copy(), total))
+            at += len(part)
+            fill += len(part)
+            level = -(-fill // self.grain)
+            if level >= self.top:
+                self._write(pieces)
+                self.by_rule += fill
+            else:
+                self.open[level].append((fill, pieces))
+                self.levels[level] += 1
+
+    def _to_cut_for(self, size: int) -> int:
+        """Of the levels that have no room for size tokens, the one with the most windows, of equal ones the fullest; 0 without any."""
+        tight = self.levels[max(1, self.top - -(-size // self.grain) + 1) :]
+        return self.top - int(np.argmax(tight[::-1])) if len(tight) and tight.any() else 0
 
     def close(self) -> None:
         """Fills the open windows, the fullest first, with cuts of the emptiest ones."""
-        windows = [(fill, pieces) for fill in range(self.window, 0, -1) for pieces in self.open[fill]]
+        windows = [x for level in range(self.top, 0, -1) for x in self.open[level]]
+        self.by_cuts += sum(fill for fill, _ in windows)
         low, high, spare = 0, len(windows) - 1, []
         while low <= high:
             fill, pieces = windows[low]
@@ -99,7 +124,7 @@ class Packer:
                 if take < len(ids):
                     spare.append((doc, start + take, ids[take:], total))
             self._write(pieces)
-        self.open = [[] for _ in range(self.window + 1)]
+        self.open = [[] for _ in range(self.top + 1)]
         self.levels[:] = 0
 
 
@@ -113,28 +138,43 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
         out: dict[str, list] = {c: [] for c in names}
         end = np.asarray([END], np.int32)
         base = TaskContext.get().partitionId() << 33
+        held = 0
 
         def emit(sequence, doc, start, ids, total, offset):
-            row = (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, sequence, offset, *([ids.tolist()] if with_ids else []))
+            nonlocal held
+            row = (doc, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").view(np.uint8)), total, sequence, offset, *([ids.astype(np.int32)] if with_ids else []))
             for c, v in zip(names, row, strict=True):
                 out[c].append(v)
+            held += len(ids) if with_ids else 16
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(out[c], pa.list_(pa.int32()) if c == "ids" else pa.int64()) for c in names], names)
+            nonlocal held
+            arrays = [pa.array(out[c], pa.int64()) for c in names if c != "ids"]
+            if with_ids:
+                offsets = np.concatenate([[0], np.cumsum(out["length"], dtype=np.int64)]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *out["ids"]]))))
             for c in names:
                 out[c].clear()
-            return batch
+            held = 0
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         packer = Packer(window, emit, iter(range(base, base + (1 << 33))))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
-                part = [t or "" for t in texts.slice(at, 256).to_pylist()]
-                for doc, found in zip(ids[at : at + 256], bpe.encode(part), strict=True):
+            for at in range(0, len(ids), 64):
+                part = [t or "" for t in texts.slice(at, 64).to_pylist()]
+                for doc, found in zip(ids[at : at + 64], bpe.encode(part), strict=True):
                     packer.add(doc, np.concatenate([found, end]))
-                if len(out["doc_id"]) >= 4096:
-                    yield flush()
+                    if held >= FLUSH:
+                        yield flush()
         packer.close()
         yield flush()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return _enough(docs).mapInArrow(run, schema)
+
+
+def _enough(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in partitions that have TASK_CHARS of text on average, or as they are if they have more."""
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    return docs.coalesce(max(1, chars // TASK_CHARS))

@@ -1,15 +1,16 @@
 """Secret scans through a trigram inverted index, with DataFrame functions only.
 
 Every rule's regular expression is turned into a Boolean query over trigrams that any match must contain:
-a conjunction of clauses, each a choice between sets of trigrams. The index holds a posting (document, trigram)
-for every mandatory trigram of any rule that the lower-cased text contains. Postings are
-intersected for each document and the queries evaluated; the surviving candidates alone are joined with their texts and
+a conjunction of clauses, each a choice between sets of trigrams. The index holds a posting (trigram, document)
+for every mandatory trigram of any rule that the lower-cased text contains, found in one pass over the text and laid out by
+trigram. The postings are intersected by document and the queries evaluated; the surviving candidates alone are
 verified by the regular expressions. Rules without mandatory trigrams scan all texts in place.
 The rules are few and fixed, so that the index has a bounded number of postings for each document.
 
-Defined results: a null text counts as empty and has no spans; rows with the same id and text share one
-verification and each get its result; rows with a null id are kept apart by their texts; an empty table
-gives an empty table. Columns other than doc_id and text are not looked at.
+Defined results: a null text counts as empty and has no spans; texts of any length are scanned whole; rows with the same id
+and text share one entry of the index, and each is verified and gets the same result; rows with a null id are kept
+apart by their texts; an empty table gives an empty table. Columns other than doc_id and text are not looked at and may
+have any names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, maybe_broadcast, whole_row
 
 
 @dataclass(frozen=True)
@@ -112,11 +113,22 @@ def key() -> list[Column]:
     return [F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")]
 
 
+def any_of(trigrams: list[str]) -> str:
+    """A regular expression for any of the trigrams, whose branches share their beginnings."""
+    by_first: dict[str, dict[str, list[str]]] = {}
+    for t in trigrams:
+        by_first.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
+    one = lambda signs: re.escape(signs[0]) if len(signs) == 1 else f"[{''.join(map(re.escape, signs))}]"
+    return "|".join(f"{re.escape(a)}(?:{'|'.join(re.escape(b) + one(c) for b, c in rest.items())})" for a, rest in by_first.items())
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """_id, _text (a hash), trigram (its number): the inverted index over the given trigrams."""
+    """trigram (its number), _id, _text (a hash): the inverted index over the given trigrams, in the order of trigrams."""
     low = docs.select(*key(), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(k)) for k, t in enumerate(trigrams)]))
-    return low.select("_id", "_text", F.explode(held).alias("trigram"))
+    held = F.array_distinct(F.regexp_extract_all("low", F.lit(f"(?=({any_of(trigrams)}))"), F.lit(1)))
+    number = F.create_map(*[F.lit(x) for k, t in enumerate(trigrams) for x in (t, k)])
+    found = low.select("_id", "_text", F.explode(held).alias("gram")).select(F.element_at(number, F.col("gram")).alias("trigram"), "_id", "_text")
+    return found.repartitionByRange("trigram", "_text").sortWithinPartitions("trigram")
 
 
 def candidates(index: DataFrame, queries: dict[str, Query], trigrams: list[str]) -> DataFrame:
@@ -164,23 +176,20 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
 EMPTY = "cast(array() as array<struct<start:int,k:int,end:int,kind:string>>)"
 
 
-def found_spans(docs: DataFrame, scratch: Scratch, rules: list[Rule] = RULES) -> DataFrame:
-    """_id, _text and spans (array, sorted) for each distinct document of docs."""
+def with_spans(docs: DataFrame, scratch: Scratch, rules: list[Rule]) -> DataFrame:
+    """_id, row (all columns of docs), text (null counts as empty) and spans (array, sorted) for each row of docs."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     trigrams = sorted({g for q in queries.values() for clause in q for grams in clause for g in grams})
     index = scratch.save(postings(docs, trigrams))
-    chosen = scratch.save(candidates(index, queries, trigrams))
-    texts = docs.select(*key(), F.coalesce("text", F.lit("")).alias("text"))
-    # rules with a query: candidates only
-    joined = texts.join(chosen.withColumnsRenamed({"_id": "_cid", "_text": "_ctext"}), F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_text") == F.col("_ctext")))
-    each = [F.when(F.col(r.kind), spans(F.col("text"), r, k)).otherwise(F.expr(EMPTY)) for k, r in enumerate(rules) if r.kind in queries]
-    verified = joined.select("_id", "_text", F.concat(*each).alias("spans"))
-    # rules without one: every text, where it is
-    rest = [(k, r) for k, r in enumerate(rules) if r.kind not in queries]
-    swept = texts.select("_id", "_text", F.concat(F.expr(EMPTY), *[F.when(F.col("text").rlike(f"(?:{r.pattern[:-1]}{{{r.least},}})" if r.pattern.endswith("]+") else r.pattern), spans(F.col("text"), r, k)).otherwise(F.expr(EMPTY)) for k, r in rest]).alias("spans"))
-    found = verified.where(F.size("spans") > 0).unionByName(swept.where(F.size("spans") > 0))
-    # equal rows have equal spans; the two halves of a document meet here
-    return found.groupBy("_id", "_text").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"))
+    chosen = maybe_broadcast(scratch.kept(candidates(index, queries, trigrams))).withColumnsRenamed({"_id": "_cid", "_text": "_ctext"})
+    keyed = docs.select(*key(), whole_row(docs))
+    joined = keyed.join(chosen, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_text") == F.col("_ctext")), "left").withColumn("text", F.coalesce("row.text", F.lit("")))
+    each = []
+    for k, r in enumerate(rules):
+        # candidates only; rules without a query look at every text, where it is
+        here = F.col(r.kind) if r.kind in queries else F.col("text").rlike(f"{r.pattern[:-1]}{{{r.least},}}" if r.pattern.endswith("]+") else r.pattern)
+        each.append(F.when(here, spans(F.col("text"), r, k)).otherwise(F.expr(EMPTY)))
+    return joined.select("_id", "row", "text", F.array_sort(F.concat(*each)).alias("spans"))
 
 
 def _joined(spans_: Column) -> Column:
@@ -190,30 +199,28 @@ def _joined(spans_: Column) -> Column:
 def secret_spans(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of docs."""
     with Scratch(docs.sparkSession) as scratch:
-        found = found_spans(docs, scratch, rules).withColumnsRenamed({"_id": "_fid", "_text": "_ftext"})
-        rows = docs.select(*key()).join(found, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_text") == F.col("_ftext")), "left")
-        all_ = F.coalesce("spans", F.expr(EMPTY))
-        base = F.filter(all_, lambda s: s["kind"].isin(*BASE))
-        count = lambda kind: F.size(F.filter(all_, lambda s: s["kind"] == kind)).cast("long")
-        return scratch.kept(rows.select(F.col("_id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(all_).alias("spans")))
+        found = with_spans(docs.select("doc_id", "text"), scratch, rules)
+        base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+        count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+        return found.select(F.col("_id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame, rules: list[Rule] = RULES, mark: str = "[secret]") -> DataFrame:
     """docs with every span of a secret replaced by a mark; all rows stay, and n_chars follows the text if there is one."""
     with Scratch(docs.sparkSession) as scratch:
-        found = scratch.kept(found_spans(docs, scratch, rules)).withColumnsRenamed({"_id": "_fid", "_text": "_ftext", "spans": "_spans"})
-        named = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
-        joined = named.join(found, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_text") == F.col("_ftext")), "left")
+        found = with_spans(docs, scratch, rules)
 
         def step(acc: Column, s: Column) -> Column:
             new = s["start"] >= acc["at"]
             before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
             return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-        clean = F.aggregate(F.col("_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-        text = F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text"))
-        columns = [text.alias("text") if c == "text" else F.when(F.col("_spans").isNotNull(), F.char_length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-        return joined.select(*columns)
+        clean = F.aggregate(F.col("spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+        some = F.size("spans") > 0
+        new = {"text": F.when(some, clean).otherwise(F.col("row.text"))}
+        if "n_chars" in docs.columns:
+            new["n_chars"] = F.when(some, F.char_length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+        return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _oracle_kind(number: int, rule: Rule) -> str:

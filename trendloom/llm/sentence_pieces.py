@@ -11,8 +11,9 @@ have optimal substructure of their own: a cut of an encoding is the encoding of
 pieces is an encoding if each two neighbours are. So the last piece of a prefix is the one that
 ends there and follows the last piece of what is before it.
 
-Defined results: a null or empty text has no pieces; signs without a piece become byte pieces; repeated rows are
-encoded each; an empty table gives an empty table. Marks inside a text decode as spaces, like in the library.
+Defined results: a null or empty text has no pieces; texts of any length are encoded whole; signs without a piece become byte
+pieces; repeated rows are encoded each, and a null id stays null; an empty table gives an empty table; columns besides doc_id
+and text are not read and may have any names. Marks inside a text decode as spaces, like in the library.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@
    STEMS.
 
 Defined results: a null or empty text has no words and gets the score of a text without marks; repeated rows
-get equal scores; with no labelled rows only the fixed lexicon votes; an empty table gives an empty table.
+get equal scores; a text of any length is read whole; a null id is scored like any other and never trained on; with no labelled
+rows only the fixed lexicon votes; an empty table gives an empty table. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id
+from .common import crc32_of_id, whole_row
 
 #: Labelled rows that the model is fitted on at most, stems kept at most, and lexicon voters.
 SAMPLE, STEMS, VOTERS = 20_000, 4096, 12
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the columns score (double, 0 to 1) and predicted (int) put after its own."""
+    """row (all columns of docs as one) and score (double, 0 to 1) for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -208,17 +209,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.array(m.score(np.array(x)) if x else np.zeros(0))
 
     udf = F.arrow_udf(run, "double")
-    return docs.withColumn("score", udf("text"))
+    return docs.select(whole_row(docs), udf("text").alias("score"))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels)).select("row.doc_id", "score")
     return scored.select(F.col("doc_id").cast("long"), (F.pmod(crc32_of_id(), F.lit(4)) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score below the threshold, with the columns of docs."""
-    marked = docs.withColumnRenamed("score", "_own_score") if "score" in docs.columns else docs
-    kept = score(marked, fit(docs, labels)).where(F.col("score") < THRESHOLD).drop("score")
-    return kept.withColumnRenamed("_own_score", "score").select(*docs.columns)
+    return score(docs, fit(docs, labels)).where(F.col("score") < THRESHOLD).select("row.*")

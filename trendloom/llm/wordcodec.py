@@ -1,8 +1,8 @@
 """Vectorised cutting of texts into words and encoding of words through a cache, with NumPy inside tasks.
 
 A batch of texts becomes one array of code points. Word starts are found by array comparisons, every
-word gets a 64-bit hash from prefix sums, and an open-addressing table maps hashes to ids. Only words
-that the table lacks are encoded one by one, once for each worker and generation of the cache.
+word gets two 64-bit hashes, and an open-addressing table maps the first to ids, which hold if the second agrees too.
+Only words that the table lacks are encoded, once for each worker and generation of the cache.
 """
 
 from __future__ import annotations
@@ -32,49 +32,36 @@ def kinds() -> np.ndarray:
     return _tables["kinds"]
 
 
-def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random value for each code point, and the powers of a random odd base and of its inverse."""
-    if "powers" not in _tables:
-        rng = np.random.default_rng(20240229)
-        base = int(rng.integers(1, 1 << 62)) * 2 + 1
-        inverse = pow(base, -1, 1 << 64)
-        n = 3 * BLOCK
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose output bits each depend on all input bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-        def powers(b: int) -> np.ndarray:
-            out = np.ones(n, np.uint64)
-            done, step = 1, b
-            while done < n:  # doubling: out[done:2*done] = out[:done] * b**done
-                take = min(done, n - done)
-                out[done : done + take] = out[:take] * np.uint64(step)
-                done, step = done + take, step * step % (1 << 64)
-            return out
 
-        _tables["values"] = rng.integers(1, 1 << 63, 0x110000, dtype=np.uint64)
-        _tables["powers"], _tables["inverse"] = powers(base), powers(inverse)
-    return _tables["values"], _tables["powers"], _tables["inverse"]
+def word_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes, the first never 0, of points[start:end]; equal words have equal hashes wherever they stand.
 
-
-def word_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes, never 0, of points[start:end]; equal words have equal hashes wherever they stand.
-
-    Two different words of a cache share a hash with odds of about 2**-64 for each pair.
+    Each hash is a sum of mixed (code point, place in the word) pairs, so that no rule of letters makes two words
+    agree: words meet in one hash by chance alone (2**-64 a pair), and what must be exact compares both.
+    Words neither overlap nor are empty; what is between them is not looked at.
     """
-    values, powers, inverse = _hash_tables()
-    n = len(points)
-    sums = np.zeros(n + 1, np.uint64)
-    if n <= len(powers):
-        np.cumsum(values[points] * powers[:n], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * inverse[starts]
-    else:  # one word may be longer than a block
-        h = np.zeros(len(starts), np.uint64)
-        for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-            for part, at in enumerate(range(s, e, BLOCK)):
-                x = points[at : min(e, at + BLOCK)]
-                h[k] += np.sum(values[x] * powers[: len(x)], dtype=np.uint64) * np.uint64((2 * part + 1) * 0x9E3779B97F4A7C15 % (1 << 64) if part else 1)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return np.where(h == 0, np.uint64(1), h)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    points, begin = points[starts[0] : ends[-1]], starts[0]
+    place = np.arange(len(points), dtype=np.uint64) - np.repeat((starts - begin).astype(np.uint64), np.diff(np.append(starts, ends[-1])))
+    x = points.astype(np.uint64) + (place << np.uint64(21))
+    first, second = mixed(x + np.uint64(0x9E3779B97F4A7C15)), mixed(x ^ np.uint64(0xD1B54A32D192ED03))
+    gaps = np.flatnonzero(ends[:-1] != starts[1:])
+    if len(gaps):
+        inside = np.zeros(len(points) + 1, np.int8)
+        inside[starts - begin] += 1
+        np.subtract.at(inside, ends - begin, 1)
+        outside = np.cumsum(inside[:-1]) == 0
+        first[outside] = second[outside] = 0
+    first, second = np.add.reduceat(first, starts - begin), np.add.reduceat(second, starts - begin)
+    first, second = mixed(first), mixed(second)
+    return np.where(first == 0, np.uint64(1), first), second
 
 
 def byte_level_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -158,7 +145,7 @@ class Words:
         first[begins[lengths > 0]] = True
         self.starts = np.flatnonzero(find(points, first))
         self.ends = np.append(self.starts[1:], len(points)) if len(self.starts) else self.starts
-        self.hashes = word_hashes(points, self.starts, self.ends)
+        self.hashes, self.second = word_hashes(points, self.starts, self.ends)
         filled = np.flatnonzero(lengths > 0)
         own = np.asarray(owners, np.int64)[filled]
         self.owner = own[np.searchsorted(begins[filled], self.starts, "right") - 1] if len(filled) else np.zeros(0, np.int64)
@@ -170,7 +157,7 @@ class Words:
         """The same block with some of its words."""
         out = object.__new__(Words)
         out.text = self.text
-        out.starts, out.ends, out.hashes, out.owner = self.starts[which], self.ends[which], self.hashes[which], self.owner[which]
+        out.starts, out.ends, out.hashes, out.second, out.owner = self.starts[which], self.ends[which], self.hashes[which], self.second[which], self.owner[which]
         return out
 
 
@@ -228,35 +215,53 @@ class HashTable:
 
 class WordCache:
     """Ids of words by hash. encode(words) gives the ids of words not seen yet, end to end, and how many each has;
-    past ``most`` words the cache starts anew."""
+    past ``most`` words the cache starts anew.
+
+    A word that shares the first hash of another but not the second gets a row that the table does not lead to.
+    """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1 << 20):
         self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
-        self.table, self.pool, self.filled = HashTable(), np.zeros(1 << 18, np.int32), 0
-        self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.table, self.pool, self.filled, self.n = HashTable(), np.zeros(1 << 18, np.int32), 0, 0
+        self.begin, self.length, self.second = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint64)
+        self.row = np.zeros(1 << 16, np.int64)
+
+    def _put(self, words: Words, which: np.ndarray) -> np.ndarray:
+        """New rows for words[which]."""
+        found, sizes = self.encode([words.word(k) for k in which.tolist()])
+        rows = np.arange(self.n, self.n + len(which))
+        self.n += len(which)
+        while len(self.begin) < self.n:
+            self.begin, self.length, self.second = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length, self.second))
+        while len(self.pool) < self.filled + sizes.sum():
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.begin[rows], self.length[rows], self.second[rows] = self.filled + ends - sizes, sizes, words.second[which]
+        self.pool[self.filled : self.filled + len(found)] = found
+        self.filled += len(found)
+        return rows
 
     def rows(self, words: Words) -> np.ndarray:
         """The row in this cache of each word; rows hold until the next call."""
-        if self.table.n > self.most:
+        if self.n > self.most:
             self._clear()
-        out = self.table.find(words.hashes)
-        missing = np.flatnonzero(out < 0)
+        at = self.table.find(words.hashes)
+        missing = np.flatnonzero(at < 0)
         if len(missing):
-            new, at, back = np.unique(words.hashes[missing], return_index=True, return_inverse=True)
-            found, sizes = self.encode([words.word(k) for k in missing[at].tolist()])
+            new, first, back = np.unique(words.hashes[missing], return_index=True, return_inverse=True)
+            rows = self._put(words, missing[first])
             added = self.table.add(new)
-            while len(self.begin) < self.table.n:
-                self.begin, self.length = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.length, np.zeros_like(self.length)])
-            while len(self.pool) < self.filled + sizes.sum():
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            ends = np.cumsum(sizes, dtype=np.int64)
-            self.begin[added], self.length[added] = self.filled + ends - sizes, sizes
-            self.pool[self.filled : self.filled + len(found)] = found
-            self.filled += len(found)
-            out[missing] = added[back]
+            while len(self.row) < self.table.n:
+                self.row = np.concatenate([self.row, np.zeros_like(self.row)])
+            self.row[added] = rows
+            at[missing] = added[back]
+        out = self.row[at]
+        odd = np.flatnonzero(self.second[out] != words.second)
+        if len(odd):
+            out[odd] = self._put(words, odd)
         return out
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
