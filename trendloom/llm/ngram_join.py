@@ -7,14 +7,14 @@ a class stands for its documents.
   sets. The order here puts shingles last that are common in a sample of documents (SAMPLE). Classes that
   share such a shingle form a block, and blocks with the same members are one: pairs meet nowhere else, and
   no link is missed, whatever the sample holds.
-- The tokens (shingles) of a set are hashed into groups, about eight in each. The numbers of tokens in each group are its
-  point, and the sum of the smaller coordinates of two points bounds the overlap of their sets from above.
+- The tokens (shingles) of a set are hashed into groups, so many that unrelated sets stand out. The numbers of tokens in each
+  group are its point, and the sum of the smaller coordinates of two points bounds the overlap of their sets from above.
 - The points of every block are packed into an R-tree (tiles of about TILE points where a block is larger), and each
   point searches it. Subtrees whose largest coordinates bound the overlap below the threshold are skipped. Of the
-  pairs that survive, each point gives the one with the highest bound among the points before it, so that a group of
-  copies gives as many pairs as it has members.
-- Pairs are verified on the whole sets; links are closed to components by large and small stars.
-- Blocks in which a tree held back pairs, and whose members are in several components, are searched again: now
+  pairs that survive, each class is held against the one with the highest bound among the classes before it, so that a group
+  of copies gives as many pairs as it has members.
+- Pairs are verified on the whole texts; links are closed to components by large and small stars.
+- Blocks whose surviving pairs are still in several components are searched again: now
   points outside the block's main component ask for points of other components, whose subtrees are skipped if they
   hold the asker's own component only. First the FEW highest bounds for each other component are verified, at last all.
 
@@ -29,6 +29,7 @@ count as equal if 128 bits of them are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ from .wordcodec import BLOCK, mixed, word_hashes
 
 #: Points of a tile, of a leaf and children of a node; pivots of a block of several tiles; pairs for a component in the second search.
 TILE, LEAF, FANOUT, PIVOTS, FEW = 2048, 32, 16, 16, 4
+#: Pairs that are verified together, and partners for each copy of a text.
+TOGETHER, PARTNERS = 64, 64
 #: Documents of the sample: one in SAMPLE[0], SAMPLE[1] at least and SAMPLE[2] at most; how many of them have a shingle that
 #: counts as common, and how many of those are known at most.
 SAMPLE, COMMON, MOST_COMMON = (16, 1 << 12, 1 << 17), 6, 1 << 18
@@ -118,7 +121,8 @@ class Order:
 
 
 def groups_of(n: int) -> int:
-    return 1 << max(5, (n // 8).bit_length())
+    """As many groups as put the bound of unrelated sets of n shingles some four deviations below 80 %, rounded up to a power of two."""
+    return 1 << max(5, (int((3 + 0.2 * math.sqrt(n)) ** 2) - 1).bit_length())
 
 
 def point(found: np.ndarray) -> np.ndarray:
@@ -240,44 +244,40 @@ def _sets(docs: DataFrame, n: int, p: int) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, text_hash long, content long, n long, s1 long, s2 long, point binary, keys array<long>")
 
 
-def _verify(p: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [[np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(c)] for c in (2, 3)]
-            good = [may_link(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b), p) for a, b in zip(*sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+def _verify(n: int, p: int):
+    """Rows bucket, a, b, part, text: the text of a class a, or of b where a is null. Gives the pairs (a, b) that reach p %."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, part = (table[c].to_pylist() for c in ("a", "b", "part"))
+        rows = {(x, y, z): k for k, (x, y, z) in enumerate(zip(a, b, part, strict=True))}  # of repeated rows one
+        kept = sorted(rows.items(), key=lambda x: (x[0][1], x[0][2], x[0][0] is not None))
+        out, last, other = [], None, None
+        for at in range(0, len(kept), 32):
+            some = kept[at : at + 32]
+            for ((x, y, z), _), own in zip(some, shingles(table["text"].take([k for _, k in some]).to_pylist(), n), strict=True):
+                if x is None:
+                    last, other = (y, z), own
+                elif last == (y, z) and may_link(len(np.intersect1d(own, other, assume_unique=True)), len(own) + len(other), p):
+                    out.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, p: int, scratch: Scratch) -> DataFrame:
-    """Those of pairs (a, b) whose sets reach p %. A document with many partners in b is copied to every thousand of them."""
-    sets = _needed_sets(docs, classes, pairs, n, scratch)
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, unique: bool, n: int, p: int, scratch: Scratch) -> DataFrame:
+    """Those of pairs (a, b) whose sets reach p %. Each text moves once for each pair as a, and once for PARTNERS pairs as b."""
     total = pairs.count()
-    parts = scratch.save(pairs.groupBy("b").agg(F.count("*").alias("partners")).withColumn("parts", F.ceil(F.col("partners") / 1000).cast("int")))
-    dealt = hot_join(pairs, parts, "b", "partners", total).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    left = dealt.select("a", "b", "part").join(sets.select(F.col("cls").alias("a"), F.col("found").alias("set_a")), "a")
-    copies = parts.join(sets, F.col("cls") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("found").alias("set_b"))
-    joined = left.join(copies, ["b", "part"]).select("a", "b", "set_a", "set_b")
-    return scratch.save(joined.mapInArrow(_verify(p), "a long, b long"))
-
-
-def _needed_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
-    """cls, found (the whole set, 8 bytes a shingle) of every class in pairs, from the text of one of its documents."""
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "rep.doc_id", "rep.text_hash"), "cls")
-    needed = scratch.save(needed)
-    held = docs.sparkSession.sparkContext.broadcast(bit_map(needed.select("text_hash")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.filter(pa.array(in_map(held.value, batch.column(1).to_numpy(zero_copy_only=False))))
-            for at in range(0, wanted.num_rows, 512):
-                part = wanted.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in shingles(part.column(2).to_pylist(), n)], pa.binary())], ["_doc", "_hash", "found"])
-
-    sets = _texts(docs).select("doc_id", "text_hash", "text").mapInArrow(run, "_doc long, _hash long, found binary")
-    joined = sets.join(maybe_broadcast(needed), F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).select("cls", "found")
-    return scratch.save(joined.dropDuplicates(["cls"]))
+    parts = scratch.save(pairs.groupBy("b").agg(F.count("*").alias("partners")).withColumn("parts", F.ceil(F.col("partners") / PARTNERS).cast("int")))
+    part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")
+    as_a = hot_join(pairs, parts, "b", "partners", total).select(F.col("a").alias("cls"), "a", "b", part)
+    as_b = parts.select(F.col("b").alias("cls"), F.lit(None).cast("long").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    roles = as_a.unionByName(as_b).join(classes.select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_text")), "cls")
+    roles = maybe_broadcast(scratch.save(roles))
+    buckets = max(1, total // TOGETHER)
+    bucket = F.pmod(F.xxhash64("b", "part"), F.lit(buckets)).alias("bucket")
+    texts = _texts(docs).join(roles, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_text"))).select(bucket, "a", "b", "part", "text")
+    texts = texts if unique else texts.dropDuplicates(["bucket", "a", "b", "part"])
+    return scratch.save(texts.groupBy("bucket").applyInArrow(_verify(n, p), "a long, b long").distinct())
 
 
 def _listed(table: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -305,29 +305,31 @@ def _tiles(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _first_search(p: int):
-    """Searches of all tiles of a bucket: rows bucket, key, tile, cls, n, point. Gives pairs (a, b), and in ``open`` the keys of
-    blocks where pairs were held back."""
+    """Searches of all tiles of a bucket: rows bucket, key, tile, cls, n, point. Gives pairs (a, b, share): for each class a the one
+    of the highest bound before it in its tile; and the members (key, a) of blocks that have a partner there at all."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         cls, n, raw = table["cls"].to_numpy(), table["n"].to_numpy(), table["point"].to_pylist()
-        a_out, b_out, open_ = [], [], set()
+        none = np.zeros(0, np.int64)
+        a_out, b_out, share_out, key_out, member_out = [none], [none], [np.zeros(0)], [none], [none]
         for key, part in _tiles(table):
             if len(part) < 2:
                 continue
             points, sizes = unpacked([raw[k] for k in part.tolist()], n[part]), n[part]
-            n_hits = given = 0
+            partnered = np.zeros(len(part), bool)
             if len(part) <= LEAF:  # one leaf
                 bound = np.minimum(points[:, None], points[None]).sum(axis=2, dtype=np.int64)
                 both = sizes[:, None] + sizes[None]
                 good = np.tril(may_link(bound, both, p), -1)
-                n_hits = int(good.sum())
-                if n_hits:
-                    share = np.where(good, bound / both, -1)
-                    later = np.flatnonzero(good.any(axis=1))
+                later = np.flatnonzero(good.any(axis=1))
+                if len(later):
+                    share = np.where(good, bound / both, -1)[later]
+                    best = share.argmax(axis=1)
+                    partnered = good.any(axis=1) | good.any(axis=0)
                     a_out.append(cls[part[later]])
-                    b_out.append(cls[part[share[later].argmax(axis=1)]])
-                    given = len(later)
+                    b_out.append(cls[part[best]])
+                    share_out.append(share.max(axis=1))
             else:
                 tree = CountTree(points, sizes, np.zeros(len(part), np.int64))
                 for q in range(1, len(part)):
@@ -335,18 +337,18 @@ def _first_search(p: int):
                     before = hits < q
                     if before.any():
                         hits, share = hits[before], share[before]
-                        n_hits += len(hits)
-                        given += 1
+                        partnered[q] = partnered[hits] = True
+                        best = share.argmax()
                         a_out.append(cls[part[[q]]])
-                        b_out.append(cls[part[hits[[share.argmax()]]]])
-            if n_hits > given:
-                open_.add(key)
-        none = np.zeros(0, np.int64)
-        a, b = np.concatenate([none, *a_out]), np.concatenate([none, *b_out])
-        both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-        nulls = lambda k: pa.nulls(k, pa.int64())
-        columns = [[pa.array(x), y] for x, y in ((both[0], nulls(len(open_))), (both[1], nulls(len(open_))))] + [[nulls(both.shape[1]), pa.array(sorted(open_), pa.int64())]]
-        return pa.table([pa.chunked_array(x) for x in columns], ["a", "b", "open"])
+                        b_out.append(cls[part[hits[[best]]]])
+                        share_out.append(share[[best]])
+            if partnered.any():
+                member_out.append(cls[part[partnered]])
+                key_out.append(np.full(partnered.sum(), key))
+        a, b, share, key, member = map(np.concatenate, (a_out, b_out, share_out, key_out, member_out))
+        empty = lambda k, kind: pa.nulls(k, kind)
+        columns = [[pa.array(a), pa.array(member)], [pa.array(b), empty(len(key), pa.int64())], [pa.array(share), empty(len(key), pa.float64())], [empty(len(a), pa.int64()), pa.array(key)]]
+        return pa.table([pa.chunked_array(x) for x in columns], ["a", "b", "share", "key"])
 
     return run
 
@@ -414,13 +416,15 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch, tile: int = TILE) -
     own = F.array(F.pmod(F.xxhash64("cls"), chunks).cast("int"))
     pivot = (F.col("size") > tile) & (F.pmod(F.xxhash64("cls", F.lit(5)), F.col("size")) < PIVOTS)
     tiles = members.select("key", "cls", F.explode(F.when(pivot, F.sequence(F.lit(0), chunks - 1)).otherwise(own)).alias("tile"))
-    found = scratch.save(_bucketed(tiles, points, total).applyInArrow(_first_search(p), "a long, b long, open long"))
-    pairs = scratch.save(found.where("a is not null").select("a", "b").distinct())
-    linked = _verified(pairs, docs, classes, n, p, scratch)
+    found = scratch.save(_bucketed(tiles, points, total).applyInArrow(_first_search(p), "a long, b long, share double, key long"))
+    best = found.where("key is null").groupBy("a").agg(F.max(F.struct("share", "b")).alias("best"))
+    pairs = scratch.save(best.select("a", F.col("best.b").alias("b")))
+    unique = table.select("doc_id", "text_hash").distinct().count() == table.count()
+    linked = _verified(pairs, docs, classes, unique, n, p, scratch)
     joined = components(linked, scratch)
 
-    held_back = found.where("open is not null").select(F.col("open").alias("key")).union(blocks.where(F.col("size") > tile).select("key")).distinct()
-    rest = scratch.save(members.join(maybe_broadcast(scratch.save(held_back)), "key", "left_semi").select("key", "cls"))
+    # what may still be linked: members with partners in their tile, and those of blocks of several tiles
+    rest = scratch.save(found.where("key is not null").select("key", F.col("a").alias("cls")).union(members.where(F.col("size") > tile).select("key", "cls")).distinct())
     for most in (FEW, None):
         placed = rest.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         placed = scratch.save(placed)
@@ -441,7 +445,7 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch, tile: int = TILE) -
         if more.isEmpty():
             continue
         pairs = scratch.save(pairs.unionByName(more))
-        linked = scratch.save(linked.unionByName(_verified(more, docs, classes, n, p, scratch)))
+        linked = scratch.save(linked.unionByName(_verified(more, docs, classes, unique, n, p, scratch)))
         joined = components(linked, scratch)
     return table.select("row", "doc_id", "text_hash", "content", "n", "sig"), classes, joined
 
