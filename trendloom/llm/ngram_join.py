@@ -388,7 +388,7 @@ def _next_search(p: int, most: int | None):
 
 def _bucketed(tiles: DataFrame, points: DataFrame, rows: int, *columns: str) -> DataFrame:
     """tiles with n and point of each class, grouped by buckets of some tiles."""
-    buckets = max(1, -(-rows // (4 * TILE)))
+    buckets = max(1, -(-rows // TILE))
     return tiles.join(points, "cls").select(F.pmod(F.xxhash64("key", "tile"), F.lit(buckets)).alias("bucket"), "key", "tile", *columns, "cls", "n", "point").groupBy("bucket")
 
 
