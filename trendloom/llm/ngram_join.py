@@ -16,7 +16,8 @@ a class stands for its documents.
 - Pairs are verified on the whole texts; links are closed to components by large and small stars.
 - Blocks whose surviving pairs are still in several components are searched again: now
   points outside the block's main component ask for points of other components, whose subtrees are skipped if they
-  hold the asker's own component only. First the FEW highest bounds for each other component are verified, at last all.
+  hold the asker's own component only. These points have FINER times as many groups, which leaves few pairs just below
+  the threshold. First the FEW highest bounds for each other component are verified, at last all.
 
 Hot blocks are dealt in tiles and hot keys in joins by hot_join; pairs within a class or a component are not made.
 
@@ -46,6 +47,8 @@ from .wordcodec import BLOCK, mixed, word_hashes
 TILE, LEAF, FANOUT, PIVOTS, FEW = 2048, 32, 16, 16, 4
 #: Pairs that are verified together, and partners for each copy of a text.
 TOGETHER, PARTNERS = 64, 64
+#: Groups of a point in the later searches, for each group in the first.
+FINER = 8
 #: Documents of the sample: one in SAMPLE[0], SAMPLE[1] at least and SAMPLE[2] at most; how many of them have a shingle that
 #: counts as common, and how many of those are known at most.
 SAMPLE, COMMON, MOST_COMMON = (16, 1 << 12, 1 << 17), 6, 1 << 18
@@ -125,18 +128,18 @@ def groups_of(n: int) -> int:
     return 1 << max(5, (int((3 + 0.2 * math.sqrt(n)) ** 2) - 1).bit_length())
 
 
-def point(found: np.ndarray) -> np.ndarray:
+def point(found: np.ndarray, finer: int = 1) -> np.ndarray:
     """Numbers of shingles by the low bits of their hashes, in as few bytes as they fit."""
-    groups = groups_of(len(found))
+    groups = finer * groups_of(len(found))
     counts = np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     return counts.astype(np.min_scalar_type(counts.max(initial=0)))
 
 
-def unpacked(points: list[bytes], sizes: np.ndarray) -> np.ndarray:
+def unpacked(points: list[bytes], sizes: np.ndarray, finer: int = 1) -> np.ndarray:
     """Points as the rows of a matrix, folded to the fewest groups that one of them has."""
-    groups = min(map(groups_of, sizes.tolist()))
+    groups = finer * min(map(groups_of, sizes.tolist()))
     out = np.empty((len(points), groups), np.uint32)
-    shapes = np.array([len(x) * (1 << 24) + groups_of(n) for x, n in zip(points, sizes.tolist(), strict=True)])
+    shapes = np.array([len(x) * (1 << 24) + finer * groups_of(n) for x, n in zip(points, sizes.tolist(), strict=True)])
     for shape in np.unique(shapes):
         at, own = np.flatnonzero(shapes == shape), int(shape) % (1 << 24)
         flat = np.frombuffer(b"".join([points[k] for k in at.tolist()]), f"<u{int(shape) // (1 << 24) // own}")
@@ -215,16 +218,16 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, p: int) -> DataFrame:
-    """row, doc_id, text_hash, content, n, s1, s2, point, keys for each row; a task lists the point and keys of a repeated set once."""
+    """row, doc_id, text_hash, content, n, s1, s2, point, fine, keys for each row; a task lists the point and keys of a repeated set once."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n))
-    names = ["row", "doc_id", "text_hash", "content", "n", "s1", "s2", "point", "keys"]
+    names = ["row", "doc_id", "text_hash", "content", "n", "s1", "s2", "point", "fine", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = Order(common.value), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes, digests, points, keys = [], [], [], []
+                sizes, digests, points, fine, keys = [], [], [], [], []
                 for found in shingles(part.column(4).to_pylist(), n):
                     digest = xxhash.xxh3_128_digest(found.tobytes())
                     length = 0 if digest in seen else prefix_length(len(found), p)
@@ -235,13 +238,14 @@ def _sets(docs: DataFrame, n: int, p: int) -> DataFrame:
                     digests.append(digest)
                     keys.append(order.prefix(found, length))
                     points.append(point(found).tobytes() if length else None)
+                    fine.append(point(found, FINER).tobytes() if length else None)
                 halves = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(points, pa.binary()), flat], names)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), flat], names)
 
     rows = _texts(docs).select(F.monotonically_increasing_id().alias("row"), "*")
-    return rows.mapInArrow(run, "row long, doc_id long, text_hash long, content long, n long, s1 long, s2 long, point binary, keys array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, text_hash long, content long, n long, s1 long, s2 long, point binary, fine binary, keys array<long>")
 
 
 def _verify(n: int, p: int):
@@ -365,7 +369,7 @@ def _next_search(p: int, most: int | None):
             own = asks[part].astype(bool)
             if own.all() or not own.any():
                 continue
-            points = unpacked([raw[k] for k in part.tolist()], n[part])
+            points = unpacked([raw[k] for k in part.tolist()], n[part], FINER)
             held, asking = np.flatnonzero(~own), np.flatnonzero(own)
             tree = CountTree(points[held], n[part[held]], component[part[held]])
             for q in asking.tolist():
@@ -401,7 +405,7 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch, tile: int = TILE) -
     of_sig = table.where("n > 0").groupBy("sig").agg(first, F.count("*").alias("members"), F.coalesce(F.min(F.when(listed, F.col("row"))), F.min("row")).alias("cls"), F.count(F.when(listed, 1)).alias("lists"))
     classes = scratch.save(of_sig)
     again = table.where(listed).join(classes.where("lists > 1").select("sig", "cls"), "sig").where("row <> cls").select("row")
-    keyed = table.where(listed).select("row", "n", "point", "keys").join(maybe_broadcast(scratch.save(again)), "row", "left_anti").withColumnRenamed("row", "cls")
+    keyed = table.where(listed).select("row", "n", "point", "fine", "keys").join(maybe_broadcast(scratch.save(again)), "row", "left_anti").withColumnRenamed("row", "cls")
 
     # blocks of at least two, those with the same members once
     keys = keyed.select("cls", F.explode("keys").alias("key"))
@@ -409,7 +413,7 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch, tile: int = TILE) -
     blocks = scratch.save(blocks.groupBy("size", "all").agg(F.min("key").alias("key")).select("key", "size"))
     total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     members = scratch.save(hot_join(_listed(keyed, blocks), blocks, "key", "size", total))
-    points = keyed.select("cls", "n", "point")
+    points, fine = keyed.select("cls", "n", "point"), keyed.select("cls", "n", F.col("fine").alias("point"))
 
     # every point searches the tree of its tile; in blocks of several tiles some pivots are in all of them
     chunks = F.ceil(F.col("size") / tile).cast("int")
@@ -439,7 +443,7 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch, tile: int = TILE) -
         chunk = lambda salt, of: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(of)).cast("int")  # noqa: E731, B023
         held = rest.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("ask_chunks") - 1), lambda k: chunk(2, "held_chunks") + F.col("held_chunks") * k)).alias("tile"), F.lit(False).alias("asks"), "cls", "component")
         ask = rest.where(F.col("component") != F.col("main")).select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("held_chunks") - 1), lambda k: chunk(3, "ask_chunks") * F.col("held_chunks") + k)).alias("tile"), F.lit(True).alias("asks"), "cls", "component")
-        more = _bucketed(held.unionByName(ask), points, n_rows, "asks", "component").applyInArrow(_next_search(p, most), "a long, b long")
+        more = _bucketed(held.unionByName(ask), fine, n_rows, "asks", "component").applyInArrow(_next_search(p, most), "a long, b long")
         more = scratch.save(more.distinct().join(pairs, ["a", "b"], "left_anti"))
         rest = rest.select("key", "cls")
         if more.isEmpty():

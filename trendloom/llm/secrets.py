@@ -2,8 +2,7 @@
 
 Every rule's regular expression is turned into a Boolean query over trigrams that any match must contain:
 a conjunction of clauses, each a choice between sets of trigrams. The index holds a posting (trigram, document)
-for every mandatory trigram of any rule that the lower-cased text contains, found in one pass over the text and laid out by
-trigram. The postings are intersected by document and the queries evaluated; the surviving candidates alone are
+for every mandatory trigram of any rule that the lower-cased text contains, laid out by trigram. The postings are intersected by document and the queries evaluated; the surviving candidates alone are
 verified by the regular expressions. Rules without mandatory trigrams scan all texts in place.
 The rules are few and fixed, so that the index has a bounded number of postings for each document.
 
@@ -113,22 +112,14 @@ def key() -> list[Column]:
     return [F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")]
 
 
-def any_of(trigrams: list[str]) -> str:
-    """A regular expression for any of the trigrams, whose branches share their beginnings."""
-    by_first: dict[str, dict[str, list[str]]] = {}
-    for t in trigrams:
-        by_first.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
-    one = lambda signs: re.escape(signs[0]) if len(signs) == 1 else f"[{''.join(map(re.escape, signs))}]"
-    return "|".join(f"{re.escape(a)}(?:{'|'.join(re.escape(b) + one(c) for b, c in rest.items())})" for a, rest in by_first.items())
-
-
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """trigram (its number), _id, _text (a hash): the inverted index over the given trigrams, in the order of trigrams."""
+    """trigram (its number), _id, _text (a hash): the inverted index over the given trigrams, laid out by trigram.
+
+    A substring search for each trigram takes less time than one pass of an alternation of them all."""
     low = docs.select(*key(), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    held = F.array_distinct(F.regexp_extract_all("low", F.lit(f"(?=({any_of(trigrams)}))"), F.lit(1)))
-    number = F.create_map(*[F.lit(x) for k, t in enumerate(trigrams) for x in (t, k)])
-    found = low.select("_id", "_text", F.explode(held).alias("gram")).select(F.element_at(number, F.col("gram")).alias("trigram"), "_id", "_text")
-    return found.repartitionByRange("trigram", "_text").sortWithinPartitions("trigram")
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(k)) for k, t in enumerate(trigrams)]))
+    found = low.select(F.explode(held).alias("trigram"), "_id", "_text")
+    return found.repartition("trigram", F.pmod("_text", F.lit(64))).sortWithinPartitions("trigram")
 
 
 def candidates(index: DataFrame, queries: dict[str, Query], trigrams: list[str]) -> DataFrame:
