@@ -11,8 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from trendloom.llm import packing, sentence_pieces, token_counts
-from trendloom.llm.bytebpe import loaded
+from trendloom.llm import packing, sentence_pieces, token_counts, wordcodec
+from trendloom.llm.bytebpe import ByteBpe, loaded
 from trendloom.llm.wordcodec import HashTable
 
 from .helpers import SCHEMA, documents, hard_rows
@@ -143,3 +143,38 @@ def test_sentence_pieces(spark):
 def test_other_vocabularies_are_refused():
     with pytest.raises((ValueError, KeyError)):
         loaded(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_the_rule_fills_most_windows():
+    rng = random.Random(7)
+    packer = packing.Packer(2048, lambda *a: None, iter(range(10**9)))
+    for k in range(3000):
+        packer.add(k, np.zeros(int(min(20_000, rng.lognormvariate(6.5, 0.9))) + 1, np.int32))
+    assert sum(map(len, packer.open)) <= packing.OPEN + 1
+    packer.close()
+    assert packer.by_rule >= 0.9 * (packer.by_rule + packer.by_cuts)
+
+
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    """Words that exchange two letters by the Thue-Morse rule, side by side in one text, against the libraries."""
+    texts = []
+    for x, y in ("ab", "zo", "et"):
+        a = x
+        while len(a) < 1024:
+            a += a.translate(str.maketrans(x + y, y + x))
+        texts.append(a + "\n" + a.translate(str.maketrans(x + y, y + x)))
+    library = Tokenizer.from_file(JSON)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in ByteBpe(JSON).encode(texts)] == want
+    docs = documents(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)])
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, JSON).collect()} == dict(enumerate(map(len, want)))
+    pieces = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert {r["doc_id"]: r["ids"] for r in sentence_pieces.encode(docs, MODEL).collect()} == dict(enumerate(pieces.encode(texts)))
+
+
+def test_words_that_share_the_first_hash_are_told_apart(monkeypatch):
+    real = wordcodec.word_hashes
+    monkeypatch.setattr(wordcodec, "word_hashes", lambda *a: ((real(*a)[0] & np.uint64(15)) + np.uint64(1), real(*a)[1]))
+    texts = [t or "" for _, t, *_ in hard_rows()]
+    library = Tokenizer.from_file(JSON)
+    assert [x.tolist() for x in ByteBpe(JSON).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]

@@ -1,8 +1,8 @@
 """Packing of documents into windows by the sum-of-squares rule.
 
-Documents come one at a time. The level array counts the partially filled windows of each fill, in levels of GRAIN
-tokens. A document goes where it makes the sum of the squared counts smallest: into a window of some level, or into a new
-one. A window is full when less than GRAIN tokens are left of it. Documents of a window or more are first cut into full
+Documents come one at a time. The level array counts the partially filled windows of each fill. A document
+goes where it makes the sum of the squared counts smallest: into a window of some level, or into a new
+one. Documents of a window or more are first cut into full
 windows, and only their rest is placed. Once OPEN windows are open, a document for which the rule would open another is cut
 instead: its first part fills a window of the level that has most, which lowers the sum of squares most, and its rest is
 placed again. When a task has no documents left, the few windows still open are filled up
@@ -31,19 +31,18 @@ from pyspark.taskcontext import TaskContext
 from .bytebpe import loaded
 
 WINDOW, END = 2048, 1
-#: Tokens of a level, characters of text for each task at least, and ids in memory before rows are handed on.
-GRAIN, OPEN, TASK_CHARS, FLUSH = 16, 128, 8_000_000, 1 << 19
+#: Open windows before documents are cut, characters of text for each task at least, and ids in memory before rows are handed on.
+OPEN, TASK_CHARS, FLUSH = 128, 8_000_000, 1 << 19
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Packer:
     """emit(sequence, doc, start, ids, doc_tokens, offset) is called for each piece of a window that is full or closed."""
 
-    def __init__(self, window: int, emit: Callable[..., None], sequences: Iterator[int], grain: int = GRAIN):
-        self.window, self.grain, self.emit, self.sequences = window, min(grain, window), emit, sequences
-        self.top = window // self.grain
-        self.levels = np.zeros(self.top + 1, np.int64)
-        self.open: list[list[list]] = [[] for _ in range(self.top + 1)]
+    def __init__(self, window: int, emit: Callable[..., None], sequences: Iterator[int]):
+        self.window, self.emit, self.sequences = window, emit, sequences
+        self.levels = np.zeros(window + 1, np.int64)
+        self.open: list[list[list]] = [[] for _ in range(window + 1)]
         #: Tokens of windows that the rule filled, and of those that close() did.
         self.by_rule = self.by_cuts = 0
 
@@ -54,17 +53,17 @@ class Packer:
             offset += len(ids)
 
     def choose(self, size: int) -> int:
-        """The level, 0 for a new window, whose choice makes the sum of squares smallest; of equal ones the fullest. size: in levels."""
-        counts, top = self.levels, self.top
+        """The fill, 0 for a new window, whose choice makes the sum of squares smallest; of equal ones the fullest."""
+        counts, window = self.levels, self.window
         # half the change of the sum, less a constant: one window leaves level h, one comes to h + size
-        change = 2 * (counts[size:top] - counts[: top - size]) + 2
-        if size < top:
-            change[0] = 2 * counts[size] + 1
-            change[1:][counts[1 : top - size] == 0] = np.iinfo(np.int64).max
-            at = len(change) - 1 - int(np.argmin(change[::-1]))
-            full = counts[top - size] and 1 - 2 * counts[top - size] <= change[at]
-            return top - size if full else at
-        return 0
+        change = 2 * (counts[size:window] - counts[: window - size]) + 2
+        if size == window:
+            return 0
+        change[0] = 2 * counts[size] + 1
+        change[1:][counts[1 : window - size] == 0] = np.iinfo(np.int64).max
+        at = len(change) - 1 - int(np.argmin(change[::-1]))
+        full = counts[window - size] and 1 - 2 * counts[window - size] <= change[at]
+        return window - size if full else at
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
         total, at = len(ids), 0
@@ -73,31 +72,30 @@ class Packer:
             self.by_rule += self.window
             at += self.window
         while at < total:
-            level = self.choose(-(-(total - at) // self.grain))
-            if not level and self.levels.sum() >= OPEN and (fuller := self._to_cut_for(total - at)):
-                level = fuller
-            fill, pieces = self.open[level].pop() if level else (0, [])
+            size = total - at
+            level = self.choose(size)
+            if not level and self.levels.sum() >= OPEN:
+                level = self._to_cut_for(size)
+            pieces = self.open[level].pop() if level else []
             self.levels[level] -= level > 0
-            part = ids[at : at + self.window - fill]
+            part = ids[at : at + self.window - level]
             pieces.append((doc, at, part.copy(), total))
             at += len(part)
-            fill += len(part)
-            level = -(-fill // self.grain)
-            if level >= self.top:
+            if level + len(part) == self.window:
                 self._write(pieces)
-                self.by_rule += fill
+                self.by_rule += self.window
             else:
-                self.open[level].append((fill, pieces))
-                self.levels[level] += 1
+                self.open[level + len(part)].append(pieces)
+                self.levels[level + len(part)] += 1
 
     def _to_cut_for(self, size: int) -> int:
-        """Of the levels that have no room for size tokens, the one with the most windows, of equal ones the fullest; 0 without any."""
-        tight = self.levels[max(1, self.top - -(-size // self.grain) + 1) :]
-        return self.top - int(np.argmax(tight[::-1])) if len(tight) and tight.any() else 0
+        """Of the fills that leave no room for size tokens, the one with the most windows, of equal ones the fullest; 0 without any."""
+        tight = self.levels[max(1, self.window - size + 1) :]
+        return self.window - int(np.argmax(tight[::-1])) if tight.any() else 0
 
     def close(self) -> None:
         """Fills the open windows, the fullest first, with cuts of the emptiest ones."""
-        windows = [x for level in range(self.top, 0, -1) for x in self.open[level]]
+        windows = [(fill, pieces) for fill in range(self.window, 0, -1) for pieces in self.open[fill]]
         self.by_cuts += sum(fill for fill, _ in windows)
         low, high, spare = 0, len(windows) - 1, []
         while low <= high:
@@ -124,7 +122,7 @@ class Packer:
                 if take < len(ids):
                     spare.append((doc, start + take, ids[take:], total))
             self._write(pieces)
-        self.open = [[] for _ in range(self.top + 1)]
+        self.open = [[] for _ in range(self.window + 1)]
         self.levels[:] = 0
 
 
