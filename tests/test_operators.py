@@ -139,3 +139,10 @@ def test_ledger(tmp_path):
     book.settle(row, input=1000)
     assert book.spent() == Decimal("0.003")
     book.reserve("z")
+
+
+def test_growth_goes_by_calendar_months(spark):
+    rows = [(f"2020-{m:02d}-01", 100 + m) for m in range(1, 13) if m != 5] + [(f"2021-{m:02d}-01", 200 + m) for m in range(1, 7)]
+    counts = spark.createDataFrame(rows, "month string, count int").selectExpr("cast(month as date) month", "count")
+    got = {str(r["month"]): r["papers_yoy"] for r in labels.papers_yoy(counts).collect()}
+    assert got["2021-05-01"] is None and abs(got["2021-06-01"] - (206 / 106 - 1)) < 1e-12 and got["2020-12-01"] is None

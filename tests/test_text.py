@@ -11,7 +11,7 @@ def apply(spark, f, values):
 
 def test_normalised_name(spark):
     names = ["[1+1] 라운드랩 독도 토너 200ml 기획", "토너 (본품+리필) 10매 A-B", None, "  X  ", "【한정】Cream 50mL기획"]
-    assert apply(spark, text.normalised_name, names) == ["라운드랩 독도 토너", "토너 a b", "", "x", "cream 50ml"]
+    assert apply(spark, text.normalised_name, names) == ["라운드랩 독도 토너", "토너 a b", "", "x", "cream"]
 
 
 def test_volume(spark):

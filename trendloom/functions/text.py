@@ -114,7 +114,12 @@ YES = ["y", "yes", "1", "true", "o", "ㅇ"]
 NO = ["n", "no", "0", "false", "x", "ㄴ"]
 
 
+def stripped(text: Column) -> Column:
+    """text without white space of any kind at its ends; null counts as empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
 def label_answer(answer: Column) -> Column:
     """True, False or null for a filled-in answer."""
-    given = F.lower(F.trim(F.coalesce(answer, F.lit(""))))
+    given = F.lower(stripped(answer))
     return F.when(given.isin(YES), True).when(given.isin(NO), False)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import label_answer
+from ..functions.text import label_answer, stripped
 
 #: Bands are closed on the left (fixed values).
 EDGES = (0.45, 0.60, 0.80, 1.00, 1.20, 2.00)
@@ -20,7 +20,7 @@ def labelled(sample: DataFrame) -> DataFrame:
 
 def answer_counts(sample: DataFrame) -> DataFrame:
     """One row: n_rows, n_blank, n_unknown (an answer that is neither yes nor no), n_labelled."""
-    given = F.trim(F.coalesce("is_same_product", F.lit("")))
+    given = stripped(F.col("is_same_product"))
     return sample.agg(F.count("*").alias("n_rows"), F.count(F.when(given == "", 1)).alias("n_blank"), F.count(F.when((given != "") & label_answer(F.col("is_same_product")).isNull(), 1)).alias("n_unknown"), F.count(label_answer(F.col("is_same_product"))).alias("n_labelled"))
 
 

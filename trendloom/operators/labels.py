@@ -24,17 +24,22 @@ def monthly_sales(sales: DataFrame, categories: list[str]) -> DataFrame:
     return sales.where(F.col("category").isin(categories)).groupBy("month").agg(F.sum("value").alias("sales"))
 
 
-def _in_order(*by: str):
-    """The months, in order. One row a month: at most some hundreds of rows come together."""
-    return Window.partitionBy(*by).orderBy("month") if by else Window.partitionBy(F.lit(0)).orderBy("month")
+def months_away(value: Column, n: int) -> Column:
+    """value of the row n calendar months later (earlier where n is negative); null where that month has no row.
 
+    One row a month: at most some hundreds of rows come together, however many rows they were summed from.
+    """
+    number = F.year("month") * 12 + F.month("month")
+    return F.first(value).over(Window.partitionBy(F.lit(0)).orderBy(number).rangeBetween(n, n))
 
-def change(value: Column, n: int, window) -> Column:
-    return F.try_divide(value, F.lag(value, n).over(window)) - 1
+
+def change(value: Column, n: int) -> Column:
+    """Growth against the month n months before."""
+    return F.try_divide(value, months_away(value, -n)) - 1
 
 
 def missing_months(labels: DataFrame) -> int:
-    """Months without a row between the first and the last; shifts by rows are right only if there are none."""
+    """Months without a row between the first and the last."""
     low, high, n = labels.agg(F.min("month"), F.max("month"), F.count("*")).first()
     return 0 if low is None else (high.year - low.year) * 12 + high.month - low.month + 1 - n
 
@@ -42,10 +47,9 @@ def missing_months(labels: DataFrame) -> int:
 def demand_labels(sales: DataFrame, visitors: DataFrame, categories: list[str], horizon: int = 3) -> DataFrame:
     """month, sales, visitors_k, per_visitor, yoy, target_yoy_fwd. A month without visitors has null for them."""
     heads = visitors.groupBy("month").agg(F.sum("visitors").alias("visitors_k"))
-    w = _in_order()
     joined = monthly_sales(sales, categories).join(heads, "month", "left")
-    grown = joined.withColumns({"per_visitor": F.try_divide("sales", "visitors_k"), "yoy": change(F.col("sales"), 12, w)})
-    return grown.withColumn("target_yoy_fwd", F.lead("yoy", horizon).over(w)).select("month", "sales", "visitors_k", "per_visitor", "yoy", "target_yoy_fwd")
+    grown = joined.withColumns({"per_visitor": F.try_divide("sales", "visitors_k"), "yoy": change(F.col("sales"), 12)})
+    return grown.withColumn("target_yoy_fwd", months_away(F.col("yoy"), horizon)).select("month", "sales", "visitors_k", "per_visitor", "yoy", "target_yoy_fwd")
 
 
 FEATURES = ["yoy", "yoy_lag1", "yoy_lag3", "visitors_yoy", "per_visitor", "month_sin", "month_cos"]
@@ -53,8 +57,7 @@ FEATURES = ["yoy", "yoy_lag1", "yoy_lag3", "visitors_yoy", "per_visitor", "month
 
 def design_matrix(labels: DataFrame, papers: DataFrame | None = None) -> DataFrame:
     """month, FEATURES (and papers_yoy, where papers gives it by month), target_yoy_fwd; months with a gap go."""
-    w = _in_order()
-    out = labels.withColumns({"yoy_lag1": F.lag("yoy", 1).over(w), "yoy_lag3": F.lag("yoy", 3).over(w), "visitors_yoy": change(F.col("visitors_k"), 12, w)})
+    out = labels.withColumns({"yoy_lag1": months_away(F.col("yoy"), -1), "yoy_lag3": months_away(F.col("yoy"), -3), "visitors_yoy": change(F.col("visitors_k"), 12)})
     sine, cosine = season(F.col("month"))
     out = out.withColumns({"month_sin": sine, "month_cos": cosine})
     features = list(FEATURES)
@@ -66,7 +69,7 @@ def design_matrix(labels: DataFrame, papers: DataFrame | None = None) -> DataFra
 
 def papers_yoy(counts: DataFrame) -> DataFrame:
     """month, papers_yoy from month, count."""
-    return counts.select("month", change(F.col("count"), 12, _in_order()).alias("papers_yoy"))
+    return counts.select("month", change(F.col("count"), 12).alias("papers_yoy"))
 
 
 def purged_split(design: DataFrame, horizon: int, holdout: int) -> DataFrame:

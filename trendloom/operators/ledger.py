@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sqlite3
+from contextlib import closing
 from datetime import datetime, timezone
 from decimal import Decimal
 
@@ -22,14 +23,14 @@ def cost_of(**tokens: int) -> Decimal:
 class Ledger:
     def __init__(self, path: str, cap: Decimal):
         self.path, self.cap = path, cap
-        with self._open() as db:
+        with closing(self._open()) as db:
             db.execute("create table if not exists usage (id integer primary key, called_at text, purpose text, usd text, settled integer)")
 
     def _open(self) -> sqlite3.Connection:
         return sqlite3.connect(self.path, isolation_level=None)
 
     def spent(self) -> Decimal:
-        with self._open() as db:
+        with closing(self._open()) as db:
             return sum((Decimal(x) for (x,) in db.execute("select usd from usage")), Decimal(0))
 
     def reserve(self, purpose: str) -> int:
@@ -49,5 +50,5 @@ class Ledger:
 
     def settle(self, row: int, **tokens: int) -> None:
         """Puts the true cost in the place of the reserve."""
-        with self._open() as db:
+        with closing(self._open()) as db:
             db.execute("update usage set usd = ?, settled = 1 where id = ?", (str(cost_of(**tokens)), row))

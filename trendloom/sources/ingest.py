@@ -12,7 +12,7 @@ from ..schemas import require
 from .files import read_records
 
 TABLES = ["product", "rank_snapshot", "price_point", "new_product", "review", "review_topic", "review_answer", "review_stats", "review_summary", "run", "run_source", "fetch_log"]
-MARKER, POINTER = "FREEZE.txt", "current.json"
+MARKER, POINTER = "FREEZE.txt", "current-{:010d}.json"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -47,19 +47,28 @@ def ingest(spark: SparkSession, source: str, target: str, tables: list[str] | No
     return counts
 
 
+def _last(spark: SparkSession, target: str) -> int:
+    """The largest number of a pointer below target, 0 if there is none."""
+    fs, jvm, at = _file_system(spark, target)
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(at, "current-*.json"))
+    return max([int(x.getPath().getName()[8:-5]) for x in found or []], default=0)
+
+
 def point(spark: SparkSession, target: str, state: dict) -> None:
-    """Makes a version current: the pointer is written aside and renamed into its place."""
-    fs, jvm, new = _file_system(spark, f"{target}/{POINTER}.{uuid.uuid4().hex}")
+    """Makes a version current: a pointer of the next number is written aside and renamed into its place.
+
+    The pointer before it stays, so that at every moment there is a whole one.
+    """
+    fs, jvm, new = _file_system(spark, f"{target}/_pointer.{uuid.uuid4().hex}")
     out = fs.create(new, True)
     out.write(bytearray(json.dumps(state).encode()))
     out.close()
-    old = jvm.org.apache.hadoop.fs.Path(f"{target}/{POINTER}")
-    fs.delete(old, False)
-    require(fs.rename(new, old), "the pointer could not be moved")
+    place = jvm.org.apache.hadoop.fs.Path(f"{target}/{POINTER.format(_last(spark, target) + 1)}")
+    require(not fs.exists(place) and fs.rename(new, place), "the pointer could not be moved")
 
 
 def current(spark: SparkSession, target: str) -> dict:
-    return json.loads("".join(r["value"] for r in spark.read.text(f"{target}/{POINTER}").collect()))
+    return json.loads("".join(r["value"] for r in spark.read.text(f"{target}/{POINTER.format(_last(spark, target))}").collect()))
 
 
 def read_current(spark: SparkSession, target: str, name: str) -> DataFrame:
