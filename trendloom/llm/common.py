@@ -111,14 +111,14 @@ def whole_row(docs: DataFrame):
 
 
 #: Bits of a map of hashes for each hash, and at most: 16 MB.
-BITS_EACH, MOST_BITS, MAP_BLOCK = 16, 1 << 27, 1 << 15
+BITS_EACH, MOST_BITS, MAP_BLOCK = 128, 1 << 27, 1 << 15
 
 
 def bit_map(hashes: DataFrame) -> np.ndarray:
     """A map, as packed bits, that has a bit set for each value of the one column (long) of hashes.
 
     Values whose bit is not set are surely not in the column, so that the map can thin out what is shuffled for an exact
-    join. Its size follows the number of values (about one bit in BITS_EACH is set) up to MOST_BITS; from eight million values
+    join. Its size follows the number of values (about one bit in BITS_EACH is set) up to MOST_BITS; from a million values
     on it thins out less and less, and the join that follows does the rest.
     """
     (column,) = hashes.columns

@@ -7,7 +7,7 @@ the payload, and a chunk ends where its high bits are clear, so that equal passa
 - The digests of all chunks, without their bytes, are counted by Spark. Those that occur more than once set a bit in a map
   whose size follows their number (common.bit_map, 16 MB at most), which is broadcast.
 - Chunks whose bit is not set are unique and are stored in place with their payload. All others are deduplicated by
-  digest into a store of shared chunks. (A unique chunk that meets a set bit, about one in sixteen, is stored there too.)
+  digest into a store of shared chunks. (A unique chunk that meets a set bit, one in some dozens, is stored there too.)
 - Reading joins the ordered digest list of each payload with the shared chunks, puts the payload together,
   verifies every chunk against its digest, and computes the features from what was read.
 
@@ -193,4 +193,6 @@ def read_back(payloads: DataFrame, shared: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     with Scratch(docs.sparkSession) as scratch:
         payloads, shared = store(docs, scratch)
-        return scratch.kept(read_back(payloads, shared))
+        digests = ("payload_sha256", "media_sha256")
+        out = scratch.kept(read_back(payloads, shared).withColumns({c: F.unhex(c) for c in digests}))
+        return out.withColumns({c: F.lower(F.hex(c)) for c in digests})
