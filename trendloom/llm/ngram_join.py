@@ -424,8 +424,7 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch, tile: int = TILE) -
     best = found.where("key is null").groupBy("a").agg(F.max(F.struct("share", "b")).alias("best"))
     pairs = scratch.save(best.select("a", F.col("best.b").alias("b")))
     unique = table.select("doc_id", "text_hash").distinct().count() == table.count()
-    linked = _verified(pairs, docs, classes, unique, n, p, scratch)
-    joined = components(linked, scratch)
+    joined = components(_verified(pairs, docs, classes, unique, n, p, scratch), scratch)
 
     # what may still be linked: members with partners in their tile, and those of blocks of several tiles
     rest = scratch.save(found.where("key is not null").select("key", F.col("a").alias("cls")).union(members.where(F.col("size") > tile).select("key", "cls")).distinct())
@@ -449,8 +448,8 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch, tile: int = TILE) -
         if more.isEmpty():
             continue
         pairs = scratch.save(pairs.unionByName(more))
-        linked = scratch.save(linked.unionByName(_verified(more, docs, classes, unique, n, p, scratch)))
-        joined = components(linked, scratch)
+        # the stars found so far stand for their links, so that few rounds are left
+        joined = components(joined.toDF("a", "b").unionByName(_verified(more, docs, classes, unique, n, p, scratch)), scratch)
     return table.select("row", "doc_id", "text_hash", "content", "n", "sig"), classes, joined
 
 
@@ -485,3 +484,22 @@ def without_near_copies(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
         words = F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
         keyed = docs.where(words).select(id_, none, F.xxhash64("text").alias("text_hash"), content_hash(docs).alias("content"), whole_row(docs))
         return keyed.dropDuplicates(names).join(kept, names, "left_semi").select("row.*").unionByName(docs.where(~words))
+
+
+#: Of the query's parameters (three words, 90 %): all pairs of classes that share a shingle, and what they reach.
+ORACLE_SQL = r"""
+    WITH RECURSIVE t AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                            ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM t),
+    classes AS MATERIALIZED (
+        SELECT md5(array_to_string(list_sort(s), chr(10))) AS k, len(any_value(s)) AS n, any_value(s) AS s, min(doc_id) AS cls, list(doc_id) AS members FROM sets WHERE len(s) > 0 GROUP BY k),
+    x AS MATERIALIZED (SELECT cls, n, unnest(s) AS g FROM classes),
+    links AS MATERIALIZED (
+        SELECT a, b FROM (SELECT p.cls AS a, q.cls AS b, any_value(p.n) AS m, any_value(q.n) AS n, count(*) AS i FROM x p JOIN x q ON p.g = q.g AND p.cls <> q.cls AND 100 * p.n >= 90 * q.n AND 100 * q.n >= 90 * p.n GROUP BY ALL)
+        WHERE 100 * i >= 90 * (m + n - i)),
+    reach AS (SELECT cls AS a, cls AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    least AS (SELECT a AS cls, min(b) AS component_id FROM reach GROUP BY a),
+    placed AS (SELECT unnest(members) AS doc_id, component_id FROM classes JOIN least USING (cls))
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM sets LEFT JOIN placed USING (doc_id)"""

@@ -78,6 +78,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = min(doc_id) OVER w AS kept, text_sha256
             FROM h WINDOW w AS (PARTITION BY text_sha256)""",
+        "op5_ngram_join": ngram_join.ORACLE_SQL,
         "op6_secret_scans": secrets.ORACLE_SQL,
         "op8_url_filters": url_filter.ORACLE_SQL,
     }
