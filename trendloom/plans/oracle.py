@@ -99,9 +99,43 @@ def _design(h: int = 3) -> str:
         WHERE yoy IS NOT NULL AND yoy_lag1 IS NOT NULL AND yoy_lag3 IS NOT NULL AND visitors_yoy IS NOT NULL AND per_visitor IS NOT NULL AND target_yoy_fwd IS NOT NULL"""
 
 
-SPLIT = f"SELECT *, CASE WHEN r <= 12 THEN 'test' WHEN r <= 15 THEN 'purged' ELSE 'train' END AS part FROM (SELECT *, row_number() OVER (ORDER BY month DESC) AS r FROM ({_design()}))"
+def _split(design: str, h: int = 3, held: int = 12) -> str:
+    return f"SELECT *, CASE WHEN r <= {held} THEN 'test' WHEN r <= {held + h} THEN 'purged' ELSE 'train' END AS part FROM (SELECT *, row_number() OVER (ORDER BY month DESC) AS r FROM ({design}))"
+
+
+SPLIT = _split(_design())
 BASELINES = f"SELECT 'persistence' AS model, yoy AS p, target_yoy_fwd AS a FROM ({SPLIT}) WHERE part = 'test' UNION ALL SELECT 'zero', 0.0, target_yoy_fwd FROM ({SPLIT}) WHERE part = 'test'"
 NAMED_FEATURES = ["yoy", "yoy_lag1", "yoy_lag3", "visitors_yoy", "per_visitor", "month_sin", "month_cos"]
+PAPERS_YOY = f"SELECT month, c / lag(c, 12) OVER (ORDER BY month) - 1 AS papers_yoy FROM (SELECT period AS month, CAST(sum(count) AS BIGINT) AS c FROM ({PUBLICATIONS}) WHERE source = 'O' GROUP BY period)"
+
+
+def _ridge(split: str, features: list[str]) -> str:
+    """Tables d (the split), z (features with a leading 1), and w (the weights), by elimination step by step of the normal equations."""
+    k = len(features)
+    scale = ", ".join(f"CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END" for c in features)
+    return f"""WITH RECURSIVE d AS MATERIALIZED ({split}),
+    s AS (SELECT [{", ".join(f"avg({c})" for c in features)}] AS mean, [{scale}] AS sd FROM d WHERE part = 'train'),
+    z AS MATERIALIZED (SELECT part, yoy, target_yoy_fwd AS y, [1.0::DOUBLE, {", ".join(f"({c} - mean[{i}]) / sd[{i}]" for i, c in enumerate(features, 1))}] AS z FROM d, s),
+    cell AS (SELECT i, j, sum(z[i] * CASE WHEN j > {k + 1} THEN y ELSE z[j] END) + CASE WHEN i = j AND i > 1 THEN 1.0::DOUBLE ELSE 0 END AS v
+             FROM z, range(1, {k + 2}) AS a(i), range(1, {k + 3}) AS b(j) WHERE part = 'train' GROUP BY i, j),
+    step AS (SELECT 1 AS k, list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM cell GROUP BY i)
+             UNION ALL SELECT k + 1, list_transform(range(1, {k + 2}), lambda i: list_transform(range(1, {k + 3}), lambda j: CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END))
+             FROM step WHERE k <= {k + 1}),
+    w AS MATERIALIZED (SELECT list_transform(m, lambda r: r[{k + 2}]) AS w FROM step WHERE k = {k + 2})"""
+
+
+def _evaluation(split: str, features: list[str]) -> str:
+    return f"""{_ridge(split, features)},
+    p AS (SELECT y, unnest(['ridge', 'persistence', 'zero']) AS model, unnest([list_dot_product(w, z), yoy, 0.0]) AS p FROM z, w WHERE part = 'test'),
+    q AS MATERIALIZED (SELECT model, count(*) AS n, avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, avg(CASE WHEN sign(p) = sign(y) THEN 1.0 ELSE 0.0 END) AS direction FROM p GROUP BY model)
+    SELECT *, (SELECT CAST(count(*) AS INTEGER) FROM d) AS rows_usable, (SELECT min(mae) FILTER (model = 'ridge') < min(mae) FILTER (model <> 'ridge') FROM q) AS beats_both FROM q"""
+
+
+def _window(h: int, held: int) -> str:
+    return f"SELECT CAST({h} AS INTEGER) AS horizon, CAST({held} AS INTEGER) AS holdout, * FROM ({_evaluation(_split(_design(h), h, held), NAMED_FEATURES)}) WHERE rows_usable > {h + held + len(NAMED_FEATURES)}"
+
+
+WITH_PAPERS = f"SELECT * FROM ({_design()}) JOIN ({PAPERS_YOY}) USING (month) WHERE papers_yoy IS NOT NULL"
 BANDS = "(VALUES (0.45::DOUBLE, 0.6::DOUBLE), (0.6, 0.8), (0.8, 1.0), (1.0, 1.2), (1.2, 2.0)) AS b(low, high)"
 CUMULATIVE = f"""SELECT low AS threshold, count(*) AS n, count(*) FILTER (correct) AS n_correct, count(*) FILTER (correct) / count(*)::DOUBLE AS precision FROM {BANDS} JOIN ({ANSWERED}) ON score >= low GROUP BY low"""
 LATEST = f"SELECT * FROM ({RANKS}) WHERE source = 'O' AND captured_at = (SELECT max(captured_at) FROM ({RANKS}) WHERE source = 'O')"
@@ -115,7 +149,7 @@ SQL = {
     "paper_status": f"SELECT source, count(DISTINCT query) AS n_queries, count(*) AS n_rows, min(period) AS first_month, max(period) AS last_month FROM ({PUBLICATIONS}) GROUP BY source",
     "paper_trend_latest": f"SELECT period, count FROM ({PUBLICATIONS}) WHERE source = 'O' AND query = '1-URGENT' ORDER BY period DESC LIMIT 24",
     "paper_upsert": f"""SELECT source, query, period, CAST(CASE WHEN period >= DATE '2000-01-01' THEN count + 1 ELSE count END AS INTEGER) AS count FROM ({PUBLICATIONS}) WHERE period <= DATE '2001-03-01'""",
-    "papers_yoy": f"SELECT month, c / lag(c, 12) OVER (ORDER BY month) - 1 AS papers_yoy FROM (SELECT period AS month, CAST(sum(count) AS BIGINT) AS c FROM ({PUBLICATIONS}) WHERE source = 'O' GROUP BY period)",
+    "papers_yoy": PAPERS_YOY,
     "category_unpivot": f"SELECT month, segment, category, value FROM ({SALES}) WHERE segment IN ('O', 'F')",
     "monthly_category_sales": f"SELECT month, sum(value) AS sales FROM ({SALES}) WHERE category IN ('BUILDING', 'HOUSEHOLD') GROUP BY month",
     "segment_totals": f"SELECT segment, round(sum(value), 2) AS value FROM ({SALES}) GROUP BY segment",
@@ -124,6 +158,12 @@ SQL = {
     "purged_split": f"SELECT month, part FROM ({SPLIT})",
     "train_scaling": " UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS scale FROM ({SPLIT}) WHERE part = 'train'" for c in NAMED_FEATURES),
     "baseline_metrics": f"SELECT model, count(*) AS n, avg(abs(p - a)) AS mae, sqrt(avg((p - a) * (p - a))) AS rmse, avg(CASE WHEN sign(p) = sign(a) THEN 1.0 ELSE 0.0 END) AS direction FROM ({BASELINES}) GROUP BY model",
+    "ridge_coefficients": f"{_ridge(SPLIT, NAMED_FEATURES)} SELECT unnest({['intercept', *NAMED_FEATURES]}) AS feature, unnest(w) AS weight FROM w",
+    "ridge_evaluation": _evaluation(SPLIT, NAMED_FEATURES),
+    "window_grid": " UNION ALL ".join(_window(h, held) for h in (1, 3, 6) for held in (6, 12, 18)),
+    "axis_ablation": f"""SELECT b AS mae_base, m AS mae_with_papers, m - b AS delta, (m - b) / b AS share, CAST(rb - rm AS BIGINT) AS rows_lost, abs(m - b) / b < 0.05 AS is_noise FROM
+        (SELECT mae AS b, rows_usable AS rb FROM ({_evaluation(SPLIT, NAMED_FEATURES)}) WHERE model = 'ridge'),
+        (SELECT mae AS m, rows_usable AS rm FROM ({_evaluation(_split(WITH_PAPERS), [*NAMED_FEATURES, "papers_yoy"])}) WHERE model = 'ridge')""",
     "normalise_names": f"SELECT product_key, {norm('name')} AS norm, lower(regexp_replace(brand, '[^0-9A-Za-z가-힣]+', '', 'g')) AS brand_norm FROM ({PRODUCTS})",
     "parse_volume": rf"SELECT product_key, try_cast(nullif(regexp_extract(name, '{VOLUME}', 1), '') AS DOUBLE) AS amount, nullif(lower(regexp_extract(name, '{VOLUME}', 2)), '') AS unit FROM ({PRODUCTS})",
     "product_form": f"SELECT product_key, {form('label')} AS form FROM (SELECT product_key, name || CASE WHEN CAST(product_key AS BIGINT) % 3 = 0 THEN ' Su n 50' WHEN CAST(product_key AS BIGINT) % 3 = 1 THEN ' EDT' ELSE '' END AS label FROM ({PRODUCTS}))",
