@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labels import demand_labels, design_matrix, purged_split
+from .labels import design_matrix, monthly_demand, purged_split, settled, with_target
 
 PENALTY, NOISE = 1.0, 0.05
 
@@ -66,6 +66,7 @@ def baselines() -> dict[str, Column]:
 def evaluate(design: DataFrame, horizon: int, holdout: int) -> DataFrame:
     """scores of ridge and baselines, with beats_both: whether ridge has the least mae. Too few months raise an error."""
     features = [c for c in design.columns if c not in ("month", "target_yoy_fwd")]
+    design = settled(design)
     n = design.count()
     if n <= holdout + horizon + len(features):
         raise ValueError(f"{n} usable months are too few for {holdout} held out, {horizon} purged and {len(features)} features")
@@ -76,10 +77,10 @@ def evaluate(design: DataFrame, horizon: int, holdout: int) -> DataFrame:
 
 
 def window_grid(sales: DataFrame, visitors: DataFrame, categories: list[str], horizons=(1, 3, 6), holdouts=(6, 12, 18)) -> DataFrame:
-    """horizon, holdout and scores for every window with enough months."""
-    out = None
+    """horizon, holdout and scores for every window with enough months. The sources are read once."""
+    out, monthly = None, settled(monthly_demand(sales, visitors, categories))
     for h in horizons:
-        design = design_matrix(demand_labels(sales, visitors, categories, h))
+        design = settled(design_matrix(with_target(monthly, h)))
         for held in holdouts:
             try:
                 part = evaluate(design, h, held)
@@ -94,6 +95,7 @@ def window_grid(sales: DataFrame, visitors: DataFrame, categories: list[str], ho
 
 def ablation(labels: DataFrame, papers: DataFrame, horizon: int = 3, holdout: int = 12) -> DataFrame:
     """One row: mae without and with the papers axis, the change and its share, rows lost, and whether it is noise."""
+    labels = settled(labels)
     plain, more = design_matrix(labels), design_matrix(labels, papers)
     got = [{r["model"]: r for r in evaluate(d, horizon, holdout).collect()}["ridge"] for d in (plain, more)]
     base, new = got[0]["mae"], got[1]["mae"]

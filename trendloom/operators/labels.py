@@ -44,12 +44,37 @@ def missing_months(labels: DataFrame) -> int:
     return 0 if low is None else (high.year - low.year) * 12 + high.month - low.month + 1 - n
 
 
-def demand_labels(sales: DataFrame, visitors: DataFrame, categories: list[str], horizon: int = 3) -> DataFrame:
-    """month, sales, visitors_k, per_visitor, yoy, target_yoy_fwd. A month without visitors has null for them."""
+def monthly_demand(sales: DataFrame, visitors: DataFrame, categories: list[str]) -> DataFrame:
+    """month, sales, visitors_k, per_visitor, yoy. A month without visitors has null for them."""
     heads = visitors.groupBy("month").agg(F.sum("visitors").alias("visitors_k"))
     joined = monthly_sales(sales, categories).join(heads, "month", "left")
     grown = joined.withColumns({"per_visitor": F.try_divide("sales", "visitors_k"), "yoy": change(F.col("sales"), 12)})
-    return grown.withColumn("target_yoy_fwd", months_away(F.col("yoy"), horizon)).select("month", "sales", "visitors_k", "per_visitor", "yoy", "target_yoy_fwd")
+    return grown.select("month", "sales", "visitors_k", "per_visitor", "yoy")
+
+
+def with_target(monthly: DataFrame, horizon: int) -> DataFrame:
+    """monthly with target_yoy_fwd, the growth that lies horizon months ahead."""
+    return monthly.withColumn("target_yoy_fwd", months_away(F.col("yoy"), horizon))
+
+
+def demand_labels(sales: DataFrame, visitors: DataFrame, categories: list[str], horizon: int = 3) -> DataFrame:
+    """month, sales, visitors_k, per_visitor, yoy, target_yoy_fwd."""
+    return with_target(monthly_demand(sales, visitors, categories), horizon)
+
+
+#: Rows that a table of months may have: one for each month of 8,000 years.
+MOST_MONTHS = 12 * 8000
+
+
+def settled(monthly: DataFrame) -> DataFrame:
+    """A table of one row a month, computed once, so that what is fitted on it does not read its sources again.
+
+    Its rows come to the driver: their number follows the calendar and not the input, and a table of more than MOST_MONTHS
+    rows is refused."""
+    rows = monthly.limit(MOST_MONTHS + 1).toArrow()
+    if rows.num_rows > MOST_MONTHS:
+        raise ValueError("more rows than months: one row a month is expected")
+    return monthly.sparkSession.createDataFrame(rows, monthly.schema)
 
 
 FEATURES = ["yoy", "yoy_lag1", "yoy_lag3", "visitors_yoy", "per_visitor", "month_sin", "month_cos"]

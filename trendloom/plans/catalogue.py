@@ -107,7 +107,7 @@ def baseline_metrics(spark, d):
 
 @query
 def ridge_coefficients(spark, d):
-    model = forecast.fit(labels.purged_split(design_matrix(spark, d), 3, 12), labels.FEATURES)
+    model = forecast.fit(labels.purged_split(labels.settled(design_matrix(spark, d)), 3, 12), labels.FEATURES)
     return spark.createDataFrame(list(zip(["intercept", *model.features], model.weights, strict=True)), "feature string, weight double")
 
 
