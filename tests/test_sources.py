@@ -74,3 +74,36 @@ def test_stream_of_counts(spark, tmp_path):
     follow_counts(spark, str(drops), table, str(tmp_path / "cp"), "2020-06-01").awaitTermination()
     got = spark.read.parquet(f"{table}/1").orderBy("period").select(F.col("count")).collect()
     assert [r["count"] for r in got] == [1, 5]
+
+
+def workbook(path, *sheets):
+    """A workbook of sheets whose cells are text, or numbers where they are not strings."""
+
+    def cell(v):
+        return "<c/>" if v is None else f'<c t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f"<c><v>{v}</v></c>"
+
+    def at(row, k):
+        return row.replace("<c", f'<c r="{"ABCDEF"[k]}1"', 1)
+
+    with zipfile.ZipFile(path, "w") as z:
+        for n, rows in enumerate(sheets, 1):
+            body = "".join(f"<row>{''.join(at(cell(v), k) for k, v in enumerate(r))}</row>" for r in rows)
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+
+
+def test_category_workbook(spark, tmp_path):
+    path = str(tmp_path / "c.xlsx")
+    workbook(path, [["day", "beauty", "food"], [43466, 1.5, "-"], [None, 9, 9]], [["day", "beauty"], [43497, 2]], [["note"]])
+    got = files.read_category_monthly(spark, path, ["resident", "foreign"]).collect()
+    assert sorted((str(r["month"]), r["segment"], r["category"], r["value"]) for r in got) == [("2019-01-01", "resident", "beauty", 1.5), ("2019-02-01", "foreign", "beauty", 2.0)]
+    with pytest.raises(ValueError):
+        files.read_category_monthly(spark, path, ["a", "b", "c", "d"])
+
+
+def test_totals_workbook(spark, tmp_path):
+    path = str(tmp_path / "t.xlsx")
+    # the visitors stand in another order, and a month lacks them
+    workbook(path, [["m", "x", "x"], [43466, 10, 20], ["2019-02-01", 11, None], [43525, 12, 22]], [["m", "x", "x"], [43525, 3, 4], [43466, 1, 2]])
+    got = files.read_totals_monthly(spark, path, ["resident", "foreign"]).collect()
+    assert sorted((str(r["month"]), r["segment"], r["sales_musd"], r["visitors_k"]) for r in got) == [
+        ("2019-01-01", "foreign", 20.0, 2.0), ("2019-01-01", "resident", 10.0, 1.0), ("2019-02-01", "resident", 11.0, None), ("2019-03-01", "foreign", 22.0, 4.0), ("2019-03-01", "resident", 12.0, 3.0)]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import row_kind, variants
 from ..schemas import LISTING_CONTAINS, PRODUCT_LINE, require
+from ..sources.ingest import point
 
 PROVENANCE = "line-label-model-generated"
 
@@ -67,8 +70,21 @@ def check_split(products: DataFrame) -> None:
     require(r["n_both"] == 0 and r["n_lines"] == 0, "a product is in both parts, or an item has a line")
 
 
+def _entities(products: DataFrame) -> dict[str, DataFrame]:
+    return {"sku": skus(products), "listing": listings(products), "listing_variant": listing_variants(products), "product_line": product_lines(products.sparkSession)}
+
+
 def write_entities(products: DataFrame, path: str) -> None:
-    """Rebuilds the tables sku, listing and listing_variant below path; nothing is written if the split is not sound."""
+    """Rebuilds the tables sku, listing, listing_variant and product_line below path, one after another; nothing is written if the split is not sound."""
     check_split(products)
-    for name, df in (("sku", skus(products)), ("listing", listings(products)), ("listing_variant", listing_variants(products)), ("product_line", product_lines(products.sparkSession))):
+    for name, df in _entities(products).items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def rebuild_entities(products: DataFrame, path: str) -> None:
+    """As write_entities, but into a new version that becomes the current one (ingest.read_current) when all tables are whole."""
+    check_split(products)
+    version = uuid.uuid4().hex
+    for name, df in _entities(products).items():
+        df.write.parquet(f"{path}/{version}/{name}")
+    point(products.sparkSession, path, {"version": version})

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import text
+from ..functions import dates, text
 from ..operators import entity, evaluation, forecast, labels, matching, papers, tools
 from ..sources import adapters as a
+from ..sources import files, ingest
 from .oracle import EARLY, RECENT, SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -347,6 +348,51 @@ def repeated_keys(spark, d):
     return schemas.repeated_keys(a.price_points(spark, d), ["source", "product_key", "captured_at"])
 
 
+@query
+def period_starts(spark, d):
+    """Months written as yyyy-MM, and as yyyy for one status."""
+    orders = a.table(spark, d, "orders")
+    written = F.date_format("o_orderdate", "yyyy-MM")
+    period = F.when(F.col("o_orderstatus") == "P", F.substring(written, 1, 4)).otherwise(written)
+    return orders.groupBy(dates.period_start(period).alias("period")).agg(F.count("*").alias("n"))
+
+
+@query
+def insert_new_counts(spark, d):
+    counts = a.publications(spark, d)
+    more = counts.withColumn("count", (F.col("count") + 1).cast("int"))
+    return papers.insert_new(counts.where("period < '1996-01-01'"), more, schemas.KEYS["publications"])
+
+
+@query
+def count_file_round_trip(spark, d):
+    """Monthly counts written as a count file and read again."""
+    path = files.shared_path(spark)
+    files.write_csv(_papers(spark, d).select(F.date_format("month", "yyyy-MM").alias("period"), "count"), path)
+    return files.read_counts(spark, path, "O", "all")
+
+
+@query
+def ingest_round_trip(spark, d):
+    """Products as a CSV snapshot, with line breaks and quotes in the names, ingested as a whole and read as the current version."""
+    drop = files.shared_path(spark)
+    broken = F.concat("name", F.lit('\n"'), "brand", F.lit('"'))
+    files.write_csv(a.products(spark, d).select("source", "product_key", broken.alias("name")), f"{drop}/product.csv")
+    spark.createDataFrame([("2026-08-22T02:42Z",)], "value string").write.text(f"{drop}/{ingest.MARKER}")
+    ingest.ingest(spark, drop, f"{drop}/tables", ["product"])
+    return ingest.read_current(spark, f"{drop}/tables", "product")
+
+
+@query
+def entity_rebuild(spark, d):
+    """Rows of each entity table and source, after two rebuilds."""
+    path = files.shared_path(spark)
+    for _ in range(2):
+        entity.rebuild_entities(a.products(spark, d), path)
+    parts = [ingest.read_current(spark, path, t).groupBy("source").agg(F.count("*").alias("n")).select(F.lit(t).alias("entity"), "source", "n") for t in ("sku", "listing", "listing_variant")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

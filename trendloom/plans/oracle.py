@@ -147,6 +147,12 @@ SQL = {
     "paper_growth_unrounded": _growth(None, "source, query"),
     "paper_growth_tool": _growth(1, "query", "source = 'O'"),
     "paper_status": f"SELECT source, count(DISTINCT query) AS n_queries, count(*) AS n_rows, min(period) AS first_month, max(period) AS last_month FROM ({PUBLICATIONS}) GROUP BY source",
+    "period_starts": "SELECT CAST(date_trunc(CASE WHEN o_orderstatus = 'P' THEN 'year' ELSE 'month' END, o_orderdate) AS DATE) AS period, count(*) AS n FROM orders GROUP BY ALL",
+    "insert_new_counts": f"SELECT source, query, period, CAST(CASE WHEN period < DATE '1996-01-01' THEN count ELSE count + 1 END AS INTEGER) AS count FROM ({PUBLICATIONS})",
+    "count_file_round_trip": f"SELECT 'O' AS source, 'all' AS query, period, CAST(sum(count) AS INTEGER) AS count FROM ({PUBLICATIONS}) WHERE source = 'O' GROUP BY period",
+    "ingest_round_trip": f"SELECT source, product_key, name || chr(10) || '\"' || brand || '\"' AS name, '2026-08-22T02:42Z' AS frozen_at FROM ({PRODUCTS})",
+    "entity_rebuild": f"""SELECT {kind('name')} AS entity, source, count(*) AS n FROM ({PRODUCTS}) GROUP BY ALL
+        UNION ALL SELECT 'listing_variant', source, sum(len(v))::BIGINT FROM (SELECT source, {variants('name')} AS v FROM ({PRODUCTS})) WHERE len(v) > 0 GROUP BY source""",
     "paper_trend_latest": f"SELECT period, count FROM ({PUBLICATIONS}) WHERE source = 'O' AND query = '1-URGENT' ORDER BY period DESC LIMIT 24",
     "paper_upsert": f"""SELECT source, query, period, CAST(CASE WHEN period >= DATE '2000-01-01' THEN count + 1 ELSE count END AS INTEGER) AS count FROM ({PUBLICATIONS}) WHERE period <= DATE '2001-03-01'""",
     "papers_yoy": PAPERS_YOY,
