@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, media, ngram_join, packing, secrets, sentence_pieces, token_counts, toxicity, url_filter
+from . import exact_dedup, filter_audit, licenses, media, ngram_join, packing, quality_rules, secrets, sentence_pieces, spelling, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -67,6 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": op8_url_filters,
         "op9_license_scans": op9_license_scans,
         "op10_toxicity": op10_toxicity,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
@@ -81,4 +96,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_join": ngram_join.ORACLE_SQL,
         "op6_secret_scans": secrets.ORACLE_SQL,
         "op8_url_filters": url_filter.ORACLE_SQL,
+        "op11_spelling_variants": spelling.ORACLE_SQL,
+        "op12_filter_audit": filter_audit.ORACLE_SQL,
+        "op13_quality_rules": quality_rules.ORACLE_SQL,
     }
