@@ -161,7 +161,7 @@ def test_audit_against_plain_version(spark, bits):
 
 def test_refinement_drops_what_differs_in_a_late_block(spark):
     long = "a" * 100_000
-    assert len(filter_audit.block_hashes(long)) == 5 and filter_audit.block_hashes("") == [0]
+    assert len(filter_audit.block_hashes(long)) == 6 and filter_audit.block_hashes("") == [0]
     rows = [(k, long + c, "en", "s", 0) for k, c in enumerate("bcdd")]
     from trendloom.llm.common import Scratch
 
