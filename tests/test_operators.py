@@ -10,7 +10,7 @@ from trendloom import schemas
 from trendloom.functions.dates import month_of_serial, period_start
 from trendloom.operators import entity, evaluation, forecast, labels, ledger, matching, papers, tools
 from trendloom.plans import catalogue
-from trendloom.sources import adapters
+from trendloom.sources import adapters, commits
 
 SMALL = "/root/testdata/sf0.001"
 DAYS = "1995-01-01", "1995-12-01"
@@ -114,12 +114,12 @@ def test_evaluation_bands(spark):
 
 def test_entities(spark, tmp_path):
     products = adapters.products(spark, SMALL)
-    entity.write_entities(products, str(tmp_path))
-    sku, listing, variant = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("sku", "listing", "listing_variant"))
+    entity.rebuild_entities(products, str(tmp_path))
+    sku, listing, variant = (commits.read_current(spark, str(tmp_path), n) for n in ("sku", "listing", "listing_variant"))
     assert sku.count() + listing.count() == products.count()
     assert schemas.repeated_keys(variant, schemas.KEYS["listing_variant"]).count() == 0
     assert schemas.orphans(variant, listing, {"source": "source", "product_key": "product_key"}).count() == 0
-    assert spark.read.parquet(f"{tmp_path}/product_line").count() == 0
+    assert commits.read_current(spark, str(tmp_path), "product_line").count() == 0
 
 
 def test_tools_say_where_rows_come_from(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trendloom.operators import labels
 from trendloom.plans import catalogue
-from trendloom.sources import files, ingest
+from trendloom.sources import commits, files, ingest
 from trendloom.streaming.snapshots import follow_counts
 
 
@@ -58,11 +58,11 @@ def test_ingest_is_all_or_nothing(spark, tmp_path):
     with pytest.raises(ValueError):
         ingest.ingest(spark, str(source), target, ["product", "review"])
     assert ingest.ingest(spark, str(source), target, ["product"]) == {"product": 2}
-    rows = ingest.read_current(spark, target, "product")
+    rows = commits.read_current(spark, target, "product")
     assert rows.count() == 2 and rows.first()["frozen_at"] == "2026-08-22T02:42Z"
     (source / "product.csv").write_text("k,v\n1,a\n")
     ingest.ingest(spark, str(source), target, ["product"])
-    assert ingest.read_current(spark, target, "product").count() == 1
+    assert commits.read_current(spark, target, "product").count() == 1
 
 
 def test_stream_of_counts(spark, tmp_path):

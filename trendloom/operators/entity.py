@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import row_kind, variants
 from ..schemas import LISTING_CONTAINS, PRODUCT_LINE, require
-from ..sources.ingest import point
+from ..sources.commits import commit
 
-PROVENANCE = "line-label-model-generated"
+# Fixed value: where the answers come from.
+PROVENANCE = "exp005-line-label-model-generated"
 
 
 def skus(products: DataFrame) -> DataFrame:
@@ -74,17 +75,11 @@ def _entities(products: DataFrame) -> dict[str, DataFrame]:
     return {"sku": skus(products), "listing": listings(products), "listing_variant": listing_variants(products), "product_line": product_lines(products.sparkSession)}
 
 
-def write_entities(products: DataFrame, path: str) -> None:
-    """Rebuilds the tables sku, listing, listing_variant and product_line below path, one after another; nothing is written if the split is not sound."""
-    check_split(products)
-    for name, df in _entities(products).items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
 def rebuild_entities(products: DataFrame, path: str) -> None:
-    """As write_entities, but into a new version that becomes the current one (ingest.read_current) when all tables are whole."""
+    """Writes the tables sku, listing, listing_variant and product_line into a new version below path, which becomes the current one
+    (commits.read_current) when all are whole; nothing is written if the split is not sound."""
     check_split(products)
     version = uuid.uuid4().hex
     for name, df in _entities(products).items():
         df.write.parquet(f"{path}/{version}/{name}")
-    point(products.sparkSession, path, {"version": version})
+    commit(products.sparkSession, path, {"version": version})

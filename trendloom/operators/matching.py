@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalised_brand, normalised_name, product_form, product_volume, row_kind, without_brand
+from ..sources.store import computed_once
+from .cosine_join import candidate_pairs, cosine, vectors
 
+# The least score and the weights of the agreements.
 MIN_SCORE, VOLUME_WEIGHT, FORM_WEIGHT = 0.45, 0.15, 0.30
 #: Lengths of the n-grams of a word with a space on either side.
 SHORTEST, LONGEST = 2, 4
@@ -36,26 +39,13 @@ def gram_idf(rows: DataFrame) -> DataFrame:
     return counted.select("gram", "df", (F.log((1 + F.lit(rows.count())) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def gram_weights(rows: DataFrame) -> DataFrame:
+def gram_weights(rows: DataFrame, idf: DataFrame | None = None) -> DataFrame:
     """norm, gram, weight: tf-idf with length 1 for each norm."""
-    raw = grams(rows.select("norm").distinct()).join(gram_idf(rows), "gram").select("norm", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = grams(rows.select("norm").distinct()).join(gram_idf(rows) if idf is None else idf, "gram").select("norm", "gram", (F.col("tf") * F.col("idf")).alias("w"))
     length = raw.groupBy("norm").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return raw.join(length, "norm").select("norm", "gram", (F.col("w") / F.col("length")).alias("weight"))
 
 
-def name_similarity(rows: DataFrame) -> DataFrame:
-    """brand_norm, norm_a, norm_b (norm_a <= norm_b), name_score above 0, for the distinct names of each brand.
-
-    Names are scored once for each brand, however many rows have them.
-    """
-    weights = gram_weights(rows)
-    named = rows.where("brand_norm <> ''").select("brand_norm", "norm").distinct()
-    w = named.join(weights, "norm")
-    a, b = (w.select("brand_norm", "gram", F.col("norm").alias(f"norm_{s}"), F.col("weight").alias(f"w_{s}")) for s in "ab")
-    different = a.join(b, ["brand_norm", "gram"]).where("norm_a < norm_b").groupBy("brand_norm", "norm_a", "norm_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("name_score"))
-    return different.unionByName(named.select("brand_norm", F.col("norm").alias("norm_a"), F.col("norm").alias("norm_b"), F.lit(1.0).alias("name_score")))
-
-
 def volume_agreement(a: Column, b: Column) -> Column:
     """1 for the same amount of the same unit, -1 for another amount, 0 for other units or where one is unknown."""
     known = a.isNotNull() & b.isNotNull() & (a["unit"] == b["unit"])
@@ -72,23 +62,42 @@ def block_pairs(rows: DataFrame) -> DataFrame:
     return per_source.groupBy("brand_norm").agg(F.sum("n").alias("n_rows"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("n_pairs"))
 
 
+def scored_names(rows: DataFrame, min_score: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct names (id, brand_norm, norm, vol, form), and pairs id_a, id_b, name_score, volume_agreement, form_agreement, score that reach min_score.
+
+    A name pairs with itself too. Names are scored once, however many rows have them.
+    """
+    idf = computed_once(gram_idf(rows))
+    grams_of = vectors(gram_weights(rows, idf), idf)
+    branded = rows.where("brand_norm <> ''").groupBy("brand_norm", "norm", "vol", "form").agg(F.min("source").alias("low"), F.max("source").alias("high")).withColumn("only", F.when(F.col("low") == F.col("high"), F.col("low")))
+    names = computed_once(branded.withColumn("id", F.monotonically_increasing_id()).join(grams_of, "norm"))
+    pairs = candidate_pairs(names, volume_agreement, form_agreement, min_score, VOLUME_WEIGHT, FORM_WEIGHT)
+    side = lambda s: names.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "norm", "vol", "form", "grams")])
+    met = pairs.join(side("a"), "id_a").join(side("b"), "id_b").withColumn("name_score", F.when(F.col("norm_a") == F.col("norm_b"), 1.0).otherwise(cosine(F.col("grams_a"), F.col("grams_b"))))
+    same = names.where("only is null").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.col("vol").alias("vol_a"), F.col("vol").alias("vol_b"), F.col("form").alias("form_a"), F.col("form").alias("form_b"), F.lit(1.0).alias("name_score"))
+    scored = met.select(*same.columns).unionByName(same).withColumns({"volume_agreement": volume_agreement(F.col("vol_a"), F.col("vol_b")), "form_agreement": form_agreement(F.col("form_a"), F.col("form_b"))})
+    scored = scored.withColumn("score", F.col("name_score") + F.lit(VOLUME_WEIGHT) * F.col("volume_agreement") + F.lit(FORM_WEIGHT) * F.col("form_agreement"))
+    return names.select("id", "brand_norm", "norm", "vol", "form"), scored.where(F.col("score") >= min_score).select("id_a", "id_b", "name_score", "volume_agreement", "form_agreement", "score")
+
+
 def candidates(rows: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Pairs of rows of one brand and two sources that reach min_score, with all parts of the score.
 
     A pair without a common n-gram has at most 0.15 + 0.30 in doubles, just below the lowest useful
-    score, so that pairs come from scored names. The sources' order orients a pair. Scores are rounded after the cut.
+    score, so that pairs come from scored names (see cosine_join). The sources' order orients a pair. Scores are rounded after the cut.
     """
     if min_score < MIN_SCORE:
         raise ValueError(f"pairs without a common n-gram would be missed below {MIN_SCORE}")
-    scored = name_similarity(rows)
-    both = scored.unionByName(scored.where("norm_a < norm_b").select("brand_norm", F.col("norm_b").alias("norm_a"), F.col("norm_a").alias("norm_b"), "name_score"))
-    side = lambda s: rows.select("brand_norm", F.col("norm").alias(f"norm_{s}"), *[F.col(c).alias(f"{n}_{s}") for c, n in (("source", "source"), ("product_key", "key"), ("name", "name"), ("vol", "vol"), ("form", "form"))])
-    pairs = both.join(side("a"), ["brand_norm", "norm_a"]).join(side("b"), ["brand_norm", "norm_b"]).where("source_a < source_b")
-    pairs = pairs.withColumns({"volume_agreement": volume_agreement(F.col("vol_a"), F.col("vol_b")), "form_agreement": form_agreement(F.col("form_a"), F.col("form_b"))})
-    pairs = pairs.withColumn("score", F.col("name_score") + F.lit(VOLUME_WEIGHT) * F.col("volume_agreement") + F.lit(FORM_WEIGHT) * F.col("form_agreement"))
-    return pairs.where(F.col("score") >= min_score).select(
+    rows = computed_once(rows)
+    names, scored = scored_names(rows, min_score)
+    scored = computed_once(scored)
+    both = scored.unionByName(scored.where("id_a < id_b").withColumns({"id_a": F.col("id_b"), "id_b": F.col("id_a")}))
+    known = rows.where("brand_norm <> ''").alias("r").join(names.alias("n"), [F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("brand_norm", "norm", "vol", "form")])
+    side = lambda s, *more: known.select(F.col("id").alias(f"id_{s}"), *[F.col(c).alias(f"{n}_{s}") for c, n in (("source", "source"), ("product_key", "key"), ("name", "name"), ("r.form", "form"))], *more)
+    pairs = both.join(side("a", F.col("r.brand_norm").alias("brand")), "id_a").join(side("b"), "id_b").where("source_a < source_b")
+    return pairs.select(
         F.round("score", 4).alias("score"), F.round("name_score", 4).alias("name_score"), "volume_agreement", "form_agreement", "form_a", "form_b",
-        F.col("brand_norm").alias("brand"), "source_a", "key_a", "name_a", "source_b", "key_b", "name_b",
+        "brand", "source_a", "key_a", "name_a", "source_b", "key_b", "name_b",
     )
 
 
@@ -161,7 +170,7 @@ def pair_type(name_a: Column, name_b: Column) -> Column:
     return F.when(listings == 0, "sku x sku").when(listings == 1, "listing x sku").otherwise("listing x listing")
 
 
-def cosine(a: Column, b: Column) -> Column:
+def array_cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers, or null for one without length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

@@ -11,7 +11,7 @@ from .. import schemas
 from ..functions import dates, text
 from ..operators import entity, evaluation, forecast, labels, matching, papers, tools
 from ..sources import adapters as a
-from ..sources import files, ingest
+from ..sources import commits, files, ingest, periods, store
 from .oracle import EARLY, RECENT, SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,7 +254,7 @@ def embedding_cosine(spark, d):
     vectors = a.table(spark, d, "embeddings")
     left = vectors.select(F.col("vec_id").alias("vec_a"), F.col("embedding").alias("x"))
     right = vectors.select(F.col("vec_id").alias("vec_b"), (F.col("vec_id") - 1).alias("vec_a"), F.col("embedding").alias("y"))
-    return left.join(right, "vec_a").select("vec_a", "vec_b", matching.cosine(F.col("x"), F.col("y")).alias("cosine"))
+    return left.join(right, "vec_a").select("vec_a", "vec_b", matching.array_cosine(F.col("x"), F.col("y")).alias("cosine"))
 
 
 @query
@@ -367,30 +367,41 @@ def insert_new_counts(spark, d):
 @query
 def count_file_round_trip(spark, d):
     """Monthly counts written as a count file and read again."""
-    path = files.shared_path(spark)
-    files.write_csv(_papers(spark, d).select(F.date_format("month", "yyyy-MM").alias("period"), "count"), path)
-    return files.read_counts(spark, path, "O", "all")
+    with store.passing_folder(spark) as path:
+        files.write_csv(_papers(spark, d).select(F.date_format("month", "yyyy-MM").alias("period"), "count"), path)
+        return store.computed_once(files.read_counts(spark, path, "O", "all"))
 
 
 @query
 def ingest_round_trip(spark, d):
     """Products as a CSV snapshot, with line breaks and quotes in the names, ingested as a whole and read as the current version."""
-    drop = files.shared_path(spark)
-    broken = F.concat("name", F.lit('\n"'), "brand", F.lit('"'))
-    files.write_csv(a.products(spark, d).select("source", "product_key", broken.alias("name")), f"{drop}/product.csv")
-    spark.createDataFrame([("2026-08-22T02:42Z",)], "value string").write.text(f"{drop}/{ingest.MARKER}")
-    ingest.ingest(spark, drop, f"{drop}/tables", ["product"])
-    return ingest.read_current(spark, f"{drop}/tables", "product")
+    with store.passing_folder(spark) as drop:
+        broken = F.concat("name", F.lit('\n"'), "brand", F.lit('"'))
+        files.write_csv(a.products(spark, d).select("source", "product_key", broken.alias("name")), f"{drop}/product.csv")
+        spark.createDataFrame([("2026-08-22T02:42Z",)], "value string").write.text(f"{drop}/{ingest.MARKER}")
+        ingest.ingest(spark, drop, f"{drop}/tables", ["product"])
+        return store.computed_once(commits.read_current(spark, f"{drop}/tables", "product"))
 
 
 @query
 def entity_rebuild(spark, d):
     """Rows of each entity table and source, after two rebuilds."""
-    path = files.shared_path(spark)
-    for _ in range(2):
-        entity.rebuild_entities(a.products(spark, d), path)
-    parts = [ingest.read_current(spark, path, t).groupBy("source").agg(F.count("*").alias("n")).select(F.lit(t).alias("entity"), "source", "n") for t in ("sku", "listing", "listing_variant")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    with store.passing_folder(spark) as path:
+        for _ in range(2):
+            entity.rebuild_entities(a.products(spark, d), path)
+        parts = [commits.read_current(spark, path, t).groupBy("source").agg(F.count("*").alias("n")).select(F.lit(t).alias("entity"), "source", "n") for t in ("sku", "listing", "listing_variant")]
+        return store.computed_once(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@query
+def period_upserts(spark, d):
+    """Counts put into a table of months, then newer ones of its later months, which alone are written again."""
+    counts = a.publications(spark, d)
+    newer = counts.where("period >= '2000-01-01'").withColumn("count", (F.col("count") + 1).cast("int"))
+    with store.passing_folder(spark) as path:
+        for batch, as_of in ((counts, "2002-01-31"), (newer, "2001-03-15")):
+            periods.upsert_periods(spark, path, batch, schemas.KEYS["publications"], as_of, schemas.PUBLICATIONS)
+        return store.computed_once(periods.read_periods(spark, path, schemas.PUBLICATIONS))
 
 
 def queries() -> dict[str, Query]:

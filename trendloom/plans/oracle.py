@@ -180,8 +180,8 @@ SQL = {
         avg(n) FILTER (n > 0) AS avg_variants FROM (SELECT source, {kind('name')} AS k, len({variants('name')}) AS n FROM ({PRODUCTS})) GROUP BY source""",
     "split_invariants": f"SELECT count(*) AS n_products, count(*) FILTER (k = 'sku') AS n_sku, count(*) FILTER (k = 'listing') AS n_listing, 0::BIGINT AS n_both, 0::BIGINT AS n_lines FROM (SELECT {kind('name')} AS k FROM ({PRODUCTS}))",
     "listing_contains": f"""{PUBLISHED_PAIRS}, k AS (SELECT *, {kind('name_a')} AS ka, {kind('name_b')} AS kb FROM ans WHERE is_same_product = 'y')
-        SELECT DISTINCT source_a AS listing_source, key_a AS listing_key, source_b AS sku_source, key_b AS sku_key, 'line-label-model-generated' AS provenance FROM k WHERE ka = 'listing' AND kb = 'sku'
-        UNION SELECT DISTINCT source_b, key_b, source_a, key_a, 'line-label-model-generated' FROM k WHERE ka = 'sku' AND kb = 'listing'""",
+        SELECT DISTINCT source_a AS listing_source, key_a AS listing_key, source_b AS sku_source, key_b AS sku_key, 'exp005-line-label-model-generated' AS provenance FROM k WHERE ka = 'listing' AND kb = 'sku'
+        UNION SELECT DISTINCT source_b, key_b, source_a, key_a, 'exp005-line-label-model-generated' FROM k WHERE ka = 'sku' AND kb = 'listing'""",
     "gram_idf": f"WITH {WEIGHTED} SELECT gram, df, idf FROM idf",
     "gram_weights": f"WITH {WEIGHTED} SELECT norm, gram, w AS weight FROM weight",
     "brand_block_pairs": f"SELECT brand_norm, CAST(sum(n) AS BIGINT) AS n_rows, CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) AS n_pairs FROM (SELECT brand_norm, source, count(*) AS n FROM ({FEATURES}) WHERE brand_norm <> '' GROUP BY ALL) GROUP BY brand_norm",
@@ -228,3 +228,4 @@ SQL = {
         SELECT *, lag(discount_rate) OVER (PARTITION BY source, product_key ORDER BY captured_at, price, discount_rate) AS was FROM ({PRICES})) GROUP BY source, product_key""",
     "repeated_keys": f"SELECT source, product_key, captured_at, count(*) AS n FROM ({PRICES}) GROUP BY ALL HAVING count(*) > 1",
 }
+SQL["period_upserts"] = SQL["paper_upsert"]

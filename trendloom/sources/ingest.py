@@ -2,74 +2,39 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import require
-from .files import read_records
+from .commits import commit, exists
+from .csv_blocks import read_csv
+from .files import header_of
 
-TABLES = ["product", "rank_snapshot", "price_point", "new_product", "review", "review_topic", "review_answer", "review_stats", "review_summary", "run", "run_source", "fetch_log"]
-MARKER, POINTER = "FREEZE.txt", "current-{:010d}.json"
-
-
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm, at
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, _, at = _file_system(spark, path)
-    return fs.exists(at)
+# The tables of a snapshot, in the order in which they are loaded.
+TABLES = ["rank_snapshot", "price_point", "product", "new_product", "review", "review_topic", "review_answer", "review_stats", "review_summary", "run", "run_source", "fetch_log"]
+MARKER = "FREEZE.txt"
 
 
 def ingest(spark: SparkSession, source: str, target: str, tables: list[str] | None = None) -> dict[str, int]:
     """Loads source/<table>.csv into a new version below target; gives the rows of each table.
 
-    A missing file or a count that differs after writing raises an error and leaves the current version as it is. One
-    ingest runs at a time.
+    A missing file or a count that differs after writing raises an error and leaves the current version as it is. Each file is read by
+    as many tasks as it has ranges, and its records are counted as they are written. Several ingests may run at once: each commits a whole version,
+    and the last one is current. What a failed one has left goes with commits.clean_up.
     """
     names = tables or TABLES
-    missing = [n for n in names if not _exists(spark, f"{source}/{n}.csv")]
+    missing = [n for n in names if not exists(spark, f"{source}/{n}.csv")]
     require(not missing, f"missing files: {missing}")
-    frozen = "".join(r["value"] for r in spark.read.text(f"{source}/{MARKER}").limit(1).collect()).strip() if _exists(spark, f"{source}/{MARKER}") else None
+    frozen = "".join(r["value"] for r in spark.read.text(f"{source}/{MARKER}").limit(1).collect()).strip() if exists(spark, f"{source}/{MARKER}") else None
     version, counts = uuid.uuid4().hex, {}
     for name in names:
-        rows = read_records(spark, f"{source}/{name}.csv")
+        path, seen = f"{source}/{name}.csv", Observation()
+        rows = read_csv(spark, [path], header_of(spark, path)).observe(seen, F.count(F.lit(1)).alias("n"))
         rows.withColumn("frozen_at", F.lit(frozen).cast("string")).write.parquet(f"{target}/{version}/{name}")
-        counts[name] = rows.count()
+        counts[name] = seen.get["n"]
         written = spark.read.parquet(f"{target}/{version}/{name}").count()
         require(written == counts[name], f"{name}: {written} rows written, {counts[name]} in the file")
-    point(spark, target, {"version": version, "frozen_at": frozen, "rows": counts})
+    commit(spark, target, {"version": version, "frozen_at": frozen, "rows": counts})
     return counts
-
-
-def _last(spark: SparkSession, target: str) -> int:
-    """The largest number of a pointer below target, 0 if there is none."""
-    fs, jvm, at = _file_system(spark, target)
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(at, "current-*.json"))
-    return max([int(x.getPath().getName()[8:-5]) for x in found or []], default=0)
-
-
-def point(spark: SparkSession, target: str, state: dict) -> None:
-    """Makes a version current: a pointer of the next number is written aside and renamed into its place.
-
-    The pointer before it stays, so that at every moment there is a whole one.
-    """
-    fs, jvm, new = _file_system(spark, f"{target}/_pointer.{uuid.uuid4().hex}")
-    out = fs.create(new, True)
-    out.write(bytearray(json.dumps(state).encode()))
-    out.close()
-    place = jvm.org.apache.hadoop.fs.Path(f"{target}/{POINTER.format(_last(spark, target) + 1)}")
-    require(not fs.exists(place) and fs.rename(new, place), "the pointer could not be moved")
-
-
-def current(spark: SparkSession, target: str) -> dict:
-    return json.loads("".join(r["value"] for r in spark.read.text(f"{target}/{POINTER.format(_last(spark, target))}").collect()))
-
-
-def read_current(spark: SparkSession, target: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/{current(spark, target)['version']}/{name}")
