@@ -15,13 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import computed_once, sized_join
+from .blocks import SLICE, pairs_within
 
-#: Names of one key that are joined in one block; more of them are sliced.
-SLICE = 1 << 10
 #: Sums in another order may differ by this much.
 SLACK = 1e-9
-PARTS = ("id", "vol", "form", "only", "reach")
 
 
 def vectors(weights: DataFrame, idf: DataFrame) -> DataFrame:
@@ -71,18 +68,10 @@ def candidate_pairs(names: DataFrame, volume_agreement, form_agreement, min_scor
 
     names: id, brand_norm, vol, form, grams, only (the source of a name that just one has; two names of that one are no pair).
     """
-    entries = _entries(names, min_score, volume_weight, form_weight)
-    sizes = computed_once(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    sized = sized_join(entries, sizes, "key", "n", sizes.agg(F.sum("n")).first()[0] or 0)
-    slices = F.ceil(F.col("n") / slice_size).cast("int")
-    own = sized.withColumns({"slices": slices, "own": F.pmod(F.xxhash64("id"), slices).cast("int")})
-    # slices i <= j of a key meet in the block (i, j): as left a name stands for i, as right for j
-    left = own.select("key", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("slices") - 1)).alias("j"), *[F.col(c).alias(f"{c}_a") for c in PARTS])
-    right = own.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_b") for c in PARTS])
+    met = pairs_within(_entries(names, min_score, volume_weight, form_weight), "key", slice_size)
     volume, form = volume_agreement(F.col("vol_a"), F.col("vol_b")), form_agreement(F.col("form_a"), F.col("form_b"))
     kind = F.when(form == 1, F.when(volume == 1, 3).otherwise(2)).otherwise(F.when(volume == 1, 1).otherwise(0))
     least = least_cosine(volume, form, min_score, volume_weight, form_weight)
-    met = left.join(right, ["key", "i", "j"]).where((F.col("id_a") != F.col("id_b")) & ((F.col("i") < F.col("j")) | (F.col("id_a") < F.col("id_b"))))
     met = met.where((F.col("key.kind") == kind) & (F.least("reach_a", "reach_b") >= least - SLACK))
     met = met.where(F.coalesce(F.col("only_a") != F.col("only_b"), F.lit(True)))
     return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import label_answer, stripped
+from .tools import QueryResult
 
 #: Bands are closed on the left (fixed values).
 EDGES = (0.45, 0.60, 0.80, 1.00, 1.20, 2.00)
@@ -58,3 +59,16 @@ def wilson(right: Column, n: Column, z: float = 1.96) -> list[Column]:
 def suggested_threshold(table: DataFrame, target: float) -> DataFrame:
     """The row with the lowest threshold whose precision reaches the target, or none."""
     return table.where(F.col("precision") >= target).orderBy("threshold").limit(1)
+
+
+def report(sample: DataFrame, target: float | None = None) -> QueryResult:
+    """threshold, n, n_correct, precision, its interval low and high, suggested, recall, of an answered sample.
+
+    recall is null in every row, and the caveat says why: it cannot be had from such a sample. suggested marks the lowest threshold whose precision
+    reaches the target.
+    """
+    table = cumulative(labelled(sample))
+    rows = table.select("*", *wilson(F.col("n_correct"), F.col("n")))
+    reaching = F.min(F.when(F.col("precision") >= F.lit(target), F.col("threshold"))).over(Window.partitionBy(F.lit(0)))
+    marked = rows.withColumns({"suggested": F.coalesce(F.col("threshold") == reaching, F.lit(False)), "recall": F.lit(None).cast("double")})
+    return QueryResult(marked.orderBy("threshold"), "label_sample", CAVEAT)

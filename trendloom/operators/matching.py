@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,12 +161,33 @@ def budget_overlap(pairs: DataFrame, one: str, other: str, budget: int = 675) ->
     return best(one).join(best(other), keys, "left_semi").agg(F.count("*").alias("overlap"))
 
 
+def recovery(best: dict[str, DataFrame], silver: DataFrame) -> DataFrame:
+    """scorer, n_pairs, n_silver, n_recovered, n_shared: how many certain pairs each scorer's best pairs hold, and how many of these all scorers have."""
+    keys = ["source_a", "key_a", "source_b", "key_b"]
+    marked = [df.select(*keys, F.lit(name).alias("scorer")) for name, df in best.items()]
+    named = computed_once(reduce(DataFrame.unionByName, marked))
+    certain = computed_once(silver.select(*keys).distinct())
+    shared = named.groupBy(*keys).agg(F.countDistinct("scorer").alias("scorers"))
+    rows = named.join(shared, keys).join(certain.withColumn("silver", F.lit(1)), keys, "left")
+    counted = rows.groupBy("scorer").agg(F.count("*").alias("n_pairs"), F.count("silver").alias("n_recovered"), F.count(F.when(F.col("scorers") == len(best), 1)).alias("n_shared"))
+    return counted.select("scorer", "n_pairs", F.lit(certain.count()).cast("long").alias("n_silver"), "n_recovered", "n_shared")
+
+
 def hubs(edges: DataFrame) -> DataFrame:
     """source_a, key_a, n_edges and induced pairs of rows that several rows are linked to."""
     counted = edges.groupBy("source_a", "key_a").agg(F.countDistinct("source_b", "key_b").alias("n_edges")).where("n_edges >= 2")
     return counted.withColumn("induced_pairs", (F.col("n_edges") * (F.col("n_edges") - 1) / 2).cast("long"))
 
 
+def hub_summary(edges: DataFrame) -> DataFrame:
+    """One row: n_hubs, their n_edges, the n_counterparts that these end in, and the pairs that they would put together."""
+    found = hubs(edges)
+    ends = edges.join(found.select("source_a", "key_a"), ["source_a", "key_a"], "left_semi").agg(F.countDistinct("source_b", "key_b").alias("n_counterparts"))
+    total = found.agg(F.count("*").alias("n_hubs"), F.coalesce(F.sum("n_edges"), F.lit(0)).alias("n_edges"), F.coalesce(F.sum("induced_pairs"), F.lit(0)).alias("induced_pairs"))
+    one = F.lit(1).alias("one")
+    return total.select("*", one).join(ends.select("*", one), "one").select("n_hubs", "n_edges", "n_counterparts", "induced_pairs")
+
+
 def pair_type(name_a: Column, name_b: Column) -> Column:
     listings = (row_kind(name_a) == "listing").cast("int") + (row_kind(name_b) == "listing").cast("int")
     return F.when(listings == 0, "sku x sku").when(listings == 1, "listing x sku").otherwise("listing x listing")

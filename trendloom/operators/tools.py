@@ -8,11 +8,12 @@ from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import since
 from ..functions.text import escaped_like
+from ..sources.store import computed_once
 from . import papers
 
 #: Rows of an answer, months of a trend (within that), and days back, at most.
@@ -46,32 +47,36 @@ def paper_growth(counts: DataFrame, source: str, early: tuple[str, str], recent:
     return QueryResult(out.select("query", "avg_early", "avg_recent", "growth").orderBy(F.desc_nulls_last("avg_recent"), "query").limit(MAX_ROWS), "publications", "Multiples compare within one source only.")
 
 
-def _latest(ranks: DataFrame, source: str) -> DataFrame:
-    """Rows of a source's last snapshot."""
+def latest_snapshot(ranks: DataFrame, source: str) -> DataFrame:
+    """Rows of a source's last snapshot, computed once. Of a table kept by month (sources.snapshots) only the last month is read: see last_snapshot there."""
     own = ranks.where(F.col("source") == source)
-    return own.join(F.broadcast(own.agg(F.max("captured_at").alias("captured_at"))), "captured_at", "left_semi")
+    return computed_once(own.where(F.col("captured_at") == F.lit(own.agg(F.max("captured_at")).first()[0])))
 
 
-def boards(ranks: DataFrame, source: str) -> QueryResult:
-    out = _latest(ranks, source).groupBy("board").agg(F.countDistinct("product_key").alias("n_products"), F.max("rank").alias("deepest"), F.count("*").alias("n_rows"))
+def boards(last: DataFrame) -> QueryResult:
+    """The boards of a last snapshot."""
+    out = last.groupBy("board").agg(F.countDistinct("product_key").alias("n_products"), F.max("rank").alias("deepest"), F.count("*").alias("n_rows"))
     return QueryResult(out.orderBy(F.desc("n_rows"), "board").limit(MAX_ROWS), "rank_snapshot", "Boards are observed to different depths.")
 
 
-def snapshot_depth(ranks: DataFrame, source: str, board: str = "") -> DataFrame:
-    """One row: deepest rank and number of boards of the last snapshot."""
-    rows = _latest(ranks, source)
-    return (rows.where(F.col("board") == board) if board else rows).agg(F.max("rank").alias("deepest"), F.countDistinct("board").alias("n_boards"))
+def snapshot_depth(last: DataFrame, board: str = "") -> DataFrame:
+    """One row: deepest rank and number of boards of a last snapshot."""
+    return (last.where(F.col("board") == board) if board else last).agg(F.max("rank").alias("deepest"), F.countDistinct("board").alias("n_boards"))
 
 
 def top_products(ranks: DataFrame, source: str, board: str = "", limit: int = 15) -> QueryResult:
+    return top_of_snapshot(latest_snapshot(ranks, source), board, limit)
+
+
+def top_of_snapshot(last: DataFrame, board: str = "", limit: int = 15) -> QueryResult:
+    """The products of the best ranks of a last snapshot, or its boards for the board '?'."""
     if board == "?":
-        return boards(ranks, source)
+        return boards(last)
     want = min(limit, MAX_ROWS)
-    rows = _latest(ranks, source)
-    rows = rows.where(F.col("board") == board) if board else rows
-    last = Window.partitionBy("rank", "product_key").orderBy(F.desc("captured_at"), "board")
-    out = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n").orderBy("rank", "product_key").limit(want)
-    depth = snapshot_depth(ranks, source, board).first()
+    rows = last.where(F.col("board") == board) if board else last
+    newest = Window.partitionBy("rank", "product_key").orderBy(F.desc("captured_at"), "board")
+    out = rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n").orderBy("rank", "product_key").limit(want)
+    depth = snapshot_depth(last, board).first()
     note = f"Ranks are those of listings; the lowest rank seen is {depth['deepest']}."
     if not board and depth["n_boards"] > 1:
         note += f" {depth['n_boards']} boards are mixed: these are no overall ranks."
@@ -105,10 +110,27 @@ def search_reviews(reviews: DataFrame, products: DataFrame, keyword: str, limit:
     return QueryResult(out.orderBy(F.desc_nulls_last("written_at"), "product_key").limit(min(limit, MAX_ROWS)), "review join product", "The first 300 signs of a text.")
 
 
-def data_status(tables: dict[str, tuple[DataFrame, str | None, str | None]]) -> QueryResult:
-    """t, n, lo, hi for each table: number of rows and range of days; tables without days have none."""
+Status = tuple[int, date | None, date | None]
+
+
+def data_status(tables: dict[str, tuple[DataFrame, str | None, str | None] | Status | DataFrame]) -> QueryResult:
+    """t, n, lo, hi for each table: number of rows and range of days; tables without days have none.
+
+    A table is given as its rows and the columns of days, as what is known of it (sources.status.stored_status), or as rows of t, n, lo, hi
+    that one pass has counted for several tables.
+    """
     day = lambda f, c: f(F.to_date(c)) if c else F.lit(None).cast("date")
-    parts = [df.agg(F.count("*").alias("n"), day(F.min, lo).alias("lo"), day(F.max, hi).alias("hi")).select(F.lit(name).alias("t"), "n", "lo", "hi") for name, (df, lo, hi) in tables.items()]
+    parts, known = [], []
+    for name, given in tables.items():
+        if isinstance(given, DataFrame):
+            parts.append(given.select("t", "n", "lo", "hi"))
+        elif isinstance(given[0], DataFrame):
+            df, lo, hi = given
+            parts.append(df.agg(F.count("*").alias("n"), day(F.min, lo).alias("lo"), day(F.max, hi).alias("hi")).select(F.lit(name).alias("t"), "n", "lo", "hi"))
+        else:
+            known.append((name, *given))
+    if known:
+        parts.append(SparkSession.active().createDataFrame(known, "t string, n long, lo date, hi date"))
     return QueryResult(reduce(DataFrame.unionByName, parts), "all tables", "A table without rows may never have been collected. product_line is empty on purpose.")
 
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import dates, text
-from ..operators import entity, evaluation, forecast, labels, matching, papers, tools
+from ..operators import entity, evaluation, forecast, labels, matching, papers, tools, vector_index
 from ..sources import adapters as a
-from ..sources import commits, files, ingest, periods, store
-from .oracle import EARLY, RECENT, SQL
+from ..sources import commits, files, gram_index, ingest, periods, snapshots, status, store
+from ..streaming import rank_movement
+from .oracle import EARLY, KOREAN, RECENT, SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATEGORIES = ["BUILDING", "HOUSEHOLD"]
@@ -243,6 +244,21 @@ def hub_edges(spark, d):
     return matching.hubs(_answered(spark, d).where("is_same_product = 'y'"))
 
 
+@query
+def hub_summary(spark, d):
+    return matching.hub_summary(store.computed_once(_answered(spark, d)).where("is_same_product = 'y'"))
+
+
+@query
+def korean_names(spark, d):
+    """Normal forms of names in Korean, one for each product by its key."""
+    words = F.array(*[F.lit(n) for n in KOREAN])
+    name = F.concat(F.get(words, F.col("product_key").cast("long") % len(KOREAN)), F.lit(" "), "product_key")
+    named = a.products(spark, d).select("source", "product_key", name.alias("name"))
+    v, c = text.volume(F.col("name")), F.col("name")
+    return named.select("source", "product_key", text.normalised_name(c).alias("norm"), v["amount"].alias("amount"), v["unit"].alias("unit"), text.product_form(c).alias("form"), text.row_kind(c).alias("kind"), F.size(text.variants(c)).cast("long").alias("n_variants"))
+
+
 @query
 def pair_type_precision(spark, d):
     pairs = evaluation.labelled(_answered(spark, d)).withColumn("pair_type", matching.pair_type(F.col("name_a"), F.col("name_b")))
@@ -282,6 +298,34 @@ def suggest_threshold(spark, d):
     return evaluation.suggested_threshold(cumulative_precision(spark, d), 0.85)
 
 
+@query
+def evaluation_report(spark, d):
+    """The report of an answered sample, with what it cannot say."""
+    out = evaluation.report(a.labelled_pairs(spark, d), 0.85)
+    return out.df.withColumn("caveat", F.lit(out.caveat))
+
+
+BUDGET = 675
+
+
+def _vectors(spark, d):
+    """Products that have a vector, and their features."""
+    vectors = a.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("product_key"), F.col("embedding").alias("vector"))
+    rows = store.computed_once(_features(spark, d).join(vectors, "product_key").where("brand_norm <> ''"))
+    return rows.drop("vector"), rows.select(F.col("product_key").cast("long").alias("id"), F.col("brand_norm").alias("brand"), "source", "product_key", "vector")
+
+
+@query
+def silver_recovery(spark, d):
+    """How many certain pairs the best BUDGET pairs of each scorer hold, and how many pairs both rank as high."""
+    rows, vectors = _vectors(spark, d)
+    best = {
+        "ngram": matching.candidates(rows).orderBy(F.desc("score"), *vector_index.PAIR).limit(BUDGET).select(*vector_index.PAIR),
+        "embedding": vector_index.closest_pairs(vectors, BUDGET).select(*vector_index.PAIR),
+    }
+    return matching.recovery(best, matching.silver_positives(rows))
+
+
 @query
 def board_list(spark, d):
     return tools.top_products(a.rank_snapshots(spark, d), "O", "?").df
@@ -289,12 +333,23 @@ def board_list(spark, d):
 
 @query
 def snapshot_depth(spark, d):
-    return tools.snapshot_depth(a.rank_snapshots(spark, d), "O")
+    return tools.snapshot_depth(tools.latest_snapshot(a.rank_snapshots(spark, d), "O"))
+
+
+TOP = ["source", "board", "captured_at", "product_key", "rank", "price", "discount_rate"]
 
 
 @query
 def top_products(spark, d):
-    return tools.top_products(a.rank_snapshots(spark, d), "O").df.select("source", "board", "captured_at", "product_key", "rank", "price", "discount_rate")
+    return tools.top_products(a.rank_snapshots(spark, d), "O").df.select(*TOP)
+
+
+@query
+def top_products_stored(spark, d):
+    """The same from a table kept by month of capture, of which one month is read."""
+    with store.passing_folder(spark) as path:
+        snapshots.add_snapshots(spark, path, a.rank_snapshots(spark, d))
+        return store.computed_once(tools.top_of_snapshot(snapshots.last_snapshot(spark, path, "O")).df.select(*TOP))
 
 
 @query
@@ -317,18 +372,30 @@ def search_reviews(spark, d):
     return tools.search_reviews(a.reviews(spark, d), a.products(spark, d), "license").df
 
 
+@query
+def search_reviews_indexed(spark, d):
+    """The same from a table in many files, of which a sidecar leaves out those without the keyword."""
+    with store.passing_folder(spark) as path:
+        a.reviews(spark, d).repartition(32, "product_key").write.parquet(f"{path}/review")
+        gram_index.build(spark, f"{path}/review", "body", f"{path}/grams")
+        found = gram_index.holding(spark, f"{path}/review", f"{path}/grams", "body", "license")
+        return store.computed_once(tools.search_reviews(found, a.products(spark, d), "license").df)
+
+
 @query
 def data_status(spark, d):
-    products = a.products(spark, d)
+    """Stored tables by their footers, products by kind in one pass, derived tables by their rows."""
+    kinds = a.products(spark, d).groupBy(text.row_kind(F.col("name")).alias("t")).agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("date")
+    by_kind = spark.createDataFrame([("sku", 0), ("listing", 0)], "t string, n long").unionByName(kinds).groupBy("t").agg(F.sum("n").alias("n"))
     tables = {
-        "product": (products, None, None),
+        "product": status.stored_status(spark, f"{d}/part.parquet"),
         "rank_snapshot": (a.rank_snapshots(spark, d), "captured_at", "captured_at"),
-        "price_point": (a.price_points(spark, d), "captured_at", "captured_at"),
+        "price_point": status.stored_status(spark, f"{d}/lineitem.parquet", "l_shipdate"),
         "review": (a.reviews(spark, d), "written_at", "written_at"),
         "new_product": (a.new_products(spark, d), "captured_at", "captured_at"),
         "publications": (a.publications(spark, d), "period", "period"),
-        "sku": (entity.skus(products), None, None),
-        "listing": (entity.listings(products), None, None),
+        "sku, listing": by_kind.select("t", "n", none.alias("lo"), none.alias("hi")),
     }
     return tools.data_status(tables).df
 
@@ -338,6 +405,22 @@ def rank_momentum_calendar(spark, d):
     return tools.rank_momentum(a.rank_snapshots(spark, d))
 
 
+@query
+def rank_momentum_stream(spark, d):
+    """The same from a stream of snapshots, some of which arrive up to four months late."""
+    ranks = store.computed_once(a.rank_snapshots(spark, d))
+    arrival = F.year(F.add_months("captured_at", F.pmod(F.xxhash64("product_key", "captured_at"), F.lit(5)).cast("int")))
+    low, high = ranks.agg(F.min(F.year("captured_at")), F.max(F.year("captured_at")) + 1).first()
+    with store.passing_folder(spark) as path:
+        middle = (low + high) // 2 if low else 0
+        for wave in (arrival <= middle, arrival > middle):
+            ranks.where(wave).coalesce(8).write.mode("append").parquet(f"{path}/in")
+        waves = spark.readStream.schema(ranks.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
+        rank_movement.follow_ranks(spark, waves, f"{path}/out", f"{path}/state").awaitTermination()
+        out = ["source", "board", "product_key", "captured_at", "rank", "earlier_rank", "gain"]
+        return store.computed_once(spark.read.parquet(f"{path}/out").select(*out))
+
+
 @query
 def discount_transitions(spark, d):
     return tools.discount_transitions(a.price_points(spark, d))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.text import FORMS
+
 PUBLICATIONS = """SELECT o_orderstatus AS source, o_orderpriority AS query, CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
     CAST(count(*) AS INTEGER) AS count FROM orders GROUP BY ALL"""
 SALES = """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderstatus AS segment, c_mktsegment AS category, sum(o_totalprice) AS value
@@ -17,16 +19,21 @@ RANKS = """SELECT source, board, captured_at, product_key, price, discount_rate,
     FROM (SELECT l_linestatus AS source, l_returnflag AS board, CAST(date_trunc('month', l_shipdate) AS DATE) AS captured_at, l_partkey AS product_key,
           sum(l_extendedprice) AS sales, max(l_discount) AS discount_rate, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL)"""
 NEW = f"""SELECT f.source, f.product_key, p.name, p.brand, f.captured_at FROM (
-    SELECT source, product_key, min(captured_at) AS captured_at FROM ({PRICES}) GROUP BY ALL) f JOIN ({PRODUCTS}) p USING (source, product_key) WHERE f.source IN ('s0', 's1')"""
+    SELECT source, product_key, min(captured_at) AS captured_at FROM ({PRICES}) GROUP BY ALL) f JOIN ({PRODUCTS}) p USING (source, product_key)"""
 REVIEWS = """SELECT 's' || (doc_id % 4) AS source, CAST(doc_id AS VARCHAR) AS product_key, quality AS rating, CAST(ts AS DATE) AS written_at, text AS body
     FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN events ON event_id = doc_id"""
 TOPICS = """SELECT 's' || (g % 4) AS source, CAST(g AS VARCHAR) AS product_key, event_type AS topic_name, event_type <> 'error' AS is_positive, n AS review_count,
     CASE WHEN event_type <> 'error' THEN round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY g), 2) END AS share_pct
-    FROM (SELECT user_id % 40 AS g, event_type, count(*) AS n FROM events GROUP BY ALL)"""
+    FROM (SELECT user_id % (SELECT count(*) FROM part) AS g, event_type, count(*) AS n FROM events GROUP BY ALL)"""
 LABELLED = """SELECT doc_id AS pair_id, CASE WHEN quality = 1 THEN 'y' WHEN quality = 0 THEN ' N ' WHEN doc_id % 17 = 0 THEN '?' END AS is_same_product,
     0.45::DOUBLE + (doc_id % 155) / 100.0::DOUBLE AS score FROM documents LEFT JOIN labels USING (doc_id)"""
 ANSWERED = f"SELECT *, trim(lower(is_same_product)) = 'y' AS correct FROM ({LABELLED}) WHERE trim(lower(is_same_product)) IN ('y', 'n')"
 
+#: Names in Korean, one for each part by its key: brackets, promotions, volumes, forms, colours, lists.
+KOREAN = [
+    "[1+1] 라운드랩 독도 토너 200ml 기획", "닥터지 레드 블레미쉬 클리어 수딩 크림 50mL", "(단독) 려 루트젠 샴푸 353ml 본품+리필", "클리오 킬커버 쿠션 2 호 택1",
+    "메디힐 마스크팩 (티트리/비타민/콜라겐) 10매", "롬앤 쥬시 래스팅 틴트 8가지", "AHC 선 스틱 14g 한정 세트", "어노브 트리트먼트 320ml (모이스처,웜페탈,화이트머스크) 증정", "이니스프리 노세범 파우더 5g 3종", "【특가】 설화수 앰플 2 + 1 60캡슐",
+]
 END = r"([^\p{L}\p{N}_]|$)"
 VOLUME = rf"(\d+(?:\.\d+)?)\s*(ml|mL|ML|g|G|호|매|개|정|캡슐|포){END}"
 PROMO = r"(기획|한정|단독|증정|사은품|리필|본품|세트|특가|할인|무료배송|택1|\d+\s*\+\s*\d+)"
@@ -55,6 +62,12 @@ def form(name: str) -> str:
     return f"CASE WHEN contains({tight}, 'sun') THEN 'sun' WHEN contains({tight}, 'edp') OR contains({tight}, 'edt') THEN 'perfume' ELSE '' END"
 
 
+def any_form(name: str) -> str:
+    """All forms, in their order."""
+    tight = f"replace(lower({name}), ' ', '')"
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({tight}, {w!r})' for w in words)} THEN '{form}'" for form, words in FORMS) + " ELSE '' END"
+
+
 FEATURES = f"""SELECT * FROM (SELECT source, product_key, name, brand, lower(regexp_replace(brand, '[^0-9A-Za-z가-힣]+', '', 'g')) AS brand_norm, {norm("name")} AS norm,
     try_cast(nullif(regexp_extract(name, '{VOLUME}', 1), '') AS DOUBLE) AS amount, lower(regexp_extract(name, '{VOLUME}', 2)) AS unit, {form("name")} AS form FROM ({PRODUCTS})) WHERE length(norm) > 1"""
 GRAMS = """SELECT norm, substr(w, CAST(k AS INTEGER), CAST(n AS INTEGER)) AS gram, count(*) AS tf FROM (
@@ -228,4 +241,24 @@ SQL = {
         SELECT *, lag(discount_rate) OVER (PARTITION BY source, product_key ORDER BY captured_at, price, discount_rate) AS was FROM ({PRICES})) GROUP BY source, product_key""",
     "repeated_keys": f"SELECT source, product_key, captured_at, count(*) AS n FROM ({PRICES}) GROUP BY ALL HAVING count(*) > 1",
 }
+SQL["hub_summary"] = f"SELECT count(*) AS n_hubs, coalesce(sum(n_edges), 0)::BIGINT AS n_edges, (SELECT count(DISTINCT (source_b, key_b)) FROM ({SQL['hub_edges']}) JOIN ({PUBLISHED_PAIRS} SELECT * FROM ans WHERE is_same_product = 'y') USING (source_a, key_a)) AS n_counterparts, coalesce(sum(induced_pairs), 0)::BIGINT AS induced_pairs FROM ({SQL['hub_edges']})"
+SQL["korean_names"] = f"""WITH named AS (SELECT source, product_key, {KOREAN!r}[1 + CAST(product_key AS BIGINT) % {len(KOREAN)}] || ' ' || product_key AS name FROM ({PRODUCTS}))
+    SELECT source, product_key, {norm("name")} AS norm, try_cast(nullif(regexp_extract(name, '{VOLUME}', 1), '') AS DOUBLE) AS amount, nullif(lower(regexp_extract(name, '{VOLUME}', 2)), '') AS unit,
+        {any_form("name")} AS form, {kind("name")} AS kind, len({variants("name")}) AS n_variants FROM named"""
+SQL["evaluation_report"] = f"""SELECT c.threshold, c.n, c.n_correct, c.precision, w.low, w.high, coalesce(c.threshold = (SELECT min(threshold) FROM ({CUMULATIVE}) WHERE precision >= 0.85), false) AS suggested,
+    NULL::DOUBLE AS recall, 'Recall is not measured: the sample holds only pairs that the matcher proposed.' AS caveat FROM ({CUMULATIVE}) c JOIN ({SQL['wilson_interval']}) w USING (threshold)"""
+_VECTORED = CANDIDATES.replace(f"feat AS MATERIALIZED ({FEATURES})", f"feat AS MATERIALIZED (SELECT f.* FROM ({FEATURES}) f JOIN embeddings ON CAST(vec_id AS VARCHAR) = product_key WHERE brand_norm <> '')")
+SQL["silver_recovery"] = f"""WITH {_VECTORED},
+    vec AS (SELECT brand_norm, source, product_key, CAST(embedding AS DOUBLE[]) AS v FROM feat JOIN embeddings ON CAST(vec_id AS VARCHAR) = product_key),
+    dense AS (SELECT a.source AS source_a, a.product_key AS key_a, b.source AS source_b, b.product_key AS key_b FROM vec a JOIN vec b ON a.brand_norm = b.brand_norm AND a.source < b.source
+        ORDER BY list_cosine_similarity(a.v, b.v) DESC, source_a, key_a, source_b, key_b LIMIT 675),
+    ngram AS (SELECT source_a, key_a, source_b, key_b FROM cand ORDER BY score DESC, source_a, key_a, source_b, key_b LIMIT 675),
+    silver AS (SELECT a.source AS source_a, a.product_key AS key_a, b.source AS source_b, b.product_key AS key_b FROM feat a JOIN feat b USING (brand_norm, norm)
+        WHERE a.source < b.source AND ((a.unit = b.unit AND abs(a.amount - b.amount) < 1e-6) OR (a.amount IS NULL AND b.amount IS NULL))),
+    named AS (SELECT 'ngram' AS scorer, * FROM ngram UNION ALL SELECT 'embedding', * FROM dense),
+    marked AS (SELECT n.*, count(*) OVER (PARTITION BY n.source_a, n.key_a, n.source_b, n.key_b) AS scorers, s.key_a IS NOT NULL AS silver FROM named n LEFT JOIN silver s USING (source_a, key_a, source_b, key_b))
+    SELECT scorer, count(*) AS n_pairs, (SELECT count(*) FROM silver) AS n_silver, count(*) FILTER (silver) AS n_recovered, count(*) FILTER (scorers = 2) AS n_shared FROM marked GROUP BY scorer"""
 SQL["period_upserts"] = SQL["paper_upsert"]
+SQL["top_products_stored"] = SQL["top_products"]
+SQL["rank_momentum_stream"] = SQL["rank_momentum_calendar"]
+SQL["search_reviews_indexed"] = SQL["search_reviews"]

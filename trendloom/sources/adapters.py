@@ -70,9 +70,9 @@ def price_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, product_key, name, brand, captured_at: first shipment; two sources have no such lane."""
+    """source, product_key, name, brand, captured_at: first shipment."""
     first = price_points(spark, sf_dir).groupBy("source", "product_key").agg(F.min("captured_at").alias("captured_at"))
-    return first.where(F.col("source").isin("s0", "s1")).join(products(spark, sf_dir).select("source", "product_key", "name", "brand"), ["source", "product_key"]).select("source", "product_key", "name", "brand", "captured_at")
+    return first.join(products(spark, sf_dir).select("source", "product_key", "name", "brand"), ["source", "product_key"]).select("source", "product_key", "name", "brand", "captured_at")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +85,9 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, product_key, topic_name, is_positive, review_count, share_pct: events of 40 user groups by type."""
-    events = table(spark, sf_dir, "events").withColumn("group", F.col("user_id") % 40)
+    """source, product_key, topic_name, is_positive, review_count, share_pct: events by type, of users dealt to all products."""
+    n = max(1, table(spark, sf_dir, "part").count())
+    events = table(spark, sf_dir, "events").withColumn("group", F.col("user_id") % n)
     counted = events.groupBy("group", "event_type").agg(F.count("*").alias("review_count"))
     whole = counted.groupBy("group").agg(F.sum("review_count").alias("total"))
     share = F.when(F.col("event_type") != "error", F.round(100 * F.col("review_count") / F.col("total"), 2))
