@@ -51,7 +51,8 @@ def frequent_words(docs: DataFrame, tokenizer: str) -> tuple[np.ndarray, np.ndar
 
     one_in = max(1, docs.count() // SAMPLE)
     sample = docs.select("text", F.monotonically_increasing_id().alias("row")).where(F.pmod(F.xxhash64("row"), F.lit(one_in)) == 0).select("text")
-    found = sample.coalesce(TASKS).mapInArrow(run, "word long, second long, n long, tokens int").toArrow()
+    # dealt out after the filter, so that the scan keeps its own tasks
+    found = sample.repartition(TASKS).mapInArrow(run, "word long, second long, n long, tokens int").toArrow()
     top = _summed(found.cast(WORD))
     return tuple(top[c].to_numpy().view(kind) for c, kind in (("word", np.uint64), ("second", np.uint64), ("tokens", np.int32)))
 
