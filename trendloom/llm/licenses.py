@@ -134,7 +134,13 @@ def occurrences(template: np.ndarray, words: np.ndarray, places: np.ndarray, nee
     t, j = pairs[:, 0], pairs[:, 1]
     cores, begin = [], 0
     while begin < len(j):
-        key = _ended(t[begin:], j[begin:], n, need)
+        # no more of the rest than the next core needs, up to a constant factor
+        size = 8 * n
+        while True:
+            key = _ended(t[begin : begin + size], j[begin : begin + size], n, need)
+            if key[-1] >> 32 >= need or begin + size >= len(j):
+                break
+            size *= 4
         if key[-1] >> 32 < need:
             break
         last = j[begin + len(key) - 1]
