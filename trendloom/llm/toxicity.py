@@ -144,11 +144,17 @@ def _signature(words: set[str]) -> int:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """text and toxic of at most ``most`` labelled rows, those of the smallest hash; held-out rows are left out.
 
-    The sample of labels is small by its limit, so that it is broadcast and the texts stay in place.
+    The sample of labels is small by its limit, so that it is broadcast and the texts stay in place. Where ids repeat, so that more rows than that have a
+    sampled label, repeated rows count once, and of those that differ the ``most`` with the smallest hash of id, label and text are taken.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(crc32_of_id(), F.lit(4)) != 2))
     sample = usable.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(most)
-    return docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
+    labelled = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+    if docs.select(F.col("doc_id").alias("_doc")).join(F.broadcast(sample), F.col("_doc") == F.col("_id")).count() > most:  # reads ids only
+        key = F.xxhash64("_id", "_toxic", "text").alias("_key")
+        picked = labelled.select(key).distinct().orderBy("_key").limit(most)
+        labelled = labelled.withColumn("_key", key).join(F.broadcast(picked), "_key", "left_semi").dropDuplicates(["_key"])
+    return labelled.select("text", F.col("_toxic").alias("toxic"))
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
