@@ -3,13 +3,15 @@
 Documents come one at a time. The level array counts the partially filled windows of each fill. A document
 goes where it makes the sum of the squared counts smallest: into a window of some level, or into a new
 one. Documents of a window or more are first cut into full
-windows, and only their rest is placed. Once OPEN windows are open, a document for which the rule would open another is cut
-instead: its first part fills a window of the level that has most, which lowers the sum of squares most, and its rest is
-placed again. When a task has no documents left, the few windows still open are filled up
+windows, and only their rest is placed. When a task has no documents left, the windows still open are filled up
 from each other by cuts, so that one of them at most is left unfilled in each task.
 
+OPEN bounds the memory of a task, and nothing else: only when so many windows are open (128 MB of ids) is a document for which the rule would
+open another cut instead, so that its first part fills a window of the level that has most. The windows that the rule leaves open
+grow with the root of the number of documents, so that a partition has to be very large for that.
+
 The rule wants many windows for each level, so that partitions with little text are put together (without a shuffle)
-until each task has TASK_CHARS of it. Nothing is shuffled, and a task holds the ids of its open windows only, about OPEN,
+until each task has TASK_CHARS of it. Nothing is shuffled, and a task holds the ids of its open windows only, OPEN at most,
 whatever the length of a text or the number of documents.
 
 Defined results: a null text counts as empty and is the end id alone; a long text has pieces in as many windows as it
@@ -31,20 +33,20 @@ from pyspark.taskcontext import TaskContext
 from .bytebpe import loaded
 
 WINDOW, END = 2048, 1
-#: Open windows before documents are cut, characters of text for each task at least, and ids in memory before rows are handed on.
-OPEN, TASK_CHARS, FLUSH = 128, 8_000_000, 1 << 19
+#: Open windows that a task may hold, characters of text for each task at least, and ids in memory before rows are handed on.
+OPEN, TASK_CHARS, FLUSH = 1 << 14, 8_000_000, 1 << 19
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Packer:
     """emit(sequence, doc, start, ids, doc_tokens, offset) is called for each piece of a window that is full or closed."""
 
-    def __init__(self, window: int, emit: Callable[..., None], sequences: Iterator[int]):
-        self.window, self.emit, self.sequences = window, emit, sequences
+    def __init__(self, window: int, emit: Callable[..., None], sequences: Iterator[int], most_open: int = OPEN):
+        self.window, self.emit, self.sequences, self.most_open = window, emit, sequences, most_open
         self.levels = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
-        #: Tokens of windows that the rule filled, and of those that close() did.
-        self.by_rule = self.by_cuts = 0
+        #: Tokens of windows that the rule filled alone, of those that a cut for want of memory filled, and of those that close() did.
+        self.by_rule = self.by_force = self.by_close = 0
 
     def _write(self, pieces: list) -> None:
         sequence, offset = next(self.sequences), 0
@@ -73,9 +75,10 @@ class Packer:
             at += self.window
         while at < total:
             size = total - at
-            level = self.choose(size)
-            if not level and self.levels.sum() >= OPEN:
+            level, forced = self.choose(size), False
+            if not level and self.levels.sum() >= self.most_open:
                 level = self._to_cut_for(size)
+                forced = level > 0
             pieces = self.open[level].pop() if level else []
             self.levels[level] -= level > 0
             part = ids[at : at + self.window - level]
@@ -83,7 +86,10 @@ class Packer:
             at += len(part)
             if level + len(part) == self.window:
                 self._write(pieces)
-                self.by_rule += self.window
+                if forced:
+                    self.by_force += self.window
+                else:
+                    self.by_rule += self.window
             else:
                 self.open[level + len(part)].append(pieces)
                 self.levels[level + len(part)] += 1
@@ -96,7 +102,7 @@ class Packer:
     def close(self) -> None:
         """Fills the open windows, the fullest first, with cuts of the emptiest ones."""
         windows = [(fill, pieces) for fill in range(self.window, 0, -1) for pieces in self.open[fill]]
-        self.by_cuts += sum(fill for fill, _ in windows)
+        self.by_close += sum(fill for fill, _ in windows)
         low, high, spare = 0, len(windows) - 1, []
         while low <= high:
             fill, pieces = windows[low]
