@@ -145,14 +145,30 @@ def test_other_vocabularies_are_refused():
         loaded(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def test_the_rule_fills_most_windows():
+def packed(n, most_open=packing.OPEN):
+    """A packer that has had n documents, its most open windows, and all tokens."""
     rng = random.Random(7)
-    packer = packing.Packer(2048, lambda *a: None, iter(range(10**9)))
-    for k in range(3000):
-        packer.add(k, np.zeros(int(min(20_000, rng.lognormvariate(6.5, 0.9))) + 1, np.int32))
-    assert sum(map(len, packer.open)) <= packing.OPEN + 1
+    packer, most, tokens = packing.Packer(2048, lambda *a: None, iter(range(10**9)), most_open), 0, 0
+    for k in range(n):
+        size = int(min(20_000, rng.lognormvariate(6.5, 0.9))) + 1
+        packer.add(k, np.zeros(size, np.int32))
+        most, tokens = max(most, int(packer.levels.sum())), tokens + size
+    assert most == max(most, sum(map(len, packer.open)))
     packer.close()
-    assert packer.by_rule >= 0.9 * (packer.by_rule + packer.by_cuts)
+    return packer, most, tokens
+
+
+def test_the_rule_fills_most_windows():
+    """By the rule alone; what it leaves to the end grows far slower than the documents."""
+    small, large = packed(5_000), packed(20_000)
+    for packer, most, tokens in (small, large):
+        assert packer.by_force == 0 and most < 1000 and packer.by_rule + packer.by_close == tokens
+    assert large[0].by_rule >= 0.9 * large[2] and large[1] < 1.5 * small[1]
+
+
+def test_memory_bounds_open_windows():
+    packer, most, tokens = packed(2_000, 16)
+    assert most <= 17 and packer.by_force > 0 and packer.by_rule + packer.by_force + packer.by_close == tokens
 
 
 def test_words_that_a_polynomial_cannot_tell_apart(spark):
