@@ -69,14 +69,14 @@ class Scratch:
         self.close()
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int, most: int = HOT_KEYS) -> DataFrame:
     """Inner join of left with right, where right has one row per key and ``count`` says how many left rows have it.
 
-    Keys with at least total / HOT_KEYS rows are joined by broadcast: as the counts add up to ``total``
-    at most, there are at most HOT_KEYS such keys at any size of the input. All others are shuffled, and
+    Keys with at least total / most rows are joined by broadcast: as the counts add up to ``total``
+    at most, there are at most ``most`` such keys at any size of the input. All others are shuffled, and
     none of those can fill a task. The columns of right but ``key`` must not be in left.
     """
-    least = max(2, -(-total // HOT_KEYS))
+    least = max(2, -(-total // most))
     hot, cold = right.where(F.col(count) >= least), right.where(F.col(count) < least)
     return (
         left.join(F.broadcast(hot), key)

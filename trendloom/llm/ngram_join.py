@@ -52,6 +52,8 @@ FINER = 8
 #: Documents of the sample: one in SAMPLE[0], SAMPLE[1] at least and SAMPLE[2] at most; how many of them have a shingle that
 #: counts as common, and how many of those are known at most.
 SAMPLE, COMMON, MOST_COMMON = (16, 1 << 12, 1 << 17), 6, 1 << 18
+#: Blocks whose keys may be joined by broadcast: the largest ones.
+HOT_BLOCKS = 1 << 12
 #: Sets that a task remembers so as not to list the shingles of copies again.
 MEMO = 1 << 17
 
@@ -412,7 +414,7 @@ def links(docs: DataFrame, n: int, p: int, scratch: Scratch, tile: int = TILE) -
     blocks = keys.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("all")).where("size > 1")
     blocks = scratch.save(blocks.groupBy("size", "all").agg(F.min("key").alias("key")).select("key", "size"))
     total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    members = scratch.save(hot_join(_listed(keyed, blocks), blocks, "key", "size", total))
+    members = scratch.save(hot_join(_listed(keyed, blocks), blocks, "key", "size", total, HOT_BLOCKS))
     points, fine = keyed.select("cls", "n", "point"), keyed.select("cls", "n", F.col("fine").alias("point"))
 
     # every point searches the tree of its tile; in blocks of several tiles some pivots are in all of them
