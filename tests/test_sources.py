@@ -107,3 +107,14 @@ def test_totals_workbook(spark, tmp_path):
     got = files.read_totals_monthly(spark, path, ["resident", "foreign"]).collect()
     assert sorted((str(r["month"]), r["segment"], r["sales_musd"], r["visitors_k"]) for r in got) == [
         ("2019-01-01", "foreign", 20.0, 2.0), ("2019-01-01", "resident", 10.0, 1.0), ("2019-02-01", "resident", 11.0, None), ("2019-03-01", "foreign", 22.0, 4.0), ("2019-03-01", "resident", 12.0, 3.0)]
+
+
+def test_workbook_round_trip(spark, tmp_path):
+    path = str(tmp_path / "w.xlsx")
+    first = spark.createDataFrame([(43466.0, 1.5, "a<b & 'c'"), (43497.0, None, "  두 칸 ")], "day double, v double, text string")
+    wide = spark.createDataFrame([tuple(range(30))], ", ".join(f"c{k} int" for k in range(30)))
+    files.write_workbook(spark, path, {"one": first, "wide & more": wide})
+    assert sorted(map(tuple, files.read_sheet(spark, path, 0).collect())) == [("43466.0", "1.5", "a<b & 'c'"), ("43497.0", None, "  두 칸 ")]
+    assert tuple(files.read_sheet(spark, path, 1).first()) == tuple(map(str, range(30)))
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        files.write_workbook(spark, path, {"one": first}, most=1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -455,6 +456,57 @@ def count_file_round_trip(spark, d):
         return store.computed_once(files.read_counts(spark, path, "O", "all"))
 
 
+@query
+def category_workbook(spark, d):
+    """Sheets of two segments in a workbook, read by their tabs."""
+    with store.passing_folder(spark) as path:
+        files.write_workbook(spark, f"{path}/categories.xlsx", {s: a.category_sheet(spark, d, s) for s in ("O", "F")})
+        return store.computed_once(files.read_category_monthly(spark, f"{path}/categories.xlsx", ["O", "F"]))
+
+
+@query
+def totals_workbook(spark, d):
+    """Sales and visitors of two segments in a workbook of two sheets, joined by their month."""
+    day = F.datediff("month", F.lit("1899-12-30").cast("date")).cast("double").alias("month")
+    wide = lambda df, c: df.groupBy("month").pivot("segment", ["O", "F"]).agg(F.sum(c)).select(day, "O", "F")
+    with store.passing_folder(spark) as path:
+        sales, heads = wide(a.category_sales(spark, d), "value").orderBy("month"), wide(a.visitors(spark, d), "visitors").orderBy(F.desc("month"))
+        files.write_workbook(spark, f"{path}/totals.xlsx", {"sales": sales, "visitors": heads})
+        out = files.read_totals_monthly(spark, f"{path}/totals.xlsx", ["O", "F"])
+        return store.computed_once(out.withColumn("sales_musd", F.round("sales_musd", 2)))
+
+
+@query
+def label_file_round_trip(spark, d):
+    """An answered sample written as a CSV file, read and counted."""
+    with store.passing_folder(spark) as path:
+        files.write_csv(a.labelled_pairs(spark, d), f"{path}/labels.csv")
+        return store.computed_once(evaluation.answer_counts(files.read_label_sample(spark, f"{path}/labels.csv")))
+
+
+@query
+def export_round_trip(spark, d):
+    """The growth table exported below a comment, and read again."""
+    names = ["source", "query", "avg_early", "avg_recent", "growth"]
+    with store.passing_folder(spark) as path:
+        files.export_with_comment(paper_growth(spark, d).select(*names), f"{path}/growth.csv", "Multiples compare within one source only.\nMonths that are late, are few.")
+        out = files.read_export(spark, f"{path}/growth.csv")
+        return store.computed_once(out.select("source", "query", *[F.col(c).try_cast("double").alias(c) for c in names[2:]]))
+
+
+@query
+def tool_envelopes(spark, d):
+    """For each tool: the table that its answer names, its rows, and whether it says what must be known."""
+    products = a.products(spark, d)
+    answers = {
+        "paper_trend": tools.paper_trend(a.publications(spark, d), "1-URGENT", "O"), "paper_growth": tools.paper_growth(a.publications(spark, d), "O", EARLY, RECENT),
+        "price_history": tools.price_history(a.price_points(spark, d), products, "widget", "2001-10-01"), "new_products": tools.new_products(a.new_products(spark, d), "1995-04-01", days=90),
+        "review_topics": tools.review_topics(a.review_topics(spark, d), products, "red"), "search_reviews": tools.search_reviews(a.reviews(spark, d), products, "license"),
+    }
+    told = [(name, json.loads(x.envelope())["provenance"]) for name, x in answers.items()]
+    return spark.createDataFrame([(name, p["table"], p["returned"], bool(p["caveat"])) for name, p in told], "tool string, source_table string, returned long, has_caveat boolean")
+
+
 @query
 def ingest_round_trip(spark, d):
     """Products as a CSV snapshot, with line breaks and quotes in the names, ingested as a whole and read as the current version."""

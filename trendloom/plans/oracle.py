@@ -262,3 +262,15 @@ SQL["period_upserts"] = SQL["paper_upsert"]
 SQL["top_products_stored"] = SQL["top_products"]
 SQL["rank_momentum_stream"] = SQL["rank_momentum_calendar"]
 SQL["search_reviews_indexed"] = SQL["search_reviews"]
+SQL["category_workbook"] = SQL["category_unpivot"]
+SQL["totals_workbook"] = f"""SELECT month, segment, round(s.value, 2) AS sales_musd, CAST(visitors AS DOUBLE) AS visitors_k FROM (SELECT month, segment, sum(value) AS value FROM ({SALES}) GROUP BY ALL) s
+    LEFT JOIN ({VISITORS}) USING (month, segment) WHERE segment IN ('O', 'F')"""
+SQL["label_file_round_trip"] = SQL["answer_counts"]
+SQL["export_round_trip"] = f"SELECT source, query, avg_early, avg_recent, growth FROM ({SQL['paper_growth']})"
+SQL["tool_envelopes"] = " UNION ALL ".join(
+    f"SELECT '{tool}' AS tool, '{table}' AS source_table, count(*) AS returned, true AS has_caveat FROM ({SQL[name]})"
+    for tool, name, table in (
+        ("paper_trend", "paper_trend_latest", "publications"), ("paper_growth", "paper_growth_tool", "publications"), ("price_history", "price_history", "price_point join product"),
+        ("new_products", "new_products", "new_product"), ("review_topics", "review_topics", "review_topic join product"), ("search_reviews", "search_reviews", "review join product"),
+    )
+)
