@@ -18,6 +18,7 @@ from .oracle import EARLY, KOREAN, RECENT, SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATEGORIES = ["BUILDING", "HOUSEHOLD"]
+SEGMENTS = ["O", "F", "P"]
 QUERIES: dict[str, Query] = {}
 
 
@@ -70,7 +71,7 @@ def _papers(spark, d):
 
 @query
 def category_unpivot(spark, d):
-    return labels.unpivoted({s: a.category_sheet(spark, d, s) for s in ("O", "F")})
+    return labels.unpivoted({s: a.category_sheet(spark, d, s) for s in SEGMENTS})
 
 
 @query
@@ -458,21 +459,21 @@ def count_file_round_trip(spark, d):
 
 @query
 def category_workbook(spark, d):
-    """Sheets of two segments in a workbook, read by their tabs."""
+    """A sheet for each segment in a workbook, read by their tabs."""
     with store.passing_folder(spark) as path:
-        files.write_workbook(spark, f"{path}/categories.xlsx", {s: a.category_sheet(spark, d, s) for s in ("O", "F")})
-        return store.computed_once(files.read_category_monthly(spark, f"{path}/categories.xlsx", ["O", "F"]))
+        files.write_workbook(spark, f"{path}/categories.xlsx", {s: a.category_sheet(spark, d, s) for s in SEGMENTS})
+        return store.computed_once(files.read_category_monthly(spark, f"{path}/categories.xlsx", SEGMENTS))
 
 
 @query
 def totals_workbook(spark, d):
-    """Sales and visitors of two segments in a workbook of two sheets, joined by their month."""
+    """Sales and visitors by segment in a workbook of two sheets, joined by their month."""
     day = F.datediff("month", F.lit("1899-12-30").cast("date")).cast("double").alias("month")
-    wide = lambda df, c: df.groupBy("month").pivot("segment", ["O", "F"]).agg(F.sum(c)).select(day, "O", "F")
+    wide = lambda df, c: df.groupBy("month").pivot("segment", SEGMENTS).agg(F.sum(c)).select(day, *SEGMENTS)
     with store.passing_folder(spark) as path:
         sales, heads = wide(a.category_sales(spark, d), "value").orderBy("month"), wide(a.visitors(spark, d), "visitors").orderBy(F.desc("month"))
         files.write_workbook(spark, f"{path}/totals.xlsx", {"sales": sales, "visitors": heads})
-        out = files.read_totals_monthly(spark, f"{path}/totals.xlsx", ["O", "F"])
+        out = files.read_totals_monthly(spark, f"{path}/totals.xlsx", SEGMENTS)
         return store.computed_once(out.withColumn("sales_musd", F.round("sales_musd", 2)))
 
 

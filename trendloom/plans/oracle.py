@@ -169,7 +169,7 @@ SQL = {
     "paper_trend_latest": f"SELECT period, count FROM ({PUBLICATIONS}) WHERE source = 'O' AND query = '1-URGENT' ORDER BY period DESC LIMIT 24",
     "paper_upsert": f"""SELECT source, query, period, CAST(CASE WHEN period >= DATE '2000-01-01' THEN count + 1 ELSE count END AS INTEGER) AS count FROM ({PUBLICATIONS}) WHERE period <= DATE '2001-03-01'""",
     "papers_yoy": PAPERS_YOY,
-    "category_unpivot": f"SELECT month, segment, category, value FROM ({SALES}) WHERE segment IN ('O', 'F')",
+    "category_unpivot": f"SELECT month, segment, category, value FROM ({SALES})",
     "monthly_category_sales": f"SELECT month, sum(value) AS sales FROM ({SALES}) WHERE category IN ('BUILDING', 'HOUSEHOLD') GROUP BY month",
     "segment_totals": f"SELECT segment, round(sum(value), 2) AS value FROM ({SALES}) GROUP BY segment",
     "demand_labels": _labels(),
@@ -264,7 +264,7 @@ SQL["rank_momentum_stream"] = SQL["rank_momentum_calendar"]
 SQL["search_reviews_indexed"] = SQL["search_reviews"]
 SQL["category_workbook"] = SQL["category_unpivot"]
 SQL["totals_workbook"] = f"""SELECT month, segment, round(s.value, 2) AS sales_musd, CAST(visitors AS DOUBLE) AS visitors_k FROM (SELECT month, segment, sum(value) AS value FROM ({SALES}) GROUP BY ALL) s
-    LEFT JOIN ({VISITORS}) USING (month, segment) WHERE segment IN ('O', 'F')"""
+    LEFT JOIN ({VISITORS}) USING (month, segment)"""
 SQL["label_file_round_trip"] = SQL["answer_counts"]
 SQL["export_round_trip"] = f"SELECT source, query, avg_early, avg_recent, growth FROM ({SQL['paper_growth']})"
 SQL["tool_envelopes"] = " UNION ALL ".join(

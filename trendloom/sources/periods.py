@@ -55,9 +55,9 @@ def upsert_periods(spark: SparkSession, target: str, incoming: DataFrame, keys:
         if months:
             before = _read(spark, target, {m: parts[m] for m in months if m in parts}, schema)
             merged = upsert(before, incoming, keys, F.lit(limit).cast("date"))
-            # all rows of a month in one place: a folder for each month, in files of bounded size
+            # a folder for each month; small months come together and large ones are split before they are written
             named = merged.select(*schema.fieldNames(), F.col("period").cast("string").alias("month"))
-            named.write.partitionBy("month").option("maxRecordsPerFile", 1 << 22).parquet(f"{target}/{version}")
+            named.hint("rebalance", "month").write.partitionBy("month").option("maxRecordsPerFile", 1 << 22).parquet(f"{target}/{version}")
         try:
             number = commit(spark, target, {"version": version, "parts": parts | dict.fromkeys(months, version)}, expected=number)
         except Conflict:

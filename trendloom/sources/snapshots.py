@@ -24,7 +24,7 @@ def add_snapshots(spark: SparkSession, target: str, rows: DataFrame) -> list[str
     version = uuid.uuid4().hex
     month = F.date_format(F.trunc("captured_at", "MM"), "yyyy-MM-dd")
     kept = rows.where("captured_at is not null and source is not null").withColumn("month", month)
-    kept.write.partitionBy("month").option("maxRecordsPerFile", 1 << 22).parquet(f"{target}/{version}")
+    kept.hint("rebalance", "month").write.partitionBy("month").option("maxRecordsPerFile", 1 << 22).parquet(f"{target}/{version}")
     found = spark.read.schema(kept.schema).parquet(f"{target}/{version}").groupBy("source", F.col("month").cast("string").alias("month")).agg(F.to_date(F.max("captured_at")).alias("day")).limit(MOST_PAIRS + 1).collect()
     require(len(found) <= MOST_PAIRS, "too many sources and months in one batch")
     latest: dict[str, str] = {}
