@@ -108,3 +108,20 @@ def test_repeated_labelled_ids_are_bounded(spark):
     # below the bound every row counts, repeated ones too
     assert toxicity.training_rows(documents(spark, rows[:50]), labels, 200).count() == 50
     assert toxicity.toxicity_scores(documents(spark, [*hard_rows(), *rows[:20]]), labels).count() == len(hard_rows()) + 20
+
+
+def test_templates_that_no_fingerprint_names_cost_little():
+    """Hundreds of templates whose words no document has: the index does not look at them."""
+    rng = random.Random(4)
+    more = {f"other-{k}": " ".join(f"z{rng.randrange(10**9)}q" for _ in range(60)) for k in range(488)}
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(300)) + (" All rights reserved. " if k % 10 == 0 else "") for k in range(400)]
+
+    def run(templates):
+        index, memo = licenses.Index(templates, licenses.COVERAGE), licenses._Hashes()
+        words = [np.fromiter(map(memo.__getitem__, licenses._word.findall(t)), np.uint64) for t in texts]
+        began = time.process_time()
+        hits = [(name, h) for w in words for name, at in index.candidates(w) for h in licenses.occurrences(index.words[name], w, at, index.need[name])]
+        return time.process_time() - began, hits
+
+    few, many = run(licenses.TEMPLATES), run(licenses.TEMPLATES | more)
+    assert few[1] == many[1] and len(few[1]) >= 40 and many[0] < 2 * few[0] + 0.1

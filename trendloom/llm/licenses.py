@@ -84,6 +84,9 @@ class Index:
             window = -(-need[name] // (len(w) - need[name] + 1))
             ranks = [(common[h], h) for h in w.tolist()]
             self.kept[k, np.searchsorted(self.hashes, w[winnowed(ranks, window)])] = True
+        #: the inverted index: for each word, the templates that have it as a fingerprint
+        self.postings = [np.flatnonzero(self.kept[:, h]) for h in range(len(self.hashes))]
+        self.posted = self.kept.any(axis=0)
 
     def candidates(self, words: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
         """Template, and places of its words in the document that one or more alignments may use: a run with a fingerprint in it."""
@@ -92,9 +95,14 @@ class Index:
         near = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
         places = np.flatnonzero(self.hashes[near] == words)
         ids = near[places]
-        held = np.bincount(ids, minlength=len(self.hashes))
-        enough = np.minimum(self.counts, held).sum(axis=1) >= self.least
-        for k in np.flatnonzero(enough & (self.kept & (held > 0)).any(axis=1)).tolist():
+        own_words, held = np.unique(ids, return_counts=True)
+        marks = own_words[self.posted[own_words]]
+        if not len(marks):
+            return
+        # only templates that a fingerprint of the document is posted for are looked at
+        found = np.unique(np.concatenate([self.postings[h] for h in marks]))
+        enough = np.minimum(self.counts[np.ix_(found, own_words)], held).sum(axis=1) >= self.least[found]
+        for k in found[enough].tolist():
             n, need = len(self.words[self.names[k]]), int(self.least[k])
             own = self.counts[k][ids] > 0
             at, word = places[own], ids[own]
