@@ -159,7 +159,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with the columns of docs.
 
     Rows are known by id, digest and a hash of all their columns. Rows that agree in all three are joined into one within
-    each task, so that a row repeated without end is moved once from each, and the survivors meet the winners where they are.
+    each task, so that a row repeated without end is moved once from each. Every distinct row is shuffled once, with its text, to meet the winners.
     """
     with Scratch(docs.sparkSession) as scratch:
         key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none"), digest_of().alias("digest"), content_hash(docs).alias("content")]
