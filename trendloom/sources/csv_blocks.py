@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import require
+from .store import computed_once
 
 #: Ranges whose parities are sent to all tasks, some hundred bytes each: 2^18 ranges of 128 MB are 32 TB. More are read file by file.
 MOST_RANGES = 1 << 18
@@ -101,7 +102,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file, first (of its file), text: the records of CSV files as text, blank ones left out."""
     lines = _lines(spark, paths)
-    parities = quote_parities(lines)
+    parities = computed_once(quote_parities(lines))
     n, uneven = parities.count(), parities.withColumn("last", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("range")))).where("last = 1 and open").limit(1).collect()
     require(not uneven, f"{uneven and uneven[0]['file']} ends inside a quoted field")
     if n > MOST_RANGES and len(paths) > 1:
