@@ -49,7 +49,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_windows),
 ]
 
-#: SQL expresses neither the model nor the packing; the tests hold each stage against a plain version.
+#: SQL expresses neither the model nor the packing; the tests hold copies, near copies, marks and pieces against plain versions, and what is dropped
+#: as toxic against the scores.
 ORACLE_SQL: str | None = None
 
 
