@@ -17,6 +17,7 @@ def slices(entries: DataFrame, key: str = "key", slice_size: int = SLICE) -> tup
     A key's rows are dealt to slices by a hash of their id. Slices i <= j meet in the block (i, j): on the left a row stands for i, on the right
     for j. No block has more than about two slices of rows, and every two rows of a key are in one block.
     """
+    entries = computed_once(entries)
     sizes = computed_once(entries.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"))
     sized = sized_join(entries, sizes, key, "n", sizes.agg(F.sum("n")).first()[0] or 0)
     number = F.ceil(F.col("n") / slice_size).cast("int")

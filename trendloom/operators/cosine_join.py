@@ -22,16 +22,16 @@ SLACK = 1e-9
 
 
 def vectors(weights: DataFrame, idf: DataFrame) -> DataFrame:
-    """norm, grams: array of (gram, weight, reach), the rarest first, from weights (norm, gram, weight) and idf (gram, df, idf)."""
+    """norm, grams: array of (gram, weight, reach), the rarest first, and weight_of: a map of the same weights, from weights (norm, gram, weight) and idf (gram, df, idf)."""
     rare = weights.join(idf.select("gram", "df"), "gram").groupBy("norm").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "weight"))).alias("g"))
     tail = lambda k: F.sqrt(F.aggregate(F.slice(F.col("g"), k, F.size("g")), F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
-    return rare.select("norm", F.transform("g", lambda x, k: F.struct(x["gram"].alias("gram"), x["weight"].alias("weight"), tail(k + 1).alias("reach"))).alias("grams"))
+    reached = F.transform("g", lambda x, k: F.struct(x["gram"].alias("gram"), x["weight"].alias("weight"), tail(k + 1).alias("reach")))
+    return rare.select("norm", reached.alias("grams"), F.map_from_arrays("g.gram", "g.weight").alias("weight_of"))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Of two arrays of (gram, weight, ..): the sum of products over the grams that both have."""
-    one, other = (F.map_from_arrays(F.transform(v, lambda x: x["gram"]), F.transform(v, lambda x: x["weight"])) for v in (a, b))
-    both = F.map_values(F.map_zip_with(one, other, lambda _, x, y: F.coalesce(x * y, F.lit(0.0))))
+    """Of two maps from grams to weights: the sum of products over the grams that both have."""
+    both = F.map_values(F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x * y, F.lit(0.0))))
     return F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
 
 
@@ -40,7 +40,7 @@ def least_cosine(volume: Column, form: Column, min_score: float, volume_weight:
 
 
 def _entries(names: DataFrame, min_score: float, volume_weight: float, form_weight: float) -> DataFrame:
-    """id, vol, form, only, key, reach: under which keys the grams of a name are entered.
+    """id, vol, form, only, key, kind, reach: under which keys the grams of a name are entered.
 
     kind 3: volume and form agree, 2: the form alone, 1: the volume alone, 0: neither. A volume is known by its amount in
     millionths. Finer amounts are entered under the next ones too, so that amounts less than a millionth apart always meet.
@@ -58,9 +58,11 @@ def _entries(names: DataFrame, min_score: float, volume_weight: float, form_weig
     usable = F.filter(kinds, lambda k: formed | ~k["kind"].isin(2, 3))
     least = {3: least_cosine(F.lit(1.0), F.lit(1.0), min_score, volume_weight, form_weight), 2: least_cosine(F.lit(0.0), F.lit(1.0), min_score, volume_weight, form_weight), 1: least_cosine(F.lit(1.0), F.lit(0.0), min_score, volume_weight, form_weight), 0: least_cosine(F.lit(0.0), F.lit(0.0), min_score, volume_weight, form_weight)}
     floor = F.when(F.col("k.kind") == 3, least[3]).when(F.col("k.kind") == 2, least[2]).when(F.col("k.kind") == 1, least[1]).otherwise(least[0])
-    flat = names.select("id", "brand_norm", "vol", "form", "only", F.explode("grams").alias("g"), usable.alias("kinds")).select("*", F.explode("kinds").alias("k"))
-    key = F.struct("brand_norm", F.col("g.gram").alias("gram"), F.col("k.kind").alias("kind"), F.col("k.tag").alias("tag"), F.col("k.form").alias("form")).alias("key")
-    return flat.where(F.col("g.reach") >= floor - SLACK).select("id", "vol", "form", "only", key, F.col("g.reach").alias("reach"))
+    named = names.select("id", "brand_norm", "vol", "form", "only", "grams", F.explode(usable).alias("k")).withColumn("floor", floor - SLACK)
+    flat = named.select("id", "brand_norm", "vol", "form", "only", "k", F.explode(F.filter("grams", lambda g: g["reach"] >= F.col("floor"))).alias("g"))
+    # one number for each key: should two keys share one, more pairs are met, which the brand and the score then sort out
+    key = F.xxhash64("brand_norm", "g.gram", "k.kind", "k.tag", "k.form").alias("key")
+    return flat.select("id", "vol", "form", "only", key, F.col("k.kind").cast("byte").alias("kind"), F.col("g.reach").alias("reach"))
 
 
 def candidate_pairs(names: DataFrame, volume_agreement, form_agreement, min_score: float, volume_weight: float, form_weight: float, slice_size: int = SLICE) -> DataFrame:
@@ -72,6 +74,6 @@ def candidate_pairs(names: DataFrame, volume_agreement, form_agreement, min_scor
     volume, form = volume_agreement(F.col("vol_a"), F.col("vol_b")), form_agreement(F.col("form_a"), F.col("form_b"))
     kind = F.when(form == 1, F.when(volume == 1, 3).otherwise(2)).otherwise(F.when(volume == 1, 1).otherwise(0))
     least = least_cosine(volume, form, min_score, volume_weight, form_weight)
-    met = met.where((F.col("key.kind") == kind) & (F.least("reach_a", "reach_b") >= least - SLACK))
+    met = met.where((F.col("kind_a") == kind) & (F.col("kind_b") == kind) & (F.least("reach_a", "reach_b") >= least - SLACK))
     met = met.where(F.coalesce(F.col("only_a") != F.col("only_b"), F.lit(True)))
     return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()

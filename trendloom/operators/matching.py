@@ -74,8 +74,8 @@ def scored_names(rows: DataFrame, min_score: float) -> tuple[DataFrame, DataFram
     branded = rows.where("brand_norm <> ''").groupBy("brand_norm", "norm", "vol", "form").agg(F.min("source").alias("low"), F.max("source").alias("high")).withColumn("only", F.when(F.col("low") == F.col("high"), F.col("low")))
     names = computed_once(branded.withColumn("id", F.monotonically_increasing_id()).join(grams_of, "norm"))
     pairs = candidate_pairs(names, volume_agreement, form_agreement, min_score, VOLUME_WEIGHT, FORM_WEIGHT)
-    side = lambda s: names.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "norm", "vol", "form", "grams")])
-    met = pairs.join(side("a"), "id_a").join(side("b"), "id_b").withColumn("name_score", F.when(F.col("norm_a") == F.col("norm_b"), 1.0).otherwise(cosine(F.col("grams_a"), F.col("grams_b"))))
+    side = lambda s: names.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "brand_norm", "norm", "vol", "form", "weight_of")])
+    met = pairs.join(side("a"), "id_a").join(side("b"), "id_b").where("brand_norm_a = brand_norm_b").withColumn("name_score", F.when(F.col("norm_a") == F.col("norm_b"), 1.0).otherwise(cosine(F.col("weight_of_a"), F.col("weight_of_b"))))
     same = names.where("only is null").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.col("vol").alias("vol_a"), F.col("vol").alias("vol_b"), F.col("form").alias("form_a"), F.col("form").alias("form_b"), F.lit(1.0).alias("name_score"))
     scored = met.select(*same.columns).unionByName(same).withColumns({"volume_agreement": volume_agreement(F.col("vol_a"), F.col("vol_b")), "form_agreement": form_agreement(F.col("form_a"), F.col("form_b"))})
     scored = scored.withColumn("score", F.col("name_score") + F.lit(VOLUME_WEIGHT) * F.col("volume_agreement") + F.lit(FORM_WEIGHT) * F.col("form_agreement"))
