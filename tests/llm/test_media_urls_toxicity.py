@@ -76,6 +76,23 @@ def test_urls_and_rules(spark):
     assert url_filter.url_verdicts(pages.limit(0), none).count() == 0
 
 
+#: Each rule of the contract where it decides alone, where a longer one takes over, and where it does not fit; None: left to the method.
+CONTRACT = [
+    ("http://a.com/en/1", "com/en/", "block"), ("http://example.com/en/8", "com/en/", "block"), ("http://example.com/en/70", "example.com/en/7", "allow"), ("http://s.example.com/en/7", "example.com/en/7", "allow"),
+    ("http://a.net/de/1", "net/de/", "allow"), ("http://net/de/8", "net/de/", "allow"), ("http://example.net/de/7", "net/de/", "allow"), ("http://example.net/de/8", "example.net/de/8", "block"),
+    ("http://s.example.net/de/80", "example.net/de/8", "block"), ("http://notexample.net/de/8", "net/de/", "allow"), ("http://a.org/es/1", "org/es/", "block"), ("http://a.net/en/1", None, None), ("http://a.net/de", None, None),
+]
+
+
+def test_rules_follow_the_contract(spark):
+    pages = spark.createDataFrame([(k, u) for k, (u, _, _) in enumerate(CONTRACT)], "page_id long, url string")
+    # all outcomes bad and then all good, so that a rule's word holds against the method's verdict
+    for good, method in ((0, "block"), (1, "allow")):
+        outcomes = spark.createDataFrame([(k, good) for k in range(len(CONTRACT))], "page_id long, good int")
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages, outcomes).collect()}
+        assert got == {k: (rule, verdict or method) for k, (_, rule, verdict) in enumerate(CONTRACT)}
+
+
 def test_reputation_shrinks(spark):
     rows = [(k, f"http://bad.site.org/{k}", 0) for k in range(40)] + [(100 + k, f"http://good.site.org/{k}", 1) for k in range(40)] + [(200 + k, f"http://h{k}.other.org/{k}", 1) for k in range(40)] + [(300, "http://new.site.org/", None), (301, "http://bad.site.org/x", None), (302, "http://one.more.org/", 0)]
     pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
