@@ -38,11 +38,15 @@ def containment(pairs: DataFrame) -> DataFrame:
 
     Containment is not identity and is not transitive: these edges must not be closed.
     """
-    yes = pairs.where("is_same_product = 'y'")
-    a, b = row_kind(F.col("name_a")), row_kind(F.col("name_b"))
+    return contained(pairs.where("is_same_product = 'y'").withColumns({"kind_a": row_kind(F.col("name_a")), "kind_b": row_kind(F.col("name_b"))}))
+
+
+def contained(pairs: DataFrame) -> DataFrame:
+    """The edges of pairs answered 'y' (source_a, key_a, kind_a, source_b, key_b, kind_b)."""
+    a, b = F.col("kind_a"), F.col("kind_b")
     sides = F.when((a == "listing") & (b == "sku"), F.array("source_a", "key_a", "source_b", "key_b")).when((a == "sku") & (b == "listing"), F.array("source_b", "key_b", "source_a", "key_a"))
     names = [f.name for f in LISTING_CONTAINS.fields[:-1]]
-    edges = yes.select(sides.alias("e")).where("e is not null").select(*[F.col("e")[k].alias(c) for k, c in enumerate(names)])
+    edges = pairs.select(sides.alias("e")).where("e is not null").select(*[F.col("e")[k].alias(c) for k, c in enumerate(names)])
     return edges.dropDuplicates().where("listing_source <> sku_source or listing_key <> sku_key").withColumn("provenance", F.lit(PROVENANCE))
 
 

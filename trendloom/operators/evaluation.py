@@ -25,9 +25,12 @@ def answer_counts(sample: DataFrame) -> DataFrame:
     return sample.agg(F.count("*").alias("n_rows"), F.count(F.when(given == "", 1)).alias("n_blank"), F.count(F.when((given != "") & label_answer(F.col("is_same_product")).isNull(), 1)).alias("n_unknown"), F.count(label_answer(F.col("is_same_product"))).alias("n_labelled"))
 
 
-def _precision() -> list[Column]:
+def _precision(n_pairs: str | None = None) -> list[Column]:
+    """n_pairs: the column that says for how many pairs a row stands, or none."""
     right = F.count(F.when(F.col("correct"), 1))
     n = F.count("correct")
+    if n_pairs:
+        right, n = (F.coalesce(F.sum(F.when(which, F.col(n_pairs))), F.lit(0)) for which in (F.col("correct"), F.col("correct").isNotNull()))
     return [n.alias("n"), right.alias("n_correct"), F.try_divide(right.cast("double"), n).alias("precision")]
 
 
@@ -39,10 +42,10 @@ def by_band(answered: DataFrame) -> DataFrame:
     return bands.join(in_band, "low", "left").select("low", "high", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_correct", F.lit(0)).alias("n_correct"), "precision")
 
 
-def cumulative(answered: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def cumulative(answered: DataFrame, extra: list[str] | None = None, n_pairs: str | None = None) -> DataFrame:
     """threshold, n, n_correct, precision of all pairs at or above each edge but the last; empty ones are left out."""
     reached = F.filter(F.array(*map(F.lit, EDGES[:-1])), lambda e: F.col("score") >= e)
-    return answered.withColumn("threshold", F.explode(reached)).groupBy(*(extra or []), "threshold").agg(*_precision())
+    return answered.withColumn("threshold", F.explode(reached)).groupBy(*(extra or []), "threshold").agg(*_precision(n_pairs))
 
 
 def wilson(right: Column, n: Column, z: float = 1.96) -> list[Column]:

@@ -39,6 +39,12 @@ def computed_once(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df in at least as many partitions as there are cores, for few rows that take long: Spark joins small partitions, or reads a small file in one task, by their bytes alone."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *columns)
+
+
 @contextmanager
 def passing_folder(spark: SparkSession) -> Iterator[str]:
     """A new folder below the shared one, deleted at the end: what is read from it must be computed before."""
