@@ -52,3 +52,8 @@ def test_odd_names_keep_their_rows(spark):
     f = computed_once(matching.features(spark.createDataFrame(rows, SCHEMA)))
     assert f.count() == 3
     assert [tuple(r) for r in matching.candidates(f).select(*PAIR, "volume_agreement").collect()] == [("s1", "2", "s2", "3", 1.0)]
+
+
+def test_hub_summary(found):
+    _, sure, pairs = found
+    same(matching.hub_summary_of(sure), matching.hub_summary(pairs.where("score >= 1")))
