@@ -57,3 +57,23 @@ def test_odd_names_keep_their_rows(spark):
 def test_hub_summary(found):
     _, sure, pairs = found
     same(matching.hub_summary_of(sure), matching.hub_summary(pairs.where("score >= 1")))
+
+
+def test_label_sample(found):
+    whole, _, pairs = found
+    want = pairs.withColumn("band", matching.score_band(F.col("score")))
+    draw = F.md5(F.concat_ws("|", *PAIR))
+    for size in (1, 60, 100_000):
+        each = max(1, size // want.select("band").distinct().count())
+        # of rows that repeat a key, any may be drawn: only the draws are compared
+        best = want.withColumn("draw", draw).withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy("draw"))).where(F.col("n") <= each)
+        same(matching.label_sample(whole, size).select("score", draw.alias("draw")), best.select("score", "draw"))
+
+
+def test_label_sample_draws_again(found, monkeypatch):
+    """A limit that leaves too few rows is raised."""
+    whole, _, pairs = found
+    want = matching.label_sample(whole, 120).select(*PAIR).distinct()
+    monkeypatch.setattr(matching, "DRAWN", 1 / 16)
+    monkeypatch.setattr(matching, "FEWEST", 1)
+    same(matching.label_sample(whole, 120).select(*PAIR).distinct(), want)
