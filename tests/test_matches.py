@@ -77,3 +77,10 @@ def test_label_sample_draws_again(found, monkeypatch):
     monkeypatch.setattr(matching, "DRAWN", 1 / 16)
     monkeypatch.setattr(matching, "FEWEST", 1)
     same(matching.label_sample(whole, 120).select(*PAIR).distinct(), want)
+
+
+def test_listing_contains(found):
+    _, sure, pairs = found
+    rows = sure.rows.withColumn("kind", row_kind(F.col("name")))
+    got = entity.contained(matching.met(sure.pairs, rows, {"key": "product_key", "kind": "kind"}))
+    same(got, entity.containment(pairs.where("score >= 1").withColumn("is_same_product", F.lit("y"))))
