@@ -84,3 +84,8 @@ def test_listing_contains(found):
     rows = sure.rows.withColumn("kind", row_kind(F.col("name")))
     got = entity.contained(matching.met(sure.pairs, rows, {"key": "product_key", "kind": "kind"}))
     same(got, entity.containment(pairs.where("score >= 1").withColumn("is_same_product", F.lit("y"))))
+
+
+def test_conflicts(found):
+    whole, _, pairs = found
+    same(matching.conflicts(whole), pairs.groupBy("source_a", "key_a", "source_b").agg(F.count("*").alias("n")).where("n > 1"))
