@@ -89,3 +89,12 @@ def test_listing_contains(found):
 def test_conflicts(found):
     whole, _, pairs = found
     same(matching.conflicts(whole), pairs.groupBy("source_a", "key_a", "source_b").agg(F.count("*").alias("n")).where("n > 1"))
+
+
+def test_pair_types(found):
+    whole, _, pairs = found
+    kinds = lambda a, b: matching.pair_type(a, b).alias("pair_type")
+    correct = (F.col("score") >= 1).alias("correct")
+    counts = matching.counted(whole, {"kind": row_kind(F.col("name"))}).select(kinds(F.col("kind_a"), F.col("kind_b")), "score", correct, F.col("n").alias("n_pairs"))
+    rows = pairs.select(kinds(row_kind(F.col("name_a")), row_kind(F.col("name_b"))), "score", correct)
+    same(evaluation.cumulative(counts, ["pair_type"], "n_pairs"), evaluation.cumulative(rows, ["pair_type"]))
