@@ -98,3 +98,8 @@ def test_pair_types(found):
     counts = matching.counted(whole, {"kind": row_kind(F.col("name"))}).select(kinds(F.col("kind_a"), F.col("kind_b")), "score", correct, F.col("n").alias("n_pairs"))
     rows = pairs.select(kinds(row_kind(F.col("name_a")), row_kind(F.col("name_b"))), "score", correct)
     same(evaluation.cumulative(counts, ["pair_type"], "n_pairs"), evaluation.cumulative(rows, ["pair_type"]))
+
+
+def test_source_pairs(found):
+    whole, _, pairs = found
+    same(matching.source_pairs(whole), pairs.groupBy("source_a", "source_b").agg(F.count("*").alias("n")))
