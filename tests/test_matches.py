@@ -103,3 +103,18 @@ def test_pair_types(found):
 def test_source_pairs(found):
     whole, _, pairs = found
     same(matching.source_pairs(whole), pairs.groupBy("source_a", "source_b").agg(F.count("*").alias("n")))
+
+
+def test_best_pairs(found):
+    """Ties at the last place, and budgets beyond all pairs."""
+    whole, _, pairs = found
+    for score in ("score", "name_score"):
+        for budget in (1, 37, 500, 100_000):
+            same(matching.best_pairs(whole, score, budget), pairs.orderBy(F.desc(score), *PAIR).limit(budget).select(*PAIR))
+    assert matching.best_pairs(whole._replace(pairs=whole.pairs.limit(0)), "score", 5).count() == 0
+
+
+def test_score_histogram(found):
+    whole, _, pairs = found
+    got = {r["floor"]: r["n"] for r in matching.score_histogram(whole, (0.9, 0.5, 9.0)).collect()}
+    assert got == {f: pairs.where(F.col("score") >= f).count() for f in got} and got[0.5] > got[0.9] > got[9.0] == 0
