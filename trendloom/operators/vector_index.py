@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import computed_once
-from .blocks import SLICE, pairs_within, slices
+from .blocks import SLICE, slices
 
 LISTS, NEAREST, SAMPLE, ROUNDS = 64, 4, 1 << 14, 6
 PAIR = ["source_a", "key_a", "source_b", "key_b"]
@@ -24,7 +24,11 @@ PAIR = ["source_a", "key_a", "source_b", "key_b"]
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Vectors of one length as rows of length 1; those without length stay 0."""
-    rows = np.array(column.to_pylist(), np.float64)
+    flat = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+    if len(flat) and not flat.null_count and isinstance(flat, pa.Array):
+        rows = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    else:
+        rows = np.array(column.to_pylist(), np.float64)
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
@@ -72,19 +76,9 @@ def _best(pairs: DataFrame, budget: int) -> DataFrame:
     return pairs.orderBy(F.desc("cosine"), *PAIR).limit(budget)
 
 
-def index_pairs(vectors: DataFrame, budget: int, lists: int = LISTS, nearest: int = NEAREST) -> DataFrame:
-    """The ``budget`` closest pairs among rows that share a list: source_a, key_a, source_b, key_b, cosine. The budget is the feature."""
-    entries = listed(vectors, centroids(vectors, lists), nearest).select(F.struct("brand", "list").alias("key"), "id", "source", "product_key", "vector")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    a, b = F.col("vector_a"), F.col("vector_b")
-    met = pairs_within(entries).where("source_a <> source_b")
-    scored = met.withColumn("cosine", F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0)))
-    return _best(_oriented(scored).dropDuplicates(PAIR), budget)
-
-
-def exact_pairs(vectors: DataFrame, floor: float, slice_size: int = SLICE) -> DataFrame:
-    """All pairs of one brand and two sources with a cosine of at least floor. Pairs below it do not leave the task that compares them."""
-    entries = vectors.select(F.col("brand").alias("key"), "id", "source", "product_key", F.col("vector").cast("array<double>").alias("vector"))
+def _multiplied(entries: DataFrame, floor: float, budget: int | None = None, slice_size: int = SLICE) -> DataFrame:
+    """Pairs of entries (key, id, source, product_key, vector) of one key and two sources with a cosine of at least floor: slices of each key are multiplied
+    in tasks. With a budget, no more leave a task than its best ones and their ties."""
     left, right = slices(entries, "key", slice_size)
     both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
 
@@ -94,16 +88,36 @@ def exact_pairs(vectors: DataFrame, floor: float, slice_size: int = SLICE) -> Da
         if not (a.num_rows and b.num_rows):
             return pa.table({c: [] for c in ("source_a", "product_key_a", "source_b", "product_key_b", "cosine")}, schema=OUT)
         cosine = _matrix(a["vector"]) @ _matrix(b["vector"]).T
-        one, other = np.nonzero(cosine >= floor)
+        sources = pa.concat_arrays([*a["source"].chunks, *b["source"].chunks]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        x, y = sources[: a.num_rows, None], sources[None, a.num_rows :]
+        keep = (cosine >= floor) & (x != y) & (x >= 0) & (y >= 0)
         if a["i"][0].as_py() == a["j"][0].as_py():  # a slice with itself
-            keep = a["id"].to_numpy()[one] < b["id"].to_numpy()[other]
-            one, other = one[keep], other[keep]
+            keep &= a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None, :]
+        if budget is not None and np.count_nonzero(keep) > budget:
+            keep &= cosine >= np.partition(cosine[keep], -budget)[-budget]
+        one, other = np.nonzero(keep)
         x, y = a.take(pa.array(one)), b.take(pa.array(other))
         return pa.table([x["source"], x["product_key"], y["source"], y["product_key"], pa.array(cosine[one, other])], schema=OUT)
 
     return _oriented(both.groupBy("key", "i", "j").applyInArrow(compare, "source_a string, product_key_a string, source_b string, product_key_b string, cosine double"))
 
 
+def index_pairs(vectors: DataFrame, budget: int, lists: int = LISTS, nearest: int = NEAREST) -> DataFrame:
+    """The ``budget`` closest pairs among rows that share a list: source_a, key_a, source_b, key_b, cosine. The budget is the feature.
+
+    These are among the ``budget`` best of each block, so that no more have to leave it."""
+    entries = listed(vectors, centroids(vectors, lists), nearest).select(F.struct("brand", "list").alias("key"), "id", "source", "product_key", "vector")
+    # a pair that shares several lists is met in as many blocks, where its cosine may differ in the last digits
+    best = _multiplied(entries, -2.0, budget).groupBy(*PAIR).agg(F.max("cosine").alias("cosine"))
+    return _best(best, budget)
+
+
+def exact_pairs(vectors: DataFrame, floor: float, slice_size: int = SLICE) -> DataFrame:
+    """All pairs of one brand and two sources with a cosine of at least floor. Pairs below it do not leave the task that compares them."""
+    entries = vectors.select(F.col("brand").alias("key"), "id", "source", "product_key", F.col("vector").cast("array<double>").alias("vector"))
+    return _multiplied(entries, floor, None, slice_size)
+
+
 OUT = pa.schema([("source_a", pa.string()), ("product_key_a", pa.string()), ("source_b", pa.string()), ("product_key_b", pa.string()), ("cosine", pa.float64())])
 
 
